@@ -33,7 +33,8 @@ def _numbered(runs: DataFrame, keys, order, success: Column, **sizing) -> Ordere
     )
 
 
-_STREAK = F.col("__failures") - F.coalesce("__at_success", F.lit(0).cast("bigint"))
+def _streak() -> Column:
+    return F.col("__failures") - F.coalesce("__at_success", F.lit(0).cast("bigint"))
 
 
 def with_streaks(
@@ -41,7 +42,7 @@ def with_streaks(
 ) -> DataFrame:
     """Add ``run_number`` (from 0) and ``streak``: failures in a row up to this run."""
     rows = _numbered(runs, keys, order, F.col(success), **sizing).done()
-    return rows.withColumn("streak", _STREAK).drop("__failures", "__at_success")
+    return rows.withColumn("streak", _streak()).drop("__failures", "__at_success")
 
 
 def executed_runs(
@@ -53,10 +54,10 @@ def executed_runs(
     Adds ``run_number``, ``streak`` and ``ends`` (this run ends the history).
     """
     scan = _numbered(runs, keys, order, F.col(success), **sizing)
-    ends = F.coalesce((_STREAK >= limit) & ~F.col(success), F.lit(False))
+    ends = F.coalesce((_streak() >= limit) & ~F.col(success), F.lit(False))
     scan = scan.running(__ended=Running("max", ends.cast("int"), through_row=False))
     return (
-        scan.done().withColumns({"streak": _STREAK, "ends": ends})
+        scan.done().withColumns({"streak": _streak(), "ends": ends})
         .where(F.coalesce("__ended", F.lit(0)) == 0)
         .drop("__failures", "__at_success", "__ended")
     )

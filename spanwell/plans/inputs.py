@@ -142,7 +142,7 @@ def log_lines(spark: SparkSession, sf: str) -> DataFrame:
     copies = F.when(F.col("c_acctbal") < -900, 0).when(F.col("c_acctbal") > 9900, 2).otherwise(1)
     head_lines = customer.select(
         log_file(F.col("c_custkey")).alias("file"),
-        F.explode(F.slice(F.array(F.lit(-2), F.lit(-1)), F.lit(1), copies)).cast("bigint").alias("line"),
+        F.explode(F.slice(F.array(F.lit(-2), F.lit(-1)), F.lit(1), copies)).alias("line"),
         log_line(F.lit("experiment"), F.lit(1.4e9) + F.col("c_custkey") * 0.5, header).alias("value"),
     )
 
