@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanwell.functions.scalars import keeps_running
 from spanwell.operators.ordered import OrderedRows, Running, ordered
-from spanwell.sources.logs import RECORD_TYPES
+from spanwell.sources.logs import Logs
 
 
 def sweep_grid(sweeps: DataFrame) -> DataFrame:
@@ -102,13 +102,11 @@ def with_continuation(
     ).drop("__since")
 
 
-def wait_summary(records: DataFrame) -> DataFrame:
+def wait_summary(logs: Logs) -> DataFrame:
     """Killed and waiting records and the longest wait of each file."""
-    waits = records.where(F.col("type").isin("killed", "waiting"))
     killed = F.col("type") == "killed"
-    waited = F.when(killed, F.from_json("data", RECORD_TYPES["killed"])["waited_time"]).otherwise(
-        F.from_json("data", RECORD_TYPES["waiting"])["time_waited"])
-    return waits.groupBy("file").agg(
+    waited = F.when(killed, F.col("data.waited_time")).otherwise(F.col("data.time_waited"))
+    return logs.records("killed", "waiting").groupBy("file").agg(
         F.count_if(killed).alias("killed"),
         F.count_if(~killed).alias("waiting"),
         F.max(waited).alias("longest_wait"),

@@ -15,7 +15,7 @@ def stat_values(rollups: DataFrame, stats: DataFrame, *, cut_ten: bool = False)
 
     ``kind`` is measure, trend, count or config; ``text`` is the value as given
     and ``value`` the number, if it is one. Of a repeated name one row is kept,
-    a config entry before the others.
+    a config entry before the others. ``stats`` are those of the rolled-up files.
     """
     inside = F.col("start_phase").isNotNull() | F.col("end_phase").isNotNull()
     label = names.measurement(
@@ -23,25 +23,22 @@ def stat_values(rollups: DataFrame, stats: DataFrame, *, cut_ten: bool = False)
     if not cut_ten:
         label = F.when(inside, names.span_key(
             F.col("start_phase"), F.col("end_phase"), F.col("event_type"))).otherwise(label)
-    measured = stats.join(rollups.select("file"), "file", "left_semi").select(
+    measured = stats.select(
         "file",
         F.inline(F.array(*[
             _entry(0, "measure", F.concat_ws("_", label, F.lit(name)), F.col(name).cast("double"))
             for name in REPORTED
         ])),
     )
-    counts = rollups.select(
-        "file",
-        F.inline(F.array(
-            _entry(1, "count", F.lit("max_successful_iteration"), F.col("max_success_iteration")),
-            _entry(1, "trend", F.lit("success_iteration_max"), F.col("max_success_iteration")),
-            _entry(1, "trend", F.lit("failures_ct"), F.col("fail_ct")),
-        )),
-    )
-    configs = rollups.select(
-        "file", F.explode("max_success_workload_config").alias("name", "text")
-    ).select("file", F.inline(F.array(_entry(2, "config", F.col("name"), F.col("text")))))
-    found = measured.unionByName(counts).unionByName(configs)
+    given = F.transform(
+        F.map_entries(F.coalesce("max_success_workload_config", F.create_map().cast("map<string,string>"))),
+        lambda e: _entry(2, "config", e["key"], e["value"]))
+    own = rollups.select("file", F.inline(F.concat(F.array(
+        _entry(1, "count", F.lit("max_successful_iteration"), F.col("max_success_iteration")),
+        _entry(1, "trend", F.lit("success_iteration_max"), F.col("max_success_iteration")),
+        _entry(1, "trend", F.lit("failures_ct"), F.col("fail_ct")),
+    ), given)))
+    found = measured.unionByName(own)
     rank = F.struct("rank", "text")
     return (
         found.groupBy("file", "name").agg(F.max_by(F.struct("kind", "text"), rank).alias("v"))

@@ -106,18 +106,20 @@ def ordered(
     *,
     fits: bool = False,
     segment_rows: int | None = None,
+    weights: tuple[DataFrame, Column] | None = None,
 ) -> OrderedRows:
     """Prepare ``df`` for running values.
 
     ``order`` must leave no ties inside a key. ``fits`` says that the keys are
     known to be light (for example finer than keys already looked at), which
-    spares the look at the data.
+    spares the look at the data. ``weights`` looks at another table with the
+    key columns instead, where an upper bound of the rows is cheaper to sum.
     """
     keys, order = tuple(keys), tuple(order)
     if fits:
         return OrderedRows(df, keys, order, False)
     limit = segment_rows or int(df.sparkSession.conf.get(SEGMENT_ROWS_CONF, str(SEGMENT_ROWS)))
-    heavy = heavy_keys(df, keys, limit)
+    heavy = heavy_weights(*weights, keys, limit) if weights else heavy_keys(df, keys, limit)
     if not heavy:
         return OrderedRows(df, keys, order, False)
     cuts = _cut_points(df, keys, order, heavy, limit)
@@ -143,6 +145,15 @@ def heavy_keys(df: DataFrame, keys: tuple[str, ...] | list[str], limit: int) ->
     return {row["item"]: row["count"] for row in (found["top"] or []) if row["count"] > limit}
 
 
+def heavy_weights(
+    df: DataFrame, weight: Column, keys: tuple[str, ...], limit: int
+) -> dict[int, int]:
+    """The same from summed weights, for keys that are few, such as files."""
+    sums = df.groupBy(_key_hash(keys).alias(_HASH)).agg(F.sum(weight).cast("bigint").alias("n"))
+    rows = sums.where(F.col("n") > limit).orderBy(F.desc("n")).limit(MAX_HEAVY).collect()
+    return {row[_HASH]: row["n"] for row in rows}
+
+
 def _no_key_hash() -> int:
     return 0
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from spanwell.functions import names
 from spanwell.operators.sizing import broadcast_if_small
 from spanwell.operators.spans import build_spans, span_stats
-from spanwell.sources.logs import EVENT_ORDER, LINE_ORDER, of_type, run_events
+from spanwell.session import settled
+from spanwell.sources.logs import ANALYSED, EVENT_ORDER, LINE_ORDER, Logs, run_events
 
 IDENTITY = ["workload", "num_workers", "num_nodes"]
 REVISIONS = ["framework_rev", "benchmark_rev"]
@@ -32,19 +33,26 @@ class Rollups:
     rejected: DataFrame
 
 
-def headers(records: DataFrame) -> DataFrame:
+def headers(logs: Logs) -> DataFrame:
     """First experiment record of each file with its identity and revisions."""
-    place = F.struct(*LINE_ORDER)
-    first = (
-        of_type(records, "experiment").groupBy("file")
-        .agg(
-            F.min_by(F.struct("timestamp", "data"), place).alias("first"),
-            F.count(F.lit(1)).alias("headers"),
-        )
-    )
-    return first.select("file", "headers", F.col("first.timestamp").alias("timestamp"),
-                        F.col("first.data").alias("experiment"),
-                        *_identity("first.data"))
+    found = logs.records("experiment").groupBy("file").agg(*_header_columns())
+    return _with_identity(found).drop("experiment")
+
+
+def _header_columns() -> list:
+    is_header = F.coalesce(F.col("type") == "experiment", F.lit(False))
+    place = F.when(is_header, F.struct(*LINE_ORDER))
+    config = F.struct(*[F.col(f"data.{c}") for c in ("experiment_name", "system_config", "workload")],
+                      F.col("data.git-revs").alias("git-revs"))
+    return [
+        F.count_if(is_header).alias("headers"),
+        F.min_by("timestamp", place).alias("timestamp"),
+        F.min_by(config, place).alias("experiment"),
+    ]
+
+
+def _with_identity(df: DataFrame) -> DataFrame:
+    return df.select("*", *_identity("experiment"))
 
 
 def _identity(config: str) -> list:
@@ -59,24 +67,22 @@ def _identity(config: str) -> list:
     ]
 
 
-def rollup(records: DataFrame) -> Rollups:
+def rollup(logs: Logs) -> Rollups:
     """Failures, highest successful iteration and its config, for each file.
 
-    A file needs exactly one experiment record. Everything is one aggregation by
-    file with partial results before the shuffle, so a large file is no problem.
+    A file needs exactly one experiment record. Headers and runs go through one
+    aggregation by file, with partial results before the shuffle, so one file
+    may hold most of the lines.
     """
-    found = headers(records)
-    runs = run_totals(of_type(records, "finish_work"))
-    # A rejected file may have runs but no header.
-    joined = found.join(runs, "file", "full").withColumn(
-        "headers", F.coalesce("headers", F.lit(0).cast("bigint")))
-    good = joined.where("headers = 1").select(
-        "file", "timestamp", "experiment", *IDENTITY, *REVISIONS,
-        F.coalesce("fail_ct", F.lit(0).cast("bigint")).alias("fail_ct"),
+    totals = _with_identity(
+        logs.parsed(*ANALYSED, events=False).groupBy("file").agg(*_header_columns(), *_run_columns())
+    )
+    good = totals.where("headers = 1").select(
+        "file", "timestamp", "experiment", *IDENTITY, *REVISIONS, "fail_ct",
         F.coalesce("max_success_iteration", F.lit(-1).cast("bigint")).alias("max_success_iteration"),
         "max_success_workload_config",
     )
-    rejected = joined.where("headers <> 1").select(
+    rejected = totals.where("headers <> 1").select(
         "file",
         F.when(F.col("headers") == 0, "no experiment record")
         .otherwise("duplicate experiment record").alias("reason"),
@@ -84,25 +90,50 @@ def rollup(records: DataFrame) -> Rollups:
     return Rollups(good, rejected)
 
 
-def run_totals(runs: DataFrame, by: str = "file") -> DataFrame:
-    """Failure count, best iteration and its config from finished runs."""
-    success = F.col("data.success")
+def _run_columns() -> list:
+    is_run = F.coalesce(F.col("type") == "finish_work", F.lit(False))
+    success = is_run & F.col("data.success")
     config = F.col("data.stats.config")
-    first = F.struct(F.col("data.iteration"), -F.col("block"), -F.col("line"))
-    return runs.groupBy(by).agg(
-        F.count_if(~success).alias("fail_ct"),
+    # Of equal iterations the first in the file counts.
+    place = F.struct(F.col("data.iteration"), -F.col("block"), -F.col("line"))
+    return [
+        F.count_if(is_run & ~F.col("data.success")).alias("fail_ct"),
         F.max(F.when(success, F.col("data.iteration"))).alias("max_success_iteration"),
-        F.max_by(config, F.when(success & config.isNotNull(), first))
+        F.max_by(config, F.when(success & config.isNotNull(), place))
         .alias("max_success_workload_config"),
-    )
+    ]
 
 
-def log_span_stats(records: DataFrame, **sizing) -> DataFrame:
-    """Duration statistics per file over all its successful runs, in log order."""
-    built = build_spans(run_events(records), ["file"], EVENT_ORDER, **sizing)
+# A span event takes at least this many bytes of a log line.
+EVENT_BYTES = 40
+
+
+def log_span_stats(logs: Logs, **sizing) -> DataFrame:
+    """Duration statistics per file over all its successful runs, in log order.
+
+    Heavy files are found by the length of their lines, before any parsing.
+    """
+    sizing.setdefault("weights", (logs.lines, F.length("value") / EVENT_BYTES))
+    built = build_spans(run_events(logs), ["file"], EVENT_ORDER, **sizing)
     return span_stats(built.spans, ["file"])
 
 
+@dataclass(frozen=True)
+class Analysis:
+    """What all reports start from: accepted rollups and span statistics."""
+
+    rollups: DataFrame
+    stats: DataFrame
+
+
+def analyse(logs: Logs, unique_revs: bool = False) -> Analysis:
+    """Roll up all log files once; both tables are small and kept on disk."""
+    chosen = unique_revisions(logs) if unique_revs else logs
+    rollups = settled(rollup(chosen).rollups, "rollups")
+    stats = log_span_stats(chosen).join(rollups.select("file"), "file", "left_semi")
+    return Analysis(rollups, settled(stats, "stats"))
+
+
 def first_per_revision(
     files: DataFrame, order: list[str] | None = None, identity: list[str] | None = None
 ) -> DataFrame:
@@ -119,13 +150,14 @@ def first_per_revision(
     )
 
 
-def unique_revision_records(records: DataFrame) -> DataFrame:
-    """Only the records of files that are first for their revision.
+def unique_revisions(logs: Logs) -> Logs:
+    """Only the lines of files that are first for their revision.
 
-    The headers decide; the large scan is then cut by a semi join on file.
+    The headers decide; the large scan is then cut by a semi join on file,
+    before anything else of it is parsed.
     """
-    kept = first_per_revision(headers(records)).select("file")
-    return records.join(broadcast_if_small(kept), "file", "left_semi")
+    kept = first_per_revision(headers(logs)).select("file")
+    return logs.only(broadcast_if_small(kept))
 
 
 def experiment_groups(rollups: DataFrame) -> DataFrame:

@@ -88,20 +88,21 @@ def build_spans(
     """
     session, order = session or ["session"], order or ["timestamp", "seq"]
     key = [*session, *SPAN_KEY]
+    known = events.where(F.col("status").isin(STARTED, FINISHED))
     if phases:
-        rows, heavy_session = _phase_rows(events, session, order, **sizing)
+        rows, heavy_session = _phase_rows(known, session, order, **sizing)
     else:
-        rows, heavy_session = events.withColumns(
+        rows, heavy_session = known.withColumns(
             {
                 "phase": F.lit(None).cast("string"),
                 "phase_at": F.lit(None).cast(events.schema["timestamp"].dataType),
                 "phase_number": F.lit(0).cast("bigint"),
             }
         ), True
-    known = F.col("status").isin(STARTED, FINISHED)
     this = F.struct("status", "timestamp", "phase", "phase_number")
-    sized = sizing if heavy_session else {"fits": True}
-    paired = ordered(rows.where(known), key, order, **sized).running(
+    # The session weights say nothing about single span keys.
+    sized = {k: v for k, v in sizing.items() if k != "weights"} if heavy_session else {"fits": True}
+    paired = ordered(rows, key, order, **sized).running(
         __open=Running("last", this, through_row=False)
     ).done()
 
@@ -132,7 +133,7 @@ def build_spans(
                     .otherwise(F.col("__phase")))
         .drop("__phase", "__number", "phase_number", "phase_at")
     )
-    return Spans(spans, _errors(paired, events, session, order), _open(rows, key, order, known))
+    return Spans(spans, _errors(paired, events, session, order), _open(rows, key, order))
 
 
 def _errors(paired, events, session, order) -> DataFrame:
@@ -149,11 +150,11 @@ def _errors(paired, events, session, order) -> DataFrame:
     return unpaired.select(*columns, "reason").unionByName(unknown.select(*columns, "reason"))
 
 
-def _open(rows, key, order, known) -> DataFrame:
+def _open(rows, key, order) -> DataFrame:
     """Starts that never finish: keys whose last event is a start."""
     last = F.max_by(F.struct("status", "timestamp", "phase"), F.struct(*order))
     return (
-        rows.where(known).groupBy(*key).agg(last.alias("last"))
+        rows.groupBy(*key).agg(last.alias("last"))
         .where(F.col("last.status") == STARTED)
         .select(*key, F.col("last.timestamp").alias("started"), F.col("last.phase").alias("start_phase"))
     )

@@ -17,8 +17,12 @@ def words(text: Column) -> Column:
     Letters are told apart before lower-casing, so characters outside ASCII
     that lower-case into it still separate words.
     """
-    parts = F.split(F.regexp_replace(text, "[^a-zA-Z]+", " "), " ")
-    return F.transform(F.filter(parts, lambda w: w != ""), F.lower)
+    return F.transform(F.filter(_letter_runs(text), lambda w: w != ""), F.lower)
+
+
+def _letter_runs(text: Column) -> Column:
+    """Split at everything else; the first and last part may be empty."""
+    return F.split(text, "[^a-zA-Z]+")
 
 
 def vocabulary_words(line: Column) -> Column:
@@ -27,9 +31,8 @@ def vocabulary_words(line: Column) -> Column:
 
 
 def word_count(df: DataFrame, text: str = "text") -> DataFrame:
-    parts = F.split(F.regexp_replace(F.col(text), "[^a-zA-Z]+", " "), " ")
     return (
-        df.select(F.explode(parts).alias("word"))
+        df.select(F.explode(_letter_runs(F.col(text))).alias("word"))
         .where(F.col("word") != "")
         .groupBy(F.lower("word").alias("word"))
         .agg(F.count(F.lit(1)).alias("count"))

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from spanwell.functions import names
 from spanwell.functions.scalars import add_arrays, decode_config, encode_config
 from spanwell.operators import generate, matrix, words
-from spanwell.plans.inputs import table
+from spanwell.plans.inputs import spread_table, table
 from spanwell.plans.registry import query
+from spanwell.session import settled
 
 WORDS_SQL = """
 SELECT lower(word) AS word, count(*) AS count FROM (
@@ -19,12 +20,12 @@ WHERE word <> '' GROUP BY lower(word)"""
 
 @query("word_count", WORDS_SQL.format("documents"))
 def word_count(spark, sf):
-    return words.word_count(table(spark, sf, "documents"))
+    return words.word_count(spread_table(spark, sf, "documents"))
 
 
 @query("top_word", WORDS_SQL.format("documents") + " ORDER BY count DESC, word LIMIT 1")
 def top_word(spark, sf):
-    return words.top_words(words.word_count(table(spark, sf, "documents")))
+    return words.top_words(words.word_count(spread_table(spark, sf, "documents")))
 
 
 @query("merged_counts", f"""
@@ -32,8 +33,8 @@ SELECT word, CAST(sum(count) AS BIGINT) AS count FROM (
   ({WORDS_SQL.format("documents")}) UNION ALL ({WORDS_SQL.format("conversations")})) GROUP BY word""")
 def merged_counts(spark, sf):
     return words.merge_counts(
-        words.word_count(table(spark, sf, "documents")),
-        words.word_count(table(spark, sf, "conversations")))
+        words.word_count(spread_table(spark, sf, "documents")),
+        words.word_count(spread_table(spark, sf, "conversations")))
 
 
 @query("source_word_count", """
@@ -42,7 +43,7 @@ SELECT source, lower(word) AS word, count(*) AS count FROM (
   FROM documents)
 WHERE word <> '' GROUP BY source, lower(word)""")
 def source_word_count(spark, sf):
-    found = table(spark, sf, "documents").select("source", F.explode(words.words(F.col("text"))).alias("word"))
+    found = spread_table(spark, sf, "documents").select("source", F.explode(words.words(F.col("text"))).alias("word"))
     return found.groupBy("source", "word").agg(F.count(F.lit(1)).alias("count"))
 
 
@@ -57,7 +58,16 @@ vocab AS (
 
 @query("vocabulary", f"WITH {VOCABULARY_SQL} SELECT word, count FROM vocab")
 def vocabulary(spark, sf):
-    return words.vocabulary(table(spark, sf, "documents"))
+    return words.vocabulary(spread_table(spark, sf, "documents"))
+
+
+def _splits(spark, sf):
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("split_id"))
+
+
+def _vocabulary(spark, sf):
+    """Counted once and kept: the draws need it in several ways."""
+    return settled(words.vocabulary(spread_table(spark, sf, "documents")), "vocabulary")
 
 
 @query("generated_words", f"""WITH {VOCABULARY_SQL},
@@ -71,9 +81,7 @@ draws AS (
   FROM documents, (SELECT CAST(unnest(range(20)) AS INTEGER) AS pos))
 SELECT split_id, pos, word FROM draws JOIN starts ON place >= start AND place < past""")
 def generated_words(spark, sf):
-    documents = table(spark, sf, "documents")
-    return words.generate_text(
-        documents.select(F.col("doc_id").alias("split_id")), words.vocabulary(documents), 20, seed=7)
+    return words.generate_text(_splits(spark, sf), _vocabulary(spark, sf), 20, seed=7)
 
 
 @query("generated_text", f"""WITH {VOCABULARY_SQL},
@@ -88,9 +96,8 @@ draws AS (
 SELECT split_id, string_agg(word, ' ' ORDER BY pos) AS text
 FROM draws JOIN starts ON place >= start AND place < past GROUP BY split_id""")
 def generated_text(spark, sf):
-    documents = table(spark, sf, "documents")
-    return words.split_texts(words.generate_text(
-        documents.select(F.col("doc_id").alias("split_id")), words.vocabulary(documents), 12, seed=1))
+    return words.split_texts(
+        words.generate_text(_splits(spark, sf), _vocabulary(spark, sf), 12, seed=1))
 
 
 def _add_up(by: list[str]):

@@ -11,19 +11,18 @@ from spanwell.plans.inputs import (
     LOG_FILES_SQL, SWEEPS_SQL, log_lines, metric_documents, micros, sweep_documents, table,
 )
 from spanwell.plans.registry import query
+from spanwell.session import settled
 from spanwell.sources import configs, logs
 
 
 def _logs(spark, sf):
-    return logs.parse_log_lines(log_lines(spark, sf))
+    return logs.Logs(log_lines(spark, sf))
 
 
 def _parts(spark, sf):
     """Accepted rollups, span statistics and named values of all files."""
-    records = _logs(spark, sf).records
-    rollups = rollup.rollup(records).rollups
-    stats = rollup.log_span_stats(records)
-    return rollups, stats
+    found = rollup.analyse(_logs(spark, sf))
+    return found.rollups, found.stats
 
 
 @query("log_record_types", f"""WITH {LOG_FILES_SQL}
@@ -32,14 +31,14 @@ UNION ALL SELECT 'finish_work', count(*) FROM runs
 UNION ALL SELECT 'killed', count(*) FROM runs WHERE status = 'F'
 UNION ALL SELECT 'waiting', count(*) FROM runs WHERE status = 'P'""")
 def log_record_types(spark, sf):
-    return _logs(spark, sf).records.groupBy("type").agg(F.count(F.lit(1)).alias("records"))
+    return _logs(spark, sf).records().groupBy("type").agg(F.count(F.lit(1)).alias("records"))
 
 
 @query("analysed_records", f"""WITH {LOG_FILES_SQL}
 SELECT file, count(*) AS records FROM (
   SELECT file FROM files, range(headers) UNION ALL SELECT file FROM runs) GROUP BY file""")
 def analysed_records(spark, sf):
-    return logs.analysed(_logs(spark, sf).records).groupBy("file").agg(
+    return _logs(spark, sf).records(*logs.ANALYSED, events=False).groupBy("file").agg(
         F.count(F.lit(1)).alias("records"))
 
 
@@ -47,7 +46,7 @@ def analysed_records(spark, sf):
 SELECT file, iteration * 2 AS line, '{{broken' AS value FROM runs
 WHERE status = 'O' AND priority = '5-LOW'""")
 def rejected_lines(spark, sf):
-    return _logs(spark, sf).rejected.select("file", "line", "value")
+    return _logs(spark, sf).rejected().select("file", "line", "value")
 
 
 @query("log_span_events", f"""WITH {LOG_FILES_SQL}
@@ -55,7 +54,7 @@ SELECT file, count(*) * 4 AS events, CAST(sum(2) * count(*) // count(*) AS BIGIN
        count(*) FILTER (priority = '2-HIGH') * 2 AS phase_events
 FROM runs WHERE success AND priority <> '1-URGENT' GROUP BY file""")
 def log_span_events(spark, sf):
-    events = logs.run_events(_logs(spark, sf).records)
+    events = logs.run_events(_logs(spark, sf))
     return events.groupBy("file").agg(
         F.count(F.lit(1)).alias("events"),
         F.count_if(F.col("status") == 1).alias("starts"),
@@ -68,7 +67,7 @@ SELECT file, epoch, workload, num_workers, num_nodes, framework_rev, benchmark_r
        max_success_iteration, num_tasks, label FROM rolled""")
 def log_rollup(spark, sf):
     config = F.col("max_success_workload_config")
-    return rollup.rollup(_logs(spark, sf).records).rollups.select(
+    return rollup.rollup(_logs(spark, sf)).rollups.select(
         "file", F.col("timestamp").alias("epoch"), *rollup.IDENTITY, *rollup.REVISIONS,
         "fail_ct", "max_success_iteration",
         config["num_tasks"].try_cast("bigint").alias("num_tasks"), config["label"].alias("label"))
@@ -79,14 +78,14 @@ SELECT file, CASE WHEN headers = 0 THEN 'no experiment record'
                   ELSE 'duplicate experiment record' END AS reason
 FROM files WHERE headers = 2 OR (headers = 0 AND file IN (SELECT file FROM runs))""")
 def rejected_files(spark, sf):
-    return rollup.rollup(_logs(spark, sf).records).rejected
+    return rollup.rollup(_logs(spark, sf)).rejected
 
 
 @query("log_span_stats", f"""WITH {LOG_FILES_SQL}
 SELECT * REPLACE (round(stddev_elapsed_time, 6) AS stddev_elapsed_time,
                   round(avg_elapsed_time, 6) AS avg_elapsed_time) FROM run_stats""")
 def log_span_stats(spark, sf):
-    return rollup.log_span_stats(_logs(spark, sf).records).withColumns({
+    return rollup.log_span_stats(_logs(spark, sf)).withColumns({
         "stddev_elapsed_time": F.round("stddev_elapsed_time", 6),
         "avg_elapsed_time": F.round("avg_elapsed_time", 6),
     })
@@ -96,7 +95,7 @@ def log_span_stats(spark, sf):
 SELECT workload, num_workers, num_nodes, count(*) AS experiments,
        CAST(sum(fail_ct) AS BIGINT) AS failures FROM rolled GROUP BY ALL""")
 def experiment_groups(spark, sf):
-    return rollup.experiment_groups(rollup.rollup(_logs(spark, sf).records).rollups)
+    return rollup.experiment_groups(rollup.rollup(_logs(spark, sf)).rollups)
 
 
 SHORT = "substr(framework_rev, 1, 7) AS framework_rev, substr(benchmark_rev, 1, 7) AS benchmark_rev"
@@ -140,9 +139,9 @@ SELECT file, headers FROM (
     ORDER BY string_split(file, '/')) AS place
   FROM files WHERE headers > 0) WHERE place = 1""")
 def unique_log_revisions(spark, sf):
-    records = rollup.unique_revision_records(_logs(spark, sf).records)
+    kept = rollup.unique_revisions(_logs(spark, sf))
     return (
-        logs.of_type(records, "experiment").groupBy("file")
+        kept.records("experiment").groupBy("file")
         .agg(F.count(F.lit(1)).cast("int").alias("headers"))
     )
 
@@ -185,7 +184,7 @@ named AS (
 
 
 def _values(rollups, stats):
-    return metrics.stat_values(rollups, stats)
+    return settled(metrics.stat_values(rollups, stats), "values")
 
 
 @query("stat_values", f"""WITH {VALUES_SQL}
@@ -279,7 +278,7 @@ SELECT file, count(*) FILTER (status = 'F') AS killed, count(*) FILTER (status =
        max(CASE WHEN status = 'F' THEN 10 * size ELSE size END) AS longest_wait
 FROM runs WHERE status IN ('F', 'P') GROUP BY file""")
 def wait_summary(spark, sf):
-    return history.wait_summary(_logs(spark, sf).records)
+    return history.wait_summary(_logs(spark, sf))
 
 
 @query("metric_config", """
@@ -396,7 +395,7 @@ SELECT s.file, count(*) FILTER (success) AS num_successes, count(*) FILTER (NOT
          AS iteration_end_reason
 FROM s LEFT JOIN stops t ON t.file = s.file WHERE stop IS NULL OR iteration <= stop GROUP BY s.file""")
 def log_run_outcomes(spark, sf):
-    runs = logs.of_type(_logs(spark, sf).records, "finish_work").select(
+    runs = _logs(spark, sf).records("finish_work", events=False).select(
         "file", F.col("data.iteration").alias("iteration"), F.col("data.success").alias("success"))
     return history.run_outcomes(runs, ["file"], ["iteration"], F.lit(2)).drop("last_run")
 

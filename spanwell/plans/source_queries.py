@@ -107,8 +107,8 @@ def log_roundtrip(spark, sf):
     path = shared_folder(spark, "logs")
     writers.append_records(log_lines(spark, sf).select("value"), path)
     back = logs.read_logs(spark, path, prefix="part-")
-    rejected = back.rejected.select(F.lit("rejected").alias("type"))
-    return back.records.select("type").unionByName(rejected).groupBy("type").agg(
+    rejected = back.rejected().select(F.lit("rejected").alias("type"))
+    return back.records().select("type").unionByName(rejected).groupBy("type").agg(
         F.count(F.lit(1)).alias("records"))
 
 

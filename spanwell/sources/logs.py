@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EVENT = (
     "struct<timestamp double, worker_id string, task_id string, "
@@ -47,11 +48,64 @@ LINE_ORDER = ["block", "line"]
 
 @dataclass(frozen=True)
 class Logs:
-    """``records``: file, block, line, type, timestamp, data (JSON text).
-    ``rejected``: file, block, line, value of lines that are no record."""
+    """Log lines (``file, block, line, value``) and the records in them.
 
-    records: DataFrame
-    rejected: DataFrame
+    A query names the record types it needs: each line is then parsed once, and
+    only into the fields of those types.
+    """
+
+    lines: DataFrame
+
+    def records(self, *kinds: str, events: bool = True) -> DataFrame:
+        """``file, block, line, type, timestamp, data`` of the given types.
+
+        ``data`` has the fields of all of them. Without ``events`` the span
+        events inside run statistics are skipped over.
+        """
+        parsed = self.parsed(*(kinds or RECORD_TYPES), events=events)
+        return parsed.where(F.col("type").isin(list(kinds)) if kinds else F.col("type").isNotNull())
+
+    def parsed(self, *kinds: str, events: bool = True) -> DataFrame:
+        """The same for every line; the type is null where there is no record."""
+        schema = T.StructType([
+            T.StructField("type", T.StringType()),
+            T.StructField("timestamp", T.DoubleType()),
+            T.StructField("data", data_schema(*kinds, events=events)),
+        ])
+        return parse_once(self.lines, F.from_json("value", schema), ["file", *LINE_ORDER])
+
+    def rejected(self) -> DataFrame:
+        """Lines that are no record."""
+        parsed = parse_once(
+            self.lines, F.from_json("value", "type string"), ["file", *LINE_ORDER, "value"])
+        return parsed.where("type is null").drop("type")
+
+    def only(self, files: DataFrame) -> "Logs":
+        """The lines of the given files (column ``file``)."""
+        return Logs(self.lines.join(files, "file", "left_semi"))
+
+
+def parse_once(df: DataFrame, parsed: Column, kept: list[str]) -> DataFrame:
+    """Columns ``kept`` and the fields of a parsed struct.
+
+    A generator over the one struct keeps the parse a step of its own; as a plain
+    projection it would be repeated in every filter and field that uses it.
+    """
+    return df.select(*kept, F.inline(F.array(parsed)))
+
+
+def data_schema(*kinds: str, events: bool = True) -> T.StructType:
+    """The fields of the given record types as one struct type."""
+    fields: dict[str, T.StructField] = {}
+    for kind in kinds:
+        if kind not in RECORD_TYPES:
+            raise ValueError(f"unknown record type {kind!r}")
+        for field in T.StructType.fromDDL(f"x {RECORD_TYPES[kind]}")[0].dataType.fields:
+            fields[field.name] = field
+    if "stats" in fields and not events:
+        stats = [f for f in fields["stats"].dataType.fields if f.name != "events"]
+        fields["stats"] = T.StructField("stats", T.StructType(stats))
+    return T.StructType(list(fields.values()))
 
 
 def read_log_lines(
@@ -83,48 +137,25 @@ def _glob_literal(text: str) -> str:
     return "".join("\\" + c if c in "*?[]{}\\" else c for c in text)
 
 
-def parse_log_lines(lines: DataFrame) -> Logs:
-    """Split lines into records and rejected lines; ``data`` stays text here.
-
-    Only the record types a query asks for are parsed further (``of_type``).
-    """
-    head = F.from_json("value", "type string, timestamp double, data string")
-    parsed = lines.withColumn("head", head)
-    good = F.col("head.type").isNotNull()
-    return Logs(
-        parsed.where(good).select("file", *LINE_ORDER, "head.type", "head.timestamp", "head.data"),
-        parsed.where(~good).select("file", *LINE_ORDER, "value"),
-    )
-
-
 def read_logs(
     spark: SparkSession,
     paths: str | list[str],
     prefix: str | None = None,
     recurse: bool = True,
 ) -> Logs:
-    return parse_log_lines(read_log_lines(spark, paths, prefix, recurse))
-
-
-def of_type(records: DataFrame, kind: str) -> DataFrame:
-    """Records of one type with ``data`` as its struct."""
-    if kind not in RECORD_TYPES:
-        raise ValueError(f"unknown record type {kind!r}")
-    data = F.from_json("data", RECORD_TYPES[kind])
-    return records.where(F.col("type") == kind).withColumn("data", data)
+    return Logs(read_log_lines(spark, paths, prefix, recurse))
 
 
-def analysed(records: DataFrame) -> DataFrame:
-    """The records that analysis reads: experiment headers and finished runs."""
-    return records.where(F.col("type").isin("experiment", "finish_work"))
+# The record types that analysis reads.
+ANALYSED = ("experiment", "finish_work")
 
 
-def run_events(records: DataFrame) -> DataFrame:
+def run_events(logs: Logs) -> DataFrame:
     """Span events of successful runs, one row each, in log order.
 
     Order in a file is ``block, line, pos``. A run without events adds none.
     """
-    runs = of_type(records, "finish_work").where("data.success")
+    runs = logs.records("finish_work").where("data.success")
     return runs.select(
         "file", *LINE_ORDER, F.posexplode("data.stats.events").alias("pos", "event")
     ).select("file", *LINE_ORDER, "pos", "event.*")
