@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanwell.session import settled
+
 SEGMENT_ROWS_CONF = "spanwell.segment.rows"
 SEGMENT_ROWS = 4_000_000      # rows one task may sort for one key
 MAX_SEGMENTS = 65_536         # bound on the broadcast cut points, over all keys
@@ -107,6 +109,7 @@ def ordered(
     fits: bool = False,
     segment_rows: int | None = None,
     weights: tuple[DataFrame, Column] | None = None,
+    settle: bool = False,
 ) -> OrderedRows:
     """Prepare ``df`` for running values.
 
@@ -114,6 +117,8 @@ def ordered(
     known to be light (for example finer than keys already looked at), which
     spares the look at the data. ``weights`` looks at another table with the
     key columns instead, where an upper bound of the rows is cheaper to sum.
+    ``settle`` is for rows that are costly to make: if they have to be cut, which
+    takes several passes, they are written to the shared folder once.
     """
     keys, order = tuple(keys), tuple(order)
     if fits:
@@ -122,6 +127,8 @@ def ordered(
     heavy = heavy_weights(*weights, keys, limit) if weights else heavy_keys(df, keys, limit)
     if not heavy:
         return OrderedRows(df, keys, order, False)
+    if settle:
+        df = settled(df, "ordered")
     cuts = _cut_points(df, keys, order, heavy, limit)
     return OrderedRows(_with_segments(df, keys, order, cuts), keys, order, True)
 
