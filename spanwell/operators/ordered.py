@@ -11,6 +11,7 @@ Without heavy keys the plan is the ordinary window.
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,7 +24,6 @@ SEGMENT_ROWS = 4_000_000      # rows one task may sort for one key
 MAX_SEGMENTS = 65_536         # bound on the broadcast cut points, over all keys
 MAX_HEAVY = 1_024             # bound on the heavy keys that are looked for
 SAMPLES_PER_SEGMENT = 24
-GROUP = 64                    # cut points are looked up in two levels of this width
 
 _SEG = "__seg"
 _HASH = "__hash"
@@ -81,12 +81,25 @@ class OrderedRows:
 
     def _carry(self, values: dict[str, Running]) -> DataFrame:
         """What each later segment of a heavy key takes over; a row per segment."""
-        position = F.struct(*self.order)
-        totals = (
-            self.rows.where(F.col(_SEG) >= 0)
-            .groupBy(*self.partition)
-            .agg(*[_total(spec, position).alias(name) for name, spec in values.items()])
+        heavy = self.rows.where(F.col(_SEG) >= 0)
+        numbers = {n: spec for n, spec in values.items() if spec.how != "last"}
+        lasts = {n: spec for n, spec in values.items() if spec.how == "last"}
+        # Every segment has a row here, also one with nothing to take over.
+        totals = heavy.groupBy(*self.partition).agg(
+            F.count(F.lit(1)).alias("__rows"),
+            *[_combine(spec).alias(n) for n, spec in numbers.items()],
         )
+        if lasts:
+            # Last values need a sort; only rows that have one go there.
+            some = reduce(lambda a, b: a | b, [spec.value.isNotNull() for spec in lasts.values()])
+            position = F.struct(*self.order)
+            found = heavy.where(some).groupBy(*self.partition).agg(*[
+                F.max_by(spec.value, F.when(spec.value.isNotNull(), position)).alias(n)
+                for n, spec in lasts.items()
+            ])
+            match = [F.col(f"t.`{c}`").eqNullSafe(F.col(f"l.`{c}`")) for c in self.partition]
+            totals = totals.alias("t").join(F.broadcast(found.alias("l")), match, "left").select(
+                "t.*", *[F.col(f"l.`{n}`") for n in lasts])
         before = (
             Window.partitionBy(*self.keys).orderBy(_SEG)
             .rowsBetween(Window.unboundedPreceding, -1)
@@ -109,6 +122,7 @@ def ordered(
     fits: bool = False,
     segment_rows: int | None = None,
     weights: tuple[DataFrame, Column] | None = None,
+    look: DataFrame | None = None,
     settle: bool = False,
 ) -> OrderedRows:
     """Prepare ``df`` for running values.
@@ -116,7 +130,8 @@ def ordered(
     ``order`` must leave no ties inside a key. ``fits`` says that the keys are
     known to be light (for example finer than keys already looked at), which
     spares the look at the data. ``weights`` looks at another table with the
-    key columns instead, where an upper bound of the rows is cheaper to sum.
+    key columns instead, where an upper bound of the rows is cheaper to sum, and
+    ``look`` at one with the same rows that is cheaper to make.
     ``settle`` is for rows that are costly to make: if they have to be cut, which
     takes several passes, they are written to the shared folder once.
     """
@@ -124,13 +139,16 @@ def ordered(
     if fits:
         return OrderedRows(df, keys, order, False)
     limit = segment_rows or int(df.sparkSession.conf.get(SEGMENT_ROWS_CONF, str(SEGMENT_ROWS)))
-    heavy = heavy_weights(*weights, keys, limit) if weights else heavy_keys(df, keys, limit)
+    heavy = heavy_weights(*weights, keys, limit) if weights else heavy_keys(
+        df if look is None else look, keys, limit)
     if not heavy:
         return OrderedRows(df, keys, order, False)
     if settle:
         df = settled(df, "ordered")
-    cuts = _cut_points(df, keys, order, heavy, limit)
-    return OrderedRows(_with_segments(df, keys, order, cuts), keys, order, True)
+    cuts, most = _cut_points(df, keys, order, heavy, limit)
+    if not most:
+        return OrderedRows(df, keys, order, False)
+    return OrderedRows(_with_segments(df, keys, order, cuts, most), keys, order, True)
 
 
 def heavy_keys(df: DataFrame, keys: tuple[str, ...] | list[str], limit: int) -> dict[int, int]:
@@ -169,11 +187,12 @@ def _key_hash(keys: tuple[str, ...]) -> Column:
     return F.xxhash64(*keys) if keys else F.lit(_no_key_hash()).cast("bigint")
 
 
-def _cut_points(df, keys, order, heavy: dict[int, int], limit: int) -> DataFrame:
+def _cut_points(df, keys, order, heavy: dict[int, int], limit: int) -> tuple[DataFrame, int]:
     """Evenly spaced order values of each heavy key, from a sample by content.
 
     They only balance the work, so a sample does; they are collected (at most
-    MAX_SEGMENTS in all) so that every use of them sees the same values.
+    MAX_SEGMENTS in all) so that every use of them sees the same values. Also
+    gives the most cut points of one key.
     """
     spark = df.sparkSession
     size = max(limit, sum(heavy.values()) // MAX_SEGMENTS + 1)
@@ -200,31 +219,29 @@ def _cut_points(df, keys, order, heavy: dict[int, int], limit: int) -> DataFrame
         sampled.where((F.size("seen") > 0) & (F.col("pieces") > 1))
         .select(_HASH, F.array_distinct(at).alias("cuts")).collect()
     )
-    fine = [
-        (row[_HASH], [row["cuts"][i:i + GROUP] for i in range(0, len(row["cuts"]), GROUP)])
-        for row in rows
-    ]
     point = sampled.schema["seen"].dataType.elementType
     schema = T.StructType([
-        T.StructField(_HASH, T.LongType()),
-        T.StructField("fine", T.ArrayType(T.ArrayType(point))),
-    ])
-    return spark.createDataFrame(fine, schema)
+        T.StructField(_HASH, T.LongType()), T.StructField("cuts", T.ArrayType(point))])
+    most = max((len(row["cuts"]) for row in rows), default=0)
+    return spark.createDataFrame([(row[_HASH], row["cuts"]) for row in rows], schema), most
 
 
-def _with_segments(df, keys, order, cuts: DataFrame) -> DataFrame:
-    """Add the segment number: -1 for light keys, else cut points at or below."""
+def _with_segments(df, keys, order, cuts: DataFrame, most: int) -> DataFrame:
+    """Add the segment number: -1 for light keys, else the cut points at or below.
+
+    A binary search over at most ``most`` cut points: each step is tried on top
+    of the steps taken so far; beyond the end there is no cut point.
+    """
     position = F.struct(*order)
-    group = F.size(F.filter(F.col("coarse"), lambda p: p <= position))
-    inside = F.size(F.filter(F.element_at("fine", group), lambda p: p <= position))
-    seg = (
-        F.when(F.col("fine").isNull(), F.lit(-1))
-        .when(group == 0, F.lit(0))
-        .otherwise((group - 1) * GROUP + inside)
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(most.bit_length()))])
+    below = F.aggregate(
+        steps, F.lit(0),
+        lambda taken, step: F.when(
+            F.get(F.col("cuts"), taken + step - 1) <= position, taken + step).otherwise(taken),
     )
-    cuts = cuts.withColumn("coarse", F.transform("fine", lambda g: g[0]))
+    seg = F.when(F.col("cuts").isNull(), F.lit(-1)).otherwise(below)
     marked = df.withColumn(_HASH, _key_hash(keys)).join(F.broadcast(cuts), _HASH, "left")
-    return marked.select(*[F.col(f"`{c}`") for c in df.columns], seg.cast("int").alias(_SEG))
+    return marked.select(*[F.col(f"`{c}`") for c in df.columns], seg.alias(_SEG))
 
 
 def _combine(spec: Running) -> Column:
@@ -239,12 +256,6 @@ def _combine(spec: Running) -> Column:
     raise ValueError(f"unknown running value {spec.how!r}")
 
 
-def _total(spec: Running, position: Column) -> Column:
-    if spec.how == "last":
-        return F.max_by(spec.value, F.when(spec.value.isNotNull(), position))
-    return _combine(spec)
-
-
 def _merge(how: str, local: Column, carried: Column) -> Column:
     if how == "sum":
         return F.coalesce(local, F.lit(0)) + F.coalesce(carried, F.lit(0))

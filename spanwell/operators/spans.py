@@ -101,7 +101,7 @@ def build_spans(
         ), True
     this = F.struct("status", "timestamp", "phase", "phase_number")
     # The session weights say nothing about single span keys.
-    sized = {k: v for k, v in sizing.items() if k != "weights"} if heavy_session else {"fits": True}
+    sized = {**sizing, "weights": None, "look": known} if heavy_session else {"fits": True}
     paired = ordered(rows, key, order, **sized).running(
         __open=Running("last", this, through_row=False)
     ).done()

@@ -20,8 +20,11 @@ def _logs(spark, sf):
 
 
 def _parts(spark, sf):
-    """Accepted rollups, span statistics and named values of all files."""
-    found = rollup.analyse(_logs(spark, sf))
+    """Accepted rollups and span statistics of all files.
+
+    The lines are written first, as logs are: two passes read them.
+    """
+    found = rollup.analyse(logs.Logs(settled(log_lines(spark, sf), "lines")))
     return found.rollups, found.stats
 
 
