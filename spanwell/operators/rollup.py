@@ -156,7 +156,7 @@ def unique_revisions(logs: Logs) -> Logs:
     The headers decide; the large scan is then cut by a semi join on file,
     before anything else of it is parsed.
     """
-    kept = first_per_revision(headers(logs)).select("file")
+    kept = settled(first_per_revision(headers(logs)).select("file"), "kept-files")
     return logs.only(broadcast_if_small(kept))
 
 

@@ -30,8 +30,38 @@ class Spans:
     """``spans`` that finished, and the events that break the start/finish rule."""
 
     spans: DataFrame
-    errors: DataFrame
-    open: DataFrame
+    events: DataFrame
+    paired: DataFrame
+    session: list[str]
+    order: list[str]
+
+    @property
+    def errors(self) -> DataFrame:
+        """Duplicate starts, finishes without a start, phase events of unknown status."""
+        status, before = F.col("status"), F.col("__open.status")
+        columns = list(dict.fromkeys(
+            [*self.session, *SPAN_KEY, *self.order, "timestamp", "status"]))
+        reason = F.when((status == STARTED) & (before == STARTED), "already started").when(
+            (status == FINISHED) & ~before.eqNullSafe(F.lit(STARTED)), "finish without start"
+        )
+        unpaired = self.paired.withColumn("reason", reason).where("reason is not null")
+        unknown = self.events.where(
+            names.is_phase(F.col("event_type"))
+            & ~F.coalesce(status.isin(STARTED, FINISHED), F.lit(False))
+        ).withColumn("reason", F.lit("unknown status"))
+        return unpaired.select(*columns, "reason").unionByName(unknown.select(*columns, "reason"))
+
+    @property
+    def open(self) -> DataFrame:
+        """Starts that never finish: keys whose last event is a start."""
+        key = [*self.session, *SPAN_KEY]
+        last = F.max_by(F.struct("status", "timestamp", "phase"), F.struct(*self.order))
+        return (
+            self.paired.groupBy(*key).agg(last.alias("last"))
+            .where(F.col("last.status") == STARTED)
+            .select(*key, F.col("last.timestamp").alias("started"),
+                    F.col("last.phase").alias("start_phase"))
+        )
 
 
 def with_phase(
@@ -107,57 +137,27 @@ def build_spans(
     ).done()
 
     status, before = F.col("status"), F.col("__open")
+    number, end_phase = before["phase_number"], F.col("phase")
+    start_phase, elapsed = before["phase"], F.col("timestamp") - before["timestamp"]
+    slipped = F.coalesce(
+        ~start_phase.eqNullSafe(end_phase)
+        & (F.col("phase_number") == number + 1)
+        & (F.try_divide((F.col("timestamp") - F.col("phase_at")).cast("double"),
+                        elapsed.cast("double")) < slip),
+        F.lit(False),
+    )
     spans = paired.where((status == FINISHED) & (before["status"] == STARTED)).select(
         *session,
         *SPAN_KEY,
         *[c for c in order if c != "timestamp"],
         before["timestamp"].alias("started"),
         F.col("timestamp").alias("finished"),
-        (F.col("timestamp") - before["timestamp"]).alias("elapsed"),
-        before["phase"].alias("start_phase"),
-        F.col("phase").alias("__phase"),
-        before["phase_number"].alias("__number"),
-        "phase_number",
-        "phase_at",
-    )
-    slipped = F.coalesce(
-        ~F.col("start_phase").eqNullSafe(F.col("__phase"))
-        & (F.col("phase_number") == F.col("__number") + 1)
-        & (F.try_divide((F.col("finished") - F.col("phase_at")).cast("double"),
-                        F.col("elapsed").cast("double")) < slip),
-        F.lit(False),
-    )
-    spans = (
-        spans.withColumn("slipped", slipped)
-        .withColumn("end_phase", F.when(F.col("slipped"), F.col("start_phase"))
-                    .otherwise(F.col("__phase")))
-        .drop("__phase", "__number", "phase_number", "phase_at")
-    )
-    return Spans(spans, _errors(paired, events, session, order), _open(rows, key, order))
-
-
-def _errors(paired, events, session, order) -> DataFrame:
-    status, before = F.col("status"), F.col("__open.status")
-    columns = list(dict.fromkeys([*session, *SPAN_KEY, *order, "timestamp", "status"]))
-    reason = F.when((status == STARTED) & (before == STARTED), "already started").when(
-        (status == FINISHED) & ~before.eqNullSafe(F.lit(STARTED)), "finish without start"
-    )
-    unpaired = paired.withColumn("reason", reason).where("reason is not null")
-    unknown = events.where(
-        names.is_phase(F.col("event_type"))
-        & ~F.coalesce(status.isin(STARTED, FINISHED), F.lit(False))
-    ).withColumn("reason", F.lit("unknown status"))
-    return unpaired.select(*columns, "reason").unionByName(unknown.select(*columns, "reason"))
-
-
-def _open(rows, key, order) -> DataFrame:
-    """Starts that never finish: keys whose last event is a start."""
-    last = F.max_by(F.struct("status", "timestamp", "phase"), F.struct(*order))
-    return (
-        rows.groupBy(*key).agg(last.alias("last"))
-        .where(F.col("last.status") == STARTED)
-        .select(*key, F.col("last.timestamp").alias("started"), F.col("last.phase").alias("start_phase"))
+        elapsed.alias("elapsed"),
+        start_phase.alias("start_phase"),
+        F.when(slipped, start_phase).otherwise(end_phase).alias("end_phase"),
+        slipped.alias("slipped"),
     )
+    return Spans(spans, events, paired, session, order)
 
 
 def duration_columns(elapsed: Column) -> list[Column]:

@@ -19,12 +19,14 @@ def _logs(spark, sf):
     return logs.Logs(log_lines(spark, sf))
 
 
-def _parts(spark, sf):
-    """Accepted rollups and span statistics of all files.
+def _written_logs(spark, sf):
+    """The same lines written first, as logs are, for work that reads them more than once."""
+    return logs.Logs(settled(log_lines(spark, sf), "lines"))
+
 
-    The lines are written first, as logs are: two passes read them.
-    """
-    found = rollup.analyse(logs.Logs(settled(log_lines(spark, sf), "lines")))
+def _parts(spark, sf):
+    """Accepted rollups and span statistics of all files."""
+    found = rollup.analyse(_written_logs(spark, sf))
     return found.rollups, found.stats
 
 
@@ -142,7 +144,7 @@ SELECT file, headers FROM (
     ORDER BY string_split(file, '/')) AS place
   FROM files WHERE headers > 0) WHERE place = 1""")
 def unique_log_revisions(spark, sf):
-    kept = rollup.unique_revisions(_logs(spark, sf))
+    kept = rollup.unique_revisions(_written_logs(spark, sf))
     return (
         kept.records("experiment").groupBy("file")
         .agg(F.count(F.lit(1)).cast("int").alias("headers"))
