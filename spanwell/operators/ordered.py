@@ -13,7 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,7 +138,7 @@ def ordered(
     keys, order = tuple(keys), tuple(order)
     if fits:
         return OrderedRows(df, keys, order, False)
-    limit = segment_rows or int(df.sparkSession.conf.get(SEGMENT_ROWS_CONF, str(SEGMENT_ROWS)))
+    limit = segment_rows or segment_limit(df.sparkSession)
     heavy = heavy_weights(*weights, keys, limit) if weights else heavy_keys(
         df if look is None else look, keys, limit)
     if not heavy:
@@ -151,6 +151,10 @@ def ordered(
     return OrderedRows(_with_segments(df, keys, order, cuts, most), keys, order, True)
 
 
+def segment_limit(spark: SparkSession) -> int:
+    return int(spark.conf.get(SEGMENT_ROWS_CONF, str(SEGMENT_ROWS)))
+
+
 def heavy_keys(df: DataFrame, keys: tuple[str, ...] | list[str], limit: int) -> dict[int, int]:
     """Hash and approximate row count of each key above ``limit`` rows.
 

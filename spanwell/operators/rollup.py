@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanwell.functions import names
-from spanwell.operators.sizing import broadcast_if_small
+from spanwell.operators.sizing import keep_matching
 from spanwell.operators.spans import build_spans, span_stats
 from spanwell.session import settled
 from spanwell.sources.logs import ANALYSED, EVENT_ORDER, LINE_ORDER, Logs, run_events
@@ -157,7 +157,7 @@ def unique_revisions(logs: Logs) -> Logs:
     before anything else of it is parsed.
     """
     kept = settled(first_per_revision(headers(logs)).select("file"), "kept-files")
-    return logs.only(broadcast_if_small(kept))
+    return Logs(keep_matching(logs.lines, kept, ["file"], LINE_ORDER))
 
 
 def experiment_groups(rollups: DataFrame) -> DataFrame:

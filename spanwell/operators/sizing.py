@@ -5,31 +5,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanwell.operators.ordered import heavy_keys, segment_limit
+
 # A table is broadcast by hint only after it was counted to be at most this long.
 BROADCAST_ROWS = 100_000
-SALTS = 16
+SALTS = 64
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    return df.limit(rows + 1).count() <= rows
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` if its counted size is bounded, else leave it to the planner."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if is_small(df, rows) else df
+
+
+def keep_matching(
+    big: DataFrame, lookup: DataFrame, keys: list[str], spread: list[str], rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """The rows of ``big`` whose keys stand in ``lookup`` (a row per key, no nulls)."""
+    if is_small(lookup, rows):
+        return big.join(F.broadcast(lookup.select(*keys)), keys, "left_semi")
+    return salted_lookup(big, lookup.select(*keys), keys, spread)
 
 
 def salted_lookup(
-    big: DataFrame, lookup: DataFrame, keys: list[str], spread: list[str], salts: int = SALTS
+    big: DataFrame, lookup: DataFrame, keys: list[str], spread: list[str],
+    salts: int = SALTS, heavy_rows: int | None = None,
 ) -> DataFrame:
     """Inner join on ``keys`` for any size of either side and any key skew.
 
-    Rows of one key are spread over ``salts`` tasks by the ``spread`` columns;
-    the lookup, one row per key, is repeated that many times. Null keys match.
-    The planner may still turn it into a broadcast from the sizes it measures.
+    The lookup has one row per key; null keys match. Rows of a heavy key are
+    spread over ``salts`` tasks by the ``spread`` columns, and only the lookup
+    rows of heavy keys are repeated. The planner may still turn the join into a
+    broadcast from the sizes it measures.
     """
-    left = big.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(salts))).alias("l")
-    right = lookup.withColumn(
-        "__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
-    ).alias("r")
-    match = [F.col("l.__salt") == F.col("r.__salt")]
-    match += [F.col(f"l.`{k}`").eqNullSafe(F.col(f"r.`{k}`")) for k in keys]
+    heavy = heavy_keys(big, keys, heavy_rows or segment_limit(big.sparkSession))
+    left, right = big.alias("l"), lookup.alias("r")
+    match = [F.col(f"l.`{k}`").eqNullSafe(F.col(f"r.`{k}`")) for k in keys]
+    if heavy:
+        hot = F.xxhash64(*keys).isin(list(heavy))
+        left = big.withColumn(
+            "__salt", F.when(hot, F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(0)
+        ).alias("l")
+        copies = F.when(hot, F.lit(salts)).otherwise(1).cast("bigint")
+        right = lookup.withColumn(
+            "__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), copies - 1))).alias("r")
+        match.append(F.col("l.__salt") == F.col("r.__salt"))
     extra = [c for c in lookup.columns if c not in keys]
     return left.join(right, match).select(
         *[F.col(f"l.`{c}`") for c in big.columns], *[F.col(f"r.`{c}`") for c in extra]

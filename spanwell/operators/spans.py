@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanwell.functions import names
 from spanwell.operators.ordered import Running, ordered
@@ -160,10 +161,12 @@ def build_spans(
     return Spans(spans, events, paired, session, order)
 
 
-def duration_columns(elapsed: Column) -> list[Column]:
+def duration_columns(elapsed: Column, whole: bool = False) -> list[Column]:
+    """Duration statistics; ``whole`` numbers are summed as decimals, which do not overflow."""
+    summed = elapsed.cast("decimal(38,0)") if whole else elapsed
     return [
         F.count(elapsed).alias("ct"),
-        F.sum(elapsed).alias("total_elapsed_time"),
+        F.sum(summed).alias("total_elapsed_time"),
         F.min(elapsed).alias("min_elapsed_time"),
         F.max(elapsed).alias("max_elapsed_time"),
         F.avg(elapsed).alias("avg_elapsed_time"),
@@ -173,8 +176,9 @@ def duration_columns(elapsed: Column) -> list[Column]:
 
 def span_stats(spans: DataFrame, by: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """Duration statistics by phase pair and event type, and ``by`` if given."""
+    whole = isinstance(spans.schema["elapsed"].dataType, T.IntegralType)
     return spans.groupBy(*by, "start_phase", "end_phase", "event_type").agg(
-        *duration_columns(F.col("elapsed"))
+        *duration_columns(F.col("elapsed"), whole)
     )
 
 

@@ -225,12 +225,12 @@ WITH c AS (
                                                   l_linenumber, l_extendedprice) - 1)
            // (((SELECT count(*) FROM lineitem) - 1) // 13 + 1) AS chunk
   FROM lineitem)
-SELECT chunk, count(*) AS rows, CAST(sum(l_orderkey) AS BIGINT) AS keys FROM c GROUP BY chunk""")
+SELECT chunk, count(*) AS rows, min(l_orderkey) AS low, max(l_orderkey) AS high FROM c GROUP BY chunk""")
 def chunk_sizes(spark, sf):
     order = ["l_shipdate", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"]
     cut = matrix.chunk_rows(table(spark, sf, "lineitem").select(*order), order, 13)
     return cut.groupBy("chunk").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum("l_orderkey").alias("keys"))
+        F.count(F.lit(1)).alias("rows"), F.min("l_orderkey").alias("low"), F.max("l_orderkey").alias("high"))
 
 
 @query("array_chunks", """

@@ -11,15 +11,16 @@ from spanwell.plans.inputs import (
 )
 from spanwell.plans.registry import query
 
-STATS_SQL = """count(*) AS ct, CAST(sum(elapsed) AS BIGINT) AS total_elapsed_time,
+STATS_SQL = """count(*) AS ct, round(CAST(sum(elapsed) AS DOUBLE) / 1e6, 3) AS total_elapsed_time,
   min(elapsed) AS min_elapsed_time, max(elapsed) AS max_elapsed_time,
   round(avg(elapsed) / 1e6, 4) AS avg_elapsed_time,
   round(stddev_pop(elapsed / 1e6), 4) AS stddev_elapsed_time"""
 
 
 def _seconds(stats):
-    """Averages in rounded seconds, for a comparison that floats survive."""
+    """Totals and averages in rounded seconds, for a comparison that floats survive."""
     return stats.withColumns({
+        "total_elapsed_time": F.round(F.col("total_elapsed_time").cast("double") / 1e6, 3),
         "avg_elapsed_time": F.round(F.col("avg_elapsed_time") / 1e6, 4),
         "stddev_elapsed_time": F.round(F.col("stddev_elapsed_time") / 1e6, 4),
     })

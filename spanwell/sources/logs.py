@@ -80,10 +80,6 @@ class Logs:
             self.lines, F.from_json("value", "type string"), ["file", *LINE_ORDER, "value"])
         return parsed.where("type is null").drop("type")
 
-    def only(self, files: DataFrame) -> "Logs":
-        """The lines of the given files (column ``file``)."""
-        return Logs(self.lines.join(files, "file", "left_semi"))
-
 
 def parse_once(df: DataFrame, parsed: Column, kept: list[str]) -> DataFrame:
     """Columns ``kept`` and the fields of a parsed struct.
