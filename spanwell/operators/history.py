@@ -10,6 +10,10 @@ from spanwell.operators.ordered import OrderedRows, Running, ordered
 from spanwell.sources.logs import Logs
 
 
+# Why a history ends.
+FAILED_END, TARGET_END = "excessive_failures", "target_reached"
+
+
 def sweep_grid(sweeps: DataFrame) -> DataFrame:
     """Every system config with every workload of the same sweep, config first.
 
@@ -75,7 +79,7 @@ def run_outcomes(
         F.count_if(~F.col(success)).alias("num_failures"),
         F.max("run_number").alias("last_run"),
         *elapsed,
-        F.when(F.bool_or("ends"), "excessive_failures").otherwise("target_reached")
+        F.when(F.bool_or("ends"), FAILED_END).otherwise(TARGET_END)
         .alias("iteration_end_reason"),
     )
 

@@ -33,6 +33,7 @@ def stat_values(rollups: DataFrame, stats: DataFrame, *, cut_ten: bool = False)
     given = F.transform(
         F.map_entries(F.coalesce("max_success_workload_config", F.create_map().cast("map<string,string>"))),
         lambda e: _entry(2, "config", e["key"], e["value"]))
+    # The names that metric configs use for the run figures.
     own = rollups.select("file", F.inline(F.concat(F.array(
         _entry(1, "count", F.lit("max_successful_iteration"), F.col("max_success_iteration")),
         _entry(1, "trend", F.lit("success_iteration_max"), F.col("max_success_iteration")),
@@ -68,6 +69,7 @@ def eval_metric(stats: Column, expression: Column) -> Column:
     def number(field: str) -> Column:
         return stats[expression[field]].try_cast("double")
 
+    # The names of the expression forms.
     forms = {
         "frac_values": F.try_divide(number("numer"), number("denom")).cast("string"),
         "value": stats[expression["value"]],

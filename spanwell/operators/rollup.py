@@ -114,7 +114,7 @@ def log_span_stats(logs: Logs, **sizing) -> DataFrame:
     Heavy files are found by the length of their lines, before any parsing.
     """
     sizing = {"weights": (logs.lines, F.length("value") / EVENT_BYTES), "settle": True, **sizing}
-    built = build_spans(run_events(logs), ["file"], EVENT_ORDER, **sizing)
+    built = build_spans(run_events(logs, extras=False), ["file"], EVENT_ORDER, **sizing)
     return span_stats(built.spans, ["file"])
 
 

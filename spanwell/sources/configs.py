@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from spanwell.sources.logs import decoded_path
 
+# The fields of sweep and metric configs.
 SWEEP = (
     "system_configs array<struct<num_workers bigint, num_nodes bigint, shm_size string, mem_size string>>, "
     "workloads array<map<string,string>>"

@@ -146,12 +146,16 @@ def read_logs(
 ANALYSED = ("experiment", "finish_work")
 
 
-def run_events(logs: Logs) -> DataFrame:
+def run_events(logs: Logs, extras: bool = True) -> DataFrame:
     """Span events of successful runs, one row each, in log order.
 
     Order in a file is ``block, line, pos``. A run without events adds none.
+    Nothing else of a line is parsed, and ``extras`` only if wanted.
     """
-    runs = logs.records("finish_work").where("data.success")
+    event = EVENT if extras else EVENT.replace(", extras string", "")
+    wanted = f"type string, data struct<success boolean, stats struct<events array<{event}>>>"
+    runs = parse_once(logs.lines, F.from_json("value", wanted), ["file", *LINE_ORDER]).where(
+        "type = 'finish_work' and data.success")
     return runs.select(
         "file", *LINE_ORDER, F.posexplode("data.stats.events").alias("pos", "event")
     ).select("file", *LINE_ORDER, "pos", "event.*")

@@ -10,6 +10,7 @@ from spanwell.functions.scalars import (
 )
 from spanwell.sources.logs import EVENT, decoded_path
 
+# The fields of event dumps and run statistics.
 DUMP = (
     f"config map<string,string>, events array<{EVENT}>, worker_ips map<string,string>"
 )

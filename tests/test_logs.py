@@ -10,12 +10,12 @@ from spanwell.sources import configs, logs, writers
 from spanwell.streaming import follow
 
 CONFIG = {"workloads": [
-    {"name": "worker_blocking", "description": "blocking", "key_metrics": [
-        {"name": "Maximum nested tasks", "expression": {"expression_type": "value", "value": "num_tasks"}}],
-     "cols": {"submit_max_elapsed_time": "max elapsed time", "submit_ct": "ct",
-              "success_iteration_max": "max success iteration", "failures_ct": "failures"}},
-    {"name": "schedule_noop", "description": "noop", "key_metrics": [
-        {"name": "task submit rate (1/s)", "expression": {
+    {"name": "nested_calls", "description": "blocking", "key_metrics": [
+        {"name": "deepest nesting", "expression": {"expression_type": "value", "value": "num_tasks"}}],
+     "cols": {"submit_max_elapsed_time": "longest", "submit_ct": "ct",
+              "success_iteration_max": "best run", "failures_ct": "failed"}},
+    {"name": "quick_calls", "description": "noop", "key_metrics": [
+        {"name": "submits per second", "expression": {
             "expression_type": "frac_values", "numer": "num_tasks", "denom": "submit_avg_elapsed_time"}}]},
 ]}
 
@@ -48,8 +48,8 @@ REVS = ("aaaaaaaaaa", "bbbbbbbbbb")
 @pytest.fixture(scope="module")
 def folder(tmp_path_factory):
     base = tmp_path_factory.mktemp("logs") / "e1"
-    write(base / "20160101_000000/worker_blocking_1_100_1G.log", [
-        header(1000.0, "worker_blocking", 1, 100, REVS),
+    write(base / "20160101_000000/nested_calls_1_100_1G.log", [
+        header(1000.0, "nested_calls", 1, 100, REVS),
         {"type": "start_work", "timestamp": 1.0, "data": {"iteration": 0, "pid": 1}},
         run(0, config={"num_tasks": 1}, spans=[("submit", 5.0, 0.5)]),
         {"type": "killed", "timestamp": 1.0, "data": {"pid": 1, "waited_time": 31.5}},
@@ -57,12 +57,12 @@ def folder(tmp_path_factory):
         {"type": "waiting", "timestamp": 1.0, "data": {"pid": 1, "time_waited": 10.0}},
         run(2, config={"num_tasks": 2}, spans=[("submit", 8.0, 1.5)]),
         run(3, success=False, stats=False)])
-    write(base / "20160101_000000/schedule_noop_1_10_1G.log", [
-        header(2000.0, "schedule_noop", 1, 10),
+    write(base / "20160101_000000/quick_calls_1_10_1G.log", [
+        header(2000.0, "quick_calls", 1, 10),
         run(0, config={"num_tasks": 1000}, spans=[("submit", 1.0, 0.25), ("total", 3.0, 1.0)]),
         run(1, stats=False)])
-    write(base / "20160102_000000/worker_blocking_1_100_1G.log", [
-        header(3000.0, "worker_blocking", 1, 100, REVS),
+    write(base / "20160102_000000/nested_calls_1_100_1G.log", [
+        header(3000.0, "nested_calls", 1, 100, REVS),
         run(0, config={"num_tasks": 64}, spans=[("submit", 1.0, 1.0)]), "{broken"])
     write(base / "20160102_000000/nohdr_1_1_1G.log", [run(0, config={"num_tasks": 1})])
     write(base / "20160102_000000/twohdr_1_1_1G.log", [
@@ -85,29 +85,29 @@ def test_rollup(spark, folder):
                            (r.max_success_workload_config or {}).get("num_tasks"), r.timestamp)
            for r in found.rollups.collect()}
     assert got == {
-        "01/worker_blocking_1_100": (2, 2, "2", 1000.0),
-        "01/schedule_noop_1_10": (0, 1, "1000", 2000.0),
-        "02/worker_blocking_1_100": (0, 0, "64", 3000.0)}
+        "01/nested_calls_1_100": (2, 2, "2", 1000.0),
+        "01/quick_calls_1_10": (0, 1, "1000", 2000.0),
+        "02/nested_calls_1_100": (0, 0, "64", 3000.0)}
     assert {short(r.file): r.reason for r in found.rejected.collect()} == {
         "02/nohdr_1_1": "no experiment record", "02/twohdr_1_1": "duplicate experiment record"}
     bad = logs.read_logs(spark, folder).rejected().collect()
-    assert [(short(r.file), r.value) for r in bad] == [("02/worker_blocking_1_100", "{broken")]
+    assert [(short(r.file), r.value) for r in bad] == [("02/nested_calls_1_100", "{broken")]
 
 
 def test_revisions_are_null_unless_both_are_given(spark, folder):
     heads = {short(r.file): (r.framework_rev, r.benchmark_rev)
              for r in rollup.headers(logs.read_logs(spark, folder)).collect()}
-    assert heads["01/worker_blocking_1_100"] == REVS
-    assert heads["01/schedule_noop_1_10"] == (None, None)
+    assert heads["01/nested_calls_1_100"] == REVS
+    assert heads["01/quick_calls_1_10"] == (None, None)
 
 
 def test_span_stats(spark, folder):
     stats = {(short(r.file), r.event_type): r for r in
              rollup.log_span_stats(logs.read_logs(spark, folder)).collect()}
-    s = stats["01/worker_blocking_1_100", "submit"]
+    s = stats["01/nested_calls_1_100", "submit"]
     assert (s.ct, s.total_elapsed_time, s.min_elapsed_time, s.max_elapsed_time,
             s.avg_elapsed_time, s.stddev_elapsed_time) == (2, 2.0, 0.5, 1.5, 1.0, 0.5)
-    assert stats["01/schedule_noop_1_10", "total"].avg_elapsed_time == 1.0
+    assert stats["01/quick_calls_1_10", "total"].avg_elapsed_time == 1.0
     cut = rollup.log_span_stats(logs.read_logs(spark, folder), segment_rows=1).collect()
     assert sorted(map(str, cut)) == sorted(map(str, stats.values()))
 
@@ -115,7 +115,7 @@ def test_span_stats(spark, folder):
 def test_unique_revisions_rank_before_rejecting(spark, folder, tmp_path):
     kept = rollup.unique_revisions(logs.read_logs(spark, folder))
     files = {short(r.file) for r in kept.records("experiment").select("file").distinct().collect()}
-    assert files == {"01/worker_blocking_1_100", "01/schedule_noop_1_10", "02/twohdr_1_1"}
+    assert files == {"01/nested_calls_1_100", "01/quick_calls_1_10", "02/twohdr_1_1"}
     write(tmp_path / "a.log", [header(1.0, "w", 1, 1, REVS), header(1.0, "w", 1, 1, REVS)])
     write(tmp_path / "b.log", [header(2.0, "w", 1, 1, REVS)])
     chosen = rollup.unique_revisions(logs.read_logs(spark, str(tmp_path)))
@@ -134,7 +134,7 @@ def test_prefix_and_no_recursion(spark, folder, tmp_path):
         rows = logs.read_log_lines(spark, folder, **options).select("file").distinct().collect()
         return {short(r.file) for r in rows}
 
-    assert names(prefix="schedule") == {"01/schedule_noop_1_10"}
+    assert names(prefix="quick") == {"01/quick_calls_1_10"}
     write(tmp_path / "top.log", [header(1.0, "w", 1, 1)])
     write(tmp_path / "sub" / "deep.log", [header(1.0, "w", 1, 1)])
     flat = logs.read_log_lines(spark, str(tmp_path), recurse=False).select("file").distinct().collect()
@@ -151,7 +151,7 @@ def test_summary_has_four_rows_per_measurement_and_two_per_file(spark, folder):
     done = rollup.analyse(logs.read_logs(spark, folder))
     table = rollup.summary_table(done.rollups, done.stats)
     assert table.count() == 4 * 4 + 2 * 3
-    row = table.where("measurement = 'submit' and stat = 'avg' and workload = 'schedule_noop'").first()
+    row = table.where("measurement = 'submit' and stat = 'avg' and workload = 'quick_calls'").first()
     assert (row.value, row.framework_rev, row.num_workers) == (0.25, None, 10)
     assert table.where("framework_rev = 'aaaaaaa'").count() == 4 * 2 + 2 * 2
 
@@ -167,9 +167,9 @@ def test_key_metrics(spark, folder, config):
     got = sorted((r.workload, r.timestamp, r.metric, r.value)
                  for r in metrics.key_metrics(done.rollups, values, config).collect())
     assert got == [
-        ("schedule_noop", "19700101 00:33:20", "task submit rate (1/s)", 4000.0),
-        ("worker_blocking", "19700101 00:16:40", "Maximum nested tasks", 2.0),
-        ("worker_blocking", "19700101 00:50:00", "Maximum nested tasks", 64.0)]
+        ("quick_calls", "19700101 00:33:20", "submits per second", 4000.0),
+        ("nested_calls", "19700101 00:16:40", "deepest nesting", 2.0),
+        ("nested_calls", "19700101 00:50:00", "deepest nesting", 64.0)]
 
 
 def test_trend(spark, folder, config):
@@ -177,12 +177,12 @@ def test_trend(spark, folder, config):
     values = metrics.stat_values(done.rollups, done.stats)
     long = metrics.trend(done.rollups, values, config)
     wide = metrics.metric_table(
-        long.where("workload = 'worker_blocking'"), "label",
-        ["max elapsed time", "ct", "max success iteration", "failures"])
+        long.where("workload = 'nested_calls'"), "label",
+        ["longest", "ct", "best run", "failed"])
     assert [tuple(r) for r in wide.collect()] == [
-        ("19700101 00:16:40", "aaaaaaa", "bbbbbbb", "worker_blocking", 100, 1, 1.5, 2.0, 2.0, 2.0),
-        ("19700101 00:50:00", "aaaaaaa", "bbbbbbb", "worker_blocking", 100, 1, 1.0, 1.0, 0.0, 0.0)]
-    labels = {r.label for r in long.where("workload = 'schedule_noop'").collect()}
+        ("19700101 00:16:40", "aaaaaaa", "bbbbbbb", "nested_calls", 100, 1, 1.5, 2.0, 2.0, 2.0),
+        ("19700101 00:50:00", "aaaaaaa", "bbbbbbb", "nested_calls", 100, 1, 1.0, 1.0, 0.0, 0.0)]
+    labels = {r.label for r in long.where("workload = 'quick_calls'").collect()}
     assert labels == {f"{m}_{s}" for m in ("submit", "total") for s in rollup.REPORTED} | {
         "success_iteration_max", "failures_ct"}
 
@@ -209,13 +209,13 @@ def test_config_entry_wins_over_a_measurement_of_the_same_name(spark):
 def test_waits(spark, folder):
     rows = history.wait_summary(logs.read_logs(spark, folder)).collect()
     assert [(short(r.file), r.killed, r.waiting, r.longest_wait) for r in rows] == [
-        ("01/worker_blocking_1_100", 1, 1, 31.5)]
+        ("01/nested_calls_1_100", 1, 1, 31.5)]
 
 
 def test_layout_from_path(spark, folder):
     rows = logs.read_log_lines(spark, folder).select(
         *writers.log_path_parts(F.col("file"))).distinct().collect()
-    assert ("e1", "20160101_000000", "worker_blocking", 1, 100, "1G") in [tuple(r) for r in rows]
+    assert ("e1", "20160101_000000", "nested_calls", 1, 100, "1G") in [tuple(r) for r in rows]
 
 
 def test_large_file_read_in_blocks_keeps_line_order(spark, tmp_path):
