@@ -1,22 +1,67 @@
-"""The registered queries of the operators, each over its whole table."""
+"""The registered queries of the operators, each over its whole table.
+
+The queries choose the columns that an operator needs, give it production parameters, and
+derive digests from its output; the work is the operators'.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwell.llm import prefix_bpe, simhash
+from spanwell.llm import (
+    line_dedup,
+    mixing,
+    prefix_bpe,
+    quality_classifier,
+    quality_rules,
+    simhash,
+    token_files,
+    url_filters,
+)
+from spanwell.llm.text_stats import with_counts
+from spanwell.session import settled, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Rules of hosts and paths.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+#: No table has labels of urls. A host with one of these words in a label counts as known to be
+#: bad, every other host as good; the trees see none of the words.
+BAD_HOST_WORDS = r"(^|[.-])(adult|ads|bets|casino|pills|spam)([.-]|$)"
+
+#: Which sources make up which domain, and the weights below the root, by domain and by language.
+DOMAINS = {"web": ["src0", "src1", "src2", "src3", "src4", "src5"], "books": ["src6", "src7", "src8", "src9"]}
+OTHER_DOMAIN = "forums"
+MIX_WEIGHTS: list[dict[tuple, int]] = [
+    {("web",): 5, ("books",): 3, (OTHER_DOMAIN,): 2},
+    {("en",): 4, ("de",): 2, ("fr",): 2, ("es",): 2},
+    {},
+]
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = (3, 4), 2, 2024
+MIN_SITES = 10
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(divisor: int) -> Column:
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % divisor
+
+
+def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's url."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    labelled = pages.select(
+        "url", F.when(url_filters.host(F.col("url")).rlike(BAD_HOST_WORDS), 1).otherwise(0).alias("label")
+    ).where("url is not null")
+    return url_filters.judge(pages, URL_RULES, labelled)
+
+
 def bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every document, decode the ids, and digest both."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -36,8 +81,73 @@ def simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def domain() -> Column:
+    found = F.when(F.lit(False), F.lit(OTHER_DOMAIN))
+    for name, sources in DOMAINS.items():
+        found = found.when(F.col("source").isin(sources), F.lit(name))
+    return found.otherwise(F.lit(OTHER_DOMAIN))
+
+
+def domain_sql() -> str:
+    cases = "".join(f" WHEN source IN ({', '.join(map(repr, sources))}) THEN '{name}'" for name, sources in DOMAINS.items())
+    return f"CASE{cases} ELSE '{OTHER_DOMAIN}' END"
+
+
+def mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that a mixture of domains, languages and sources takes, and how often."""
+    docs = _table(spark, sf_dir, "documents")
+    levels = {"domain": domain(), "lang": F.col("lang"), "source": F.col("source")}
+    taken = mixing.mixed(docs, levels, MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED)
+    return taken.select("doc_id", domain().alias("domain"), "lang", "source", mixing.n_words(F.col("text")).alias("tokens"), "copies")
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that many sources share."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return line_dedup.remove_shared_lines(docs, min_sites=MIN_SITES).select("doc_id", "text", "n_lines", "n_removed")
+
+
+def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document and the verdict of the rules."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = settled(with_counts(docs, keep=["doc_id"]), "document-counts")
+    judged = quality_rules.judge(counted, quality_rules.learn(counted))
+    shown = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return judged.select("doc_id", *(f"counts.{c}" for c in shown), "base_failed", "quality_probability", "kept")
+
+
+def classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by discriminants learnt from four fifths of the labels."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = settled(with_counts(docs, keep=["doc_id"]), "document-counts")
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("label_id"), F.col("quality").alias("label"))
+    held_out = _remainder(5) == 0
+    labelled = counted.where(~held_out).join(labels, F.col("doc_id") == F.col("label_id")).select("counts", "label")
+    scored = quality_classifier.score(counted, quality_classifier.fit(labelled))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def tokens_on_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all documents' ids to files of compressed blocks and read them back."""
+    path = shared_folder(spark, "token-files")
+    docs = _table(spark, sf_dir, "documents")
+    token_files.write(docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_url_filter": url_filter,
     "op2_byte_bpe": bpe,
     "op3_simhash_dedup": simhash_dedup,
+    "op4_source_mix": mix,
+    "op5_line_dedup": lines,
+    "op7_quality_rules": rules,
+    "op8_quality_classifier": classifier,
+    "op9_token_files": tokens_on_disk,
+}
+SQL: dict[str, str] = {
+    "op4_source_mix": mixing.sql(
+        {"domain": domain_sql(), "lang": "lang", "source": "source"}, MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED
+    ),
+    "op5_line_dedup": line_dedup.SQL.format(min_sites=MIN_SITES),
 }
-SQL: dict[str, str] = {}
