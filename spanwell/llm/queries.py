@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanwell.llm import (
+    embedding_dedup,
+    language_id,
     line_dedup,
     mixing,
     prefix_bpe,
@@ -135,15 +137,31 @@ def tokens_on_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every embedding."""
+    return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by a network that has learnt from two thirds of the languages given."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = _remainder(3) == 1
+    network = language_id.fit(docs.where(~held_out))
+    asked = docs.select("doc_id", "text", held_out.alias("held_out"))
+    return language_id.predict(asked, network, keep=["doc_id", "held_out"])
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_filter": url_filter,
     "op2_byte_bpe": bpe,
     "op3_simhash_dedup": simhash_dedup,
     "op4_source_mix": mix,
     "op5_line_dedup": lines,
+    "op6_embedding_dedup": vectors,
     "op7_quality_rules": rules,
     "op8_quality_classifier": classifier,
     "op9_token_files": tokens_on_disk,
+    "op10_language_id": language,
 }
 SQL: dict[str, str] = {
     "op4_source_mix": mixing.sql(
