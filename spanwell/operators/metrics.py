@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanwell.functions import names
@@ -132,8 +132,9 @@ def trend(rollups: DataFrame, values: DataFrame, config: DataFrame) -> DataFrame
         .withColumn("label", F.when(F.col("selects"), F.col("label")).otherwise(F.col("name")))
         .where("label is not null")
     )
-    measured = shown.where("kind = 'measure'").select("file").distinct()
-    return shown.join(measured, "file", "left_semi").select(
+    of_file = Window.partitionBy("file")  # a file has one row for each name it measured
+    measured = shown.withColumn("__measured", F.max((F.col("kind") == "measure").cast("int")).over(of_file))
+    return measured.where("__measured = 1").select(
         *IDENTITY, "timestamp", *REVISIONS, "file",
         F.coalesce("description", F.lit("Unknown description")).alias("description"),
         "label", "value",

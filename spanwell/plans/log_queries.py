@@ -69,13 +69,13 @@ def log_span_events(spark, sf):
 
 @query("log_rollup", f"""WITH {LOG_FILES_SQL}
 SELECT file, epoch, workload, num_workers, num_nodes, framework_rev, benchmark_rev, fail_ct,
-       max_success_iteration, num_tasks, label FROM rolled""")
+       max_success_iteration, batch_size, label FROM rolled""")
 def log_rollup(spark, sf):
     config = F.col("max_success_workload_config")
     return rollup.rollup(_logs(spark, sf)).rollups.select(
         "file", F.col("timestamp").alias("epoch"), *rollup.IDENTITY, *rollup.REVISIONS,
         "fail_ct", "max_success_iteration",
-        config["num_tasks"].try_cast("bigint").alias("num_tasks"), config["label"].alias("label"))
+        config["batch_size"].try_cast("bigint").alias("batch_size"), config["label"].alias("label"))
 
 
 @query("rejected_files", f"""WITH {LOG_FILES_SQL}
@@ -183,7 +183,7 @@ named AS (
   UNION ALL SELECT file, 'max_successful_iteration', 'count', max_success_iteration, NULL FROM rolled
   UNION ALL SELECT file, 'success_iteration_max', 'trend', max_success_iteration, NULL FROM rolled
   UNION ALL SELECT file, 'failures_ct', 'trend', fail_ct, NULL FROM rolled
-  UNION ALL SELECT file, 'num_tasks', 'config', num_tasks, NULL FROM rolled WHERE num_tasks IS NOT NULL
+  UNION ALL SELECT file, 'batch_size', 'config', batch_size, NULL FROM rolled WHERE batch_size IS NOT NULL
   UNION ALL SELECT file, 'label', 'config', NULL, label FROM rolled WHERE label IS NOT NULL
 )"""
 
@@ -199,30 +199,31 @@ def stat_values(spark, sf):
 
 
 @query("stat_columns", f"""WITH {VALUES_SQL}
-SELECT file, round(max(value) FILTER (name = 'submit_avg_elapsed_time'), 6) AS submit_avg_elapsed_time,
+SELECT file, round(max(value) FILTER (name = 'load_avg_elapsed_time'), 6) AS load_avg_elapsed_time,
        max(value) FILTER (name = 'failures_ct') AS failures_ct,
-       max(value) FILTER (name = 'num_tasks') AS num_tasks
-FROM named WHERE name IN ('submit_avg_elapsed_time', 'failures_ct', 'num_tasks') GROUP BY file""")
+       max(value) FILTER (name = 'batch_size') AS batch_size
+FROM named WHERE name IN ('load_avg_elapsed_time', 'failures_ct', 'batch_size') GROUP BY file""")
 def stat_columns(spark, sf):
     wide = metrics.pivot_values(
-        _values(*_parts(spark, sf)), ["submit_avg_elapsed_time", "failures_ct", "num_tasks"])
-    return wide.withColumn("submit_avg_elapsed_time", F.round("submit_avg_elapsed_time", 6))
+        _values(*_parts(spark, sf)), ["load_avg_elapsed_time", "failures_ct", "batch_size"])
+    return wide.withColumn("load_avg_elapsed_time", F.round("load_avg_elapsed_time", 6))
 
 
 @query("key_metrics", f"""WITH {VALUES_SQL},
-v AS (SELECT file, max(value) FILTER (name = 'num_tasks') AS num_tasks,
+v AS (SELECT file, max(value) FILTER (name = 'load_ct') AS load_ct,
              max(label) FILTER (name = 'label') AS label,
-             max(value) FILTER (name = 'submit_avg_elapsed_time') AS submit_avg,
+             max(value) FILTER (name = 'load_min_elapsed_time') AS load_min,
+             max(value) FILTER (name = 'load_max_elapsed_time') AS load_max,
              max(value) FILTER (name = 'total_max_elapsed_time') AS total_max
       FROM named GROUP BY file),
 m(workload, description, metric) AS (VALUES
-  ('building', 'Buildings', 'task rate'), ('building', 'Buildings', 'tasks'),
+  ('building', 'Buildings', 'loads'), ('building', 'Buildings', 'evenness'),
   ('automobile', 'Cars', 'best iteration'), ('automobile', 'Cars', 'failures per total'),
   ('machinery', 'Machines', 'label'), ('machinery', 'Machines', 'missing'))
 SELECT r.file, r.workload, num_workers, num_nodes, "timestamp", {SHORT}, m.description, m.metric,
        CASE WHEN m.metric = 'label' THEN v.label END AS label,
-       round(CASE m.metric WHEN 'task rate' THEN v.num_tasks / v.submit_avg
-                     WHEN 'tasks' THEN v.num_tasks
+       round(CASE m.metric WHEN 'loads' THEN v.load_ct
+                     WHEN 'evenness' THEN v.load_min / v.load_max
                      WHEN 'best iteration' THEN r.max_success_iteration
                      WHEN 'failures per total' THEN r.fail_ct / v.total_max END, 5) AS value
 FROM rolled r LEFT JOIN m ON m.workload = r.workload LEFT JOIN v ON v.file = r.file""")
@@ -236,10 +237,10 @@ def key_metrics(spark, sf):
         F.round("value", 5).alias("value"))
 
 
-@query("trend", f"""WITH {VALUES_SQL},
+SHOWN_SQL = f"""{VALUES_SQL},
 cols(workload, name, label) AS (VALUES
-  ('building', 'submit_avg_elapsed_time', 'submit avg'), ('building', 'submit_ct', 'ct'),
-  ('building', 'failures_ct', 'failures'), ('machinery', 'measure:measure:total_ct', 'measured'),
+  ('building', 'load_ct', 'loads'), ('building', 'load_max_elapsed_time', 'slowest load'),
+  ('building', 'success_iteration_max', 'last good'), ('machinery', 'measure:measure:total_ct', 'measured'),
   ('machinery', 'success_iteration_max', 'best')),
 about(workload, description) AS (VALUES ('building', 'Buildings'), ('machinery', 'Machines'),
   ('automobile', 'Cars'), ('household', 'Homes')),
@@ -251,10 +252,14 @@ shown AS (
   FROM rolled r JOIN named n ON n.file = r.file
   LEFT JOIN about a ON a.workload = r.workload
   LEFT JOIN cols c ON c.workload = r.workload AND c.name = n.name
-  WHERE n.kind IN ('measure', 'trend'))
+  WHERE n.kind IN ('measure', 'trend')),
+long_trend AS (
 SELECT * EXCLUDE (kind) FROM shown
 WHERE label IS NOT NULL
-  AND file IN (SELECT file FROM shown WHERE kind = 'measure' AND label IS NOT NULL)""")
+  AND file IN (SELECT file FROM shown WHERE kind = 'measure' AND label IS NOT NULL))"""
+
+
+@query("trend", f"WITH {SHOWN_SQL} SELECT * FROM long_trend")
 def trend(spark, sf):
     rollups, stats = _parts(spark, sf)
     config = configs.parse_metrics(metric_documents(spark))
@@ -262,20 +267,19 @@ def trend(spark, sf):
         "value", F.round("value", 6))
 
 
-@query("trend_table", f"""WITH {VALUES_SQL}
-SELECT "timestamp", {SHORT}, r.workload, num_workers, num_nodes,
-       round(max(value) FILTER (name = 'submit_avg_elapsed_time'), 6) AS "submit avg",
-       max(value) FILTER (name = 'submit_ct') AS ct,
-       max(value) FILTER (name = 'failures_ct') AS failures
-FROM rolled r JOIN named n ON n.file = r.file
-WHERE r.workload = 'building' GROUP BY ALL
-HAVING count(*) FILTER (name IN ('submit_avg_elapsed_time', 'submit_ct')) > 0""")
+TREND_LABELS = ["loads", "slowest load", "last good", "measured", "best", "load_ct", "load_avg_elapsed_time"]
+
+
+@query("trend_table", f"""WITH {SHOWN_SQL}
+SELECT * EXCLUDE (file) FROM (
+SELECT file, "timestamp", framework_rev, benchmark_rev, workload, num_workers, num_nodes,
+       {', '.join(f"max(value) FILTER (label = '{label}') AS {chr(34)}{label}{chr(34)}" for label in TREND_LABELS)}
+FROM long_trend GROUP BY ALL)""")
 def trend_table(spark, sf):
     rollups, stats = _parts(spark, sf)
     config = configs.parse_metrics(metric_documents(spark))
-    long = metrics.trend(rollups, _values(rollups, stats), config).where("workload = 'building'")
-    return metrics.metric_table(long, "label", ["submit avg", "ct", "failures"]).withColumn(
-        "submit avg", F.round("submit avg", 6))
+    long = metrics.trend(rollups, _values(rollups, stats), config).withColumn("value", F.round("value", 6))
+    return metrics.metric_table(long, "label", TREND_LABELS)
 
 
 @query("wait_summary", f"""WITH {LOG_FILES_SQL}

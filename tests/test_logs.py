@@ -9,14 +9,16 @@ from spanwell.operators import history, metrics, rollup
 from spanwell.sources import configs, logs, writers
 from spanwell.streaming import follow
 
+# Own measurements: studies that ingest batches of rows and scan them.
 CONFIG = {"workloads": [
-    {"name": "nested_calls", "description": "blocking", "key_metrics": [
-        {"name": "deepest nesting", "expression": {"expression_type": "value", "value": "num_tasks"}}],
-     "cols": {"submit_max_elapsed_time": "longest", "submit_ct": "ct",
-              "success_iteration_max": "best run", "failures_ct": "failed"}},
-    {"name": "quick_calls", "description": "noop", "key_metrics": [
-        {"name": "submits per second", "expression": {
-            "expression_type": "frac_values", "numer": "num_tasks", "denom": "submit_avg_elapsed_time"}}]},
+    {"name": "scan_study", "description": "Plain scans of one batch", "key_metrics": [
+        {"name": "rows held", "expression": {"expression_type": "value", "value": "batch_rows"}}]},
+    {"name": "join_study", "description": "Joins of growing width", "key_metrics": [
+        {"name": "evenness", "expression": {"expression_type": "frac_values",
+            "numer": "ingest_min_elapsed_time", "denom": "ingest_max_elapsed_time"}},
+        {"name": "worst ingest", "expression": {"expression_type": "value", "value": "ingest_max_elapsed_time"}}],
+     "cols": {"failures_ct": "lost", "ingest_min_elapsed_time": "quickest",
+              "ingest_avg_elapsed_time": "typical"}},
 ]}
 
 
@@ -48,23 +50,23 @@ REVS = ("aaaaaaaaaa", "bbbbbbbbbb")
 @pytest.fixture(scope="module")
 def folder(tmp_path_factory):
     base = tmp_path_factory.mktemp("logs") / "e1"
-    write(base / "20160101_000000/nested_calls_1_100_1G.log", [
-        header(1000.0, "nested_calls", 1, 100, REVS),
+    write(base / "20160101_000000/join_study_1_100_1G.log", [
+        header(1000.0, "join_study", 1, 100, REVS),
         {"type": "start_work", "timestamp": 1.0, "data": {"iteration": 0, "pid": 1}},
-        run(0, config={"num_tasks": 1}, spans=[("submit", 5.0, 0.5)]),
+        run(0, config={"batch_rows": 1}, spans=[("ingest", 5.0, 0.5)]),
         {"type": "killed", "timestamp": 1.0, "data": {"pid": 1, "waited_time": 31.5}},
         run(1, success=False, stats=False),
         {"type": "waiting", "timestamp": 1.0, "data": {"pid": 1, "time_waited": 10.0}},
-        run(2, config={"num_tasks": 2}, spans=[("submit", 8.0, 1.5)]),
+        run(2, config={"batch_rows": 2}, spans=[("ingest", 8.0, 1.5)]),
         run(3, success=False, stats=False)])
-    write(base / "20160101_000000/quick_calls_1_10_1G.log", [
-        header(2000.0, "quick_calls", 1, 10),
-        run(0, config={"num_tasks": 1000}, spans=[("submit", 1.0, 0.25), ("total", 3.0, 1.0)]),
+    write(base / "20160101_000000/scan_study_1_10_1G.log", [
+        header(2000.0, "scan_study", 1, 10),
+        run(0, config={"batch_rows": 1000}, spans=[("ingest", 1.0, 0.25), ("total", 3.0, 1.0)]),
         run(1, stats=False)])
-    write(base / "20160102_000000/nested_calls_1_100_1G.log", [
-        header(3000.0, "nested_calls", 1, 100, REVS),
-        run(0, config={"num_tasks": 64}, spans=[("submit", 1.0, 1.0)]), "{broken"])
-    write(base / "20160102_000000/nohdr_1_1_1G.log", [run(0, config={"num_tasks": 1})])
+    write(base / "20160102_000000/join_study_1_100_1G.log", [
+        header(3000.0, "join_study", 1, 100, REVS),
+        run(0, config={"batch_rows": 64}, spans=[("ingest", 1.0, 1.0)]), "{broken"])
+    write(base / "20160102_000000/nohdr_1_1_1G.log", [run(0, config={"batch_rows": 1})])
     write(base / "20160102_000000/twohdr_1_1_1G.log", [
         header(1.0, "twohdr", 1, 1), header(2.0, "twohdr", 1, 1)])
     return str(base)
@@ -82,32 +84,32 @@ def short(file):
 def test_rollup(spark, folder):
     found = rollup.rollup(logs.read_logs(spark, folder))
     got = {short(r.file): (r.fail_ct, r.max_success_iteration,
-                           (r.max_success_workload_config or {}).get("num_tasks"), r.timestamp)
+                           (r.max_success_workload_config or {}).get("batch_rows"), r.timestamp)
            for r in found.rollups.collect()}
     assert got == {
-        "01/nested_calls_1_100": (2, 2, "2", 1000.0),
-        "01/quick_calls_1_10": (0, 1, "1000", 2000.0),
-        "02/nested_calls_1_100": (0, 0, "64", 3000.0)}
+        "01/join_study_1_100": (2, 2, "2", 1000.0),
+        "01/scan_study_1_10": (0, 1, "1000", 2000.0),
+        "02/join_study_1_100": (0, 0, "64", 3000.0)}
     assert {short(r.file): r.reason for r in found.rejected.collect()} == {
         "02/nohdr_1_1": "no experiment record", "02/twohdr_1_1": "duplicate experiment record"}
     bad = logs.read_logs(spark, folder).rejected().collect()
-    assert [(short(r.file), r.value) for r in bad] == [("02/nested_calls_1_100", "{broken")]
+    assert [(short(r.file), r.value) for r in bad] == [("02/join_study_1_100", "{broken")]
 
 
 def test_revisions_are_null_unless_both_are_given(spark, folder):
     heads = {short(r.file): (r.framework_rev, r.benchmark_rev)
              for r in rollup.headers(logs.read_logs(spark, folder)).collect()}
-    assert heads["01/nested_calls_1_100"] == REVS
-    assert heads["01/quick_calls_1_10"] == (None, None)
+    assert heads["01/join_study_1_100"] == REVS
+    assert heads["01/scan_study_1_10"] == (None, None)
 
 
 def test_span_stats(spark, folder):
     stats = {(short(r.file), r.event_type): r for r in
              rollup.log_span_stats(logs.read_logs(spark, folder)).collect()}
-    s = stats["01/nested_calls_1_100", "submit"]
+    s = stats["01/join_study_1_100", "ingest"]
     assert (s.ct, s.total_elapsed_time, s.min_elapsed_time, s.max_elapsed_time,
             s.avg_elapsed_time, s.stddev_elapsed_time) == (2, 2.0, 0.5, 1.5, 1.0, 0.5)
-    assert stats["01/quick_calls_1_10", "total"].avg_elapsed_time == 1.0
+    assert stats["01/scan_study_1_10", "total"].avg_elapsed_time == 1.0
     cut = rollup.log_span_stats(logs.read_logs(spark, folder), segment_rows=1).collect()
     assert sorted(map(str, cut)) == sorted(map(str, stats.values()))
 
@@ -115,7 +117,7 @@ def test_span_stats(spark, folder):
 def test_unique_revisions_rank_before_rejecting(spark, folder, tmp_path):
     kept = rollup.unique_revisions(logs.read_logs(spark, folder))
     files = {short(r.file) for r in kept.records("experiment").select("file").distinct().collect()}
-    assert files == {"01/nested_calls_1_100", "01/quick_calls_1_10", "02/twohdr_1_1"}
+    assert files == {"01/join_study_1_100", "01/scan_study_1_10", "02/twohdr_1_1"}
     write(tmp_path / "a.log", [header(1.0, "w", 1, 1, REVS), header(1.0, "w", 1, 1, REVS)])
     write(tmp_path / "b.log", [header(2.0, "w", 1, 1, REVS)])
     chosen = rollup.unique_revisions(logs.read_logs(spark, str(tmp_path)))
@@ -134,7 +136,7 @@ def test_prefix_and_no_recursion(spark, folder, tmp_path):
         rows = logs.read_log_lines(spark, folder, **options).select("file").distinct().collect()
         return {short(r.file) for r in rows}
 
-    assert names(prefix="quick") == {"01/quick_calls_1_10"}
+    assert names(prefix="scan") == {"01/scan_study_1_10"}
     write(tmp_path / "top.log", [header(1.0, "w", 1, 1)])
     write(tmp_path / "sub" / "deep.log", [header(1.0, "w", 1, 1)])
     flat = logs.read_log_lines(spark, str(tmp_path), recurse=False).select("file").distinct().collect()
@@ -151,7 +153,7 @@ def test_summary_has_four_rows_per_measurement_and_two_per_file(spark, folder):
     done = rollup.analyse(logs.read_logs(spark, folder))
     table = rollup.summary_table(done.rollups, done.stats)
     assert table.count() == 4 * 4 + 2 * 3
-    row = table.where("measurement = 'submit' and stat = 'avg' and workload = 'quick_calls'").first()
+    row = table.where("measurement = 'ingest' and stat = 'avg' and workload = 'scan_study'").first()
     assert (row.value, row.framework_rev, row.num_workers) == (0.25, None, 10)
     assert table.where("framework_rev = 'aaaaaaa'").count() == 4 * 2 + 2 * 2
 
@@ -167,9 +169,11 @@ def test_key_metrics(spark, folder, config):
     got = sorted((r.workload, r.timestamp, r.metric, r.value)
                  for r in metrics.key_metrics(done.rollups, values, config).collect())
     assert got == [
-        ("nested_calls", "19700101 00:16:40", "deepest nesting", 2.0),
-        ("nested_calls", "19700101 00:50:00", "deepest nesting", 64.0),
-        ("quick_calls", "19700101 00:33:20", "submits per second", 4000.0)]
+        ("join_study", "19700101 00:16:40", "evenness", pytest.approx(1 / 3)),
+        ("join_study", "19700101 00:16:40", "worst ingest", 1.5),
+        ("join_study", "19700101 00:50:00", "evenness", 1.0),
+        ("join_study", "19700101 00:50:00", "worst ingest", 1.0),
+        ("scan_study", "19700101 00:33:20", "rows held", 1000.0)]
 
 
 def test_trend(spark, folder, config):
@@ -177,13 +181,13 @@ def test_trend(spark, folder, config):
     values = metrics.stat_values(done.rollups, done.stats)
     long = metrics.trend(done.rollups, values, config)
     wide = metrics.metric_table(
-        long.where("workload = 'nested_calls'"), "label",
-        ["longest", "ct", "best run", "failed"])
+        long.where("workload = 'join_study'"), "label",
+        ["lost", "quickest", "typical"])
     assert [tuple(r) for r in wide.collect()] == [
-        ("19700101 00:16:40", "aaaaaaa", "bbbbbbb", "nested_calls", 100, 1, 1.5, 2.0, 2.0, 2.0),
-        ("19700101 00:50:00", "aaaaaaa", "bbbbbbb", "nested_calls", 100, 1, 1.0, 1.0, 0.0, 0.0)]
-    labels = {r.label for r in long.where("workload = 'quick_calls'").collect()}
-    assert labels == {f"{m}_{s}" for m in ("submit", "total") for s in rollup.REPORTED} | {
+        ("19700101 00:16:40", "aaaaaaa", "bbbbbbb", "join_study", 100, 1, 2.0, 0.5, 1.0),
+        ("19700101 00:50:00", "aaaaaaa", "bbbbbbb", "join_study", 100, 1, 0.0, 1.0, 1.0)]
+    labels = {r.label for r in long.where("workload = 'scan_study'").collect()}
+    assert labels == {f"{m}_{s}" for m in ("ingest", "total") for s in rollup.REPORTED} | {
         "success_iteration_max", "failures_ct"}
 
 
@@ -209,13 +213,13 @@ def test_config_entry_wins_over_a_measurement_of_the_same_name(spark):
 def test_waits(spark, folder):
     rows = history.wait_summary(logs.read_logs(spark, folder)).collect()
     assert [(short(r.file), r.killed, r.waiting, r.longest_wait) for r in rows] == [
-        ("01/nested_calls_1_100", 1, 1, 31.5)]
+        ("01/join_study_1_100", 1, 1, 31.5)]
 
 
 def test_layout_from_path(spark, folder):
     rows = logs.read_log_lines(spark, folder).select(
         *writers.log_path_parts(F.col("file"))).distinct().collect()
-    assert ("e1", "20160101_000000", "nested_calls", 1, 100, "1G") in [tuple(r) for r in rows]
+    assert ("e1", "20160101_000000", "join_study", 1, 100, "1G") in [tuple(r) for r in rows]
 
 
 def test_large_file_read_in_blocks_keeps_line_order(spark, tmp_path):
@@ -247,4 +251,4 @@ def test_following_equals_one_pass(spark, folder, config, tmp_path):
     kept = follow.followed(spark, out, "rollups").select(*columns)
     assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, whole.select(*columns).collect()))
     latest = spark.read.json(f"{out}/latest")
-    assert sorted(r.value for r in latest.collect()) == [2.0, 4000.0]
+    assert sorted(r.value for r in latest.collect()) == [pytest.approx(1 / 3), 1.5, 1000.0]
