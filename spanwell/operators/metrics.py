@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanwell.functions import names
 from spanwell.operators.rollup import IDENTITY, REPORTED, REVISIONS
-from spanwell.operators.sizing import broadcast_if_small, salted_lookup
+from spanwell.operators.sizing import salted_lookup
 
 
 def stat_values(rollups: DataFrame, stats: DataFrame, *, cut_ten: bool = False) -> DataFrame:
@@ -93,13 +93,13 @@ def key_metrics(rollups: DataFrame, values: DataFrame, config: DataFrame) -> Dat
         F.explode(F.array("m.expression.numer", "m.expression.denom", "m.expression.value")).alias("name")
     ).where("name is not null").distinct()
     maps = (
-        values.join(broadcast_if_small(wanted), "name", "left_semi")
+        values.join(wanted, "name", "left_semi")
         .groupBy("file")
         .agg(F.map_from_entries(F.collect_list(F.struct("name", "text"))).alias("stats"))
     )
     text = eval_metric(F.col("stats"), F.col("m.expression"))
     return (
-        rollups.join(broadcast_if_small(metrics), "workload", "left")
+        rollups.join(metrics, "workload", "left")
         .join(maps, "file", "left")
         .select(
             *IDENTITY,
@@ -125,10 +125,10 @@ def trend(rollups: DataFrame, values: DataFrame, config: DataFrame) -> DataFrame
         "file", *IDENTITY,
         names.date_label(F.col("timestamp")).alias("timestamp"),
         *[names.short_revision(F.col(c)).alias(c) for c in REVISIONS],
-    ).join(broadcast_if_small(settings), "workload", "left")
+    ).join(settings, "workload", "left")
     shown = (
         values.where(F.col("kind").isin("measure", "trend")).join(base, "file")
-        .join(broadcast_if_small(cols), ["workload", "name"], "left")
+        .join(cols, ["workload", "name"], "left")
         .withColumn("label", F.when(F.col("selects"), F.col("label")).otherwise(F.col("name")))
         .where("label is not null")
     )

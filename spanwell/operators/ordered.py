@@ -1,11 +1,12 @@
 """Running values over ordered rows, safe for keys that hold much of the data.
 
-A window partitioned by key sorts a whole key in one task. Here the heavy keys
-are found first with one mergeable sketch, and only those are cut into segments
-of bounded size along the order columns. Each segment is a window partition of
-its own; what a segment needs from the ones before it is a per-segment aggregate
-(combined map-side), so the table that is broadcast back has one row per segment.
-Without heavy keys the plan is the ordinary window.
+A window partitioned by key sorts a whole key in one task. Where a key is too large for
+that, or there is no key, the rows are range-partitioned along keys and order, written once
+with the number of their range, and each range of a key is a window partition of its own.
+What a range needs from the ones before it is an aggregate by range (combined map-side);
+only ranges that continue a key take anything over, so the table that is joined back has
+at most a row for each range, whatever the number of keys and rows. Where all keys are light the plan
+is the ordinary window.
 """
 
 from __future__ import annotations
@@ -21,12 +22,9 @@ from spanwell.session import settled
 
 SEGMENT_ROWS_CONF = "spanwell.segment.rows"
 SEGMENT_ROWS = 4_000_000      # rows one task may sort for one key
-MAX_SEGMENTS = 65_536         # bound on the broadcast cut points, over all keys
-MAX_HEAVY = 1_024             # bound on the heavy keys that are looked for
-SAMPLES_PER_SEGMENT = 24
 
 _SEG = "__seg"
-_HASH = "__hash"
+_ALL = "__all"
 
 
 @dataclass(frozen=True)
@@ -80,12 +78,11 @@ class OrderedRows:
         return replace(self, rows=joined.select(*kept, *merged))
 
     def _carry(self, values: dict[str, Running]) -> DataFrame:
-        """What each later segment of a heavy key takes over; a row per segment."""
-        heavy = self.rows.where(F.col(_SEG) >= 0)
+        """What each range that continues a key takes over; at most a row per range."""
         numbers = {n: spec for n, spec in values.items() if spec.how != "last"}
         lasts = {n: spec for n, spec in values.items() if spec.how == "last"}
         # Every segment has a row here, also one with nothing to take over.
-        totals = heavy.groupBy(*self.partition).agg(
+        totals = self.rows.groupBy(*self.partition).agg(
             F.count(F.lit(1)).alias("__rows"),
             *[_combine(spec).alias(n) for n, spec in numbers.items()],
         )
@@ -93,22 +90,25 @@ class OrderedRows:
             # Last values need a sort; only rows that have one go there.
             some = reduce(lambda a, b: a | b, [spec.value.isNotNull() for spec in lasts.values()])
             position = F.struct(*self.order)
-            found = heavy.where(some).groupBy(*self.partition).agg(*[
+            found = self.rows.where(some).groupBy(*self.partition).agg(*[
                 F.max_by(spec.value, F.when(spec.value.isNotNull(), position)).alias(n)
                 for n, spec in lasts.items()
             ])
             match = [F.col(f"t.`{c}`").eqNullSafe(F.col(f"l.`{c}`")) for c in self.partition]
-            totals = totals.alias("t").join(F.broadcast(found.alias("l")), match, "left").select(
+            totals = totals.alias("t").join(found.alias("l"), match, "left").select(
                 "t.*", *[F.col(f"l.`{n}`") for n in lasts])
+        # Without keys all ranges are one partition of this window: as many rows as there are ranges.
         before = (
-            Window.partitionBy(*self.keys).orderBy(_SEG)
+            Window.partitionBy(*(self.keys or [_ALL])).orderBy(_SEG)
             .rowsBetween(Window.unboundedPreceding, -1)
         )
-        return totals.select(
+        taken = totals.withColumn(_ALL, F.lit(0)).select(
             *self.partition,
+            F.count(F.lit(1)).over(before).alias("__earlier"),
             *[_combine(replace(spec, value=F.col(name))).over(before).alias(name)
               for name, spec in values.items()],
         )
+        return settled(taken.where("__earlier > 0").drop("__earlier"), "carries")
 
     def done(self) -> DataFrame:
         return self.rows.drop(_SEG)
@@ -133,119 +133,39 @@ def ordered(
     key columns instead, where an upper bound of the rows is cheaper to sum, and
     ``look`` at one with the same rows that is cheaper to make.
     ``settle`` is for rows that are costly to make: if they have to be cut, which
-    takes several passes, they are written to the shared folder once.
+    takes several passes, they are written to the shared folder once before.
     """
     keys, order = tuple(keys), tuple(order)
     if fits:
         return OrderedRows(df, keys, order, False)
     limit = segment_rows or segment_limit(df.sparkSession)
-    heavy = heavy_weights(*weights, keys, limit) if weights else heavy_keys(
-        df if look is None else look, keys, limit)
-    if not heavy:
+    seen, weight = weights or (df if look is None else look, F.lit(1))
+    total, most = _sizes(seen, weight, keys)
+    if keys and most <= limit:
         return OrderedRows(df, keys, order, False)
-    if settle:
-        df = settled(df, "ordered")
-    cuts, most = _cut_points(df, keys, order, heavy, limit)
-    if not most:
-        return OrderedRows(df, keys, order, False)
-    return OrderedRows(_with_segments(df, keys, order, cuts, most), keys, order, True)
+    return OrderedRows(_ranged(settled(df, "rows") if settle else df, keys, order, total, limit), keys, order, True)
 
 
 def segment_limit(spark: SparkSession) -> int:
     return int(spark.conf.get(SEGMENT_ROWS_CONF, str(SEGMENT_ROWS)))
 
 
-def heavy_keys(df: DataFrame, keys: tuple[str, ...] | list[str], limit: int) -> dict[int, int]:
-    """Hash and approximate row count of each key above ``limit`` rows.
-
-    One pass over the key columns with a mergeable sketch; at most MAX_HEAVY
-    entries come back. A key missed by the sketch costs balance, not rows.
-    """
-    if not keys:
-        n = df.count()
-        return {_no_key_hash(): n} if n > limit else {}
-    found = (
-        df.select(F.xxhash64(*keys).alias(_HASH))
-        .agg(
-            F.expr(f"approx_top_k({_HASH}, {MAX_HEAVY}, {MAX_HEAVY * 16})").alias("top"),
-        )
-        .first()
-    )
-    return {row["item"]: row["count"] for row in (found["top"] or []) if row["count"] > limit}
-
-
-def heavy_weights(
-    df: DataFrame, weight: Column, keys: tuple[str, ...], limit: int
-) -> dict[int, int]:
-    """The same from summed weights, for keys that are few, such as files."""
-    sums = df.groupBy(_key_hash(keys).alias(_HASH)).agg(F.sum(weight).cast("bigint").alias("n"))
-    rows = sums.where(F.col("n") > limit).orderBy(F.desc("n")).limit(MAX_HEAVY).collect()
-    return {row[_HASH]: row["n"] for row in rows}
+def _sizes(df: DataFrame, weight: Column, keys: tuple[str, ...]) -> tuple[int, int]:
+    """Rows (or weights) in all and of the largest key: two numbers from exact counts by key."""
+    counts = df.groupBy(*keys).agg(F.sum(weight).cast("bigint").alias("n")) if keys else df.agg(
+        F.sum(weight).cast("bigint").alias("n"))
+    found = counts.agg(F.sum("n").alias("total"), F.max("n").alias("most")).first()
+    return found["total"] or 0, found["most"] or 0
 
 
-def _no_key_hash() -> int:
-    return 0
+def _ranged(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], total: int, limit: int) -> DataFrame:
+    """``df`` cut into ranges along keys and order, with each row's range in a column.
 
-
-def _key_hash(keys: tuple[str, ...]) -> Column:
-    return F.xxhash64(*keys) if keys else F.lit(_no_key_hash()).cast("bigint")
-
-
-def _cut_points(df, keys, order, heavy: dict[int, int], limit: int) -> tuple[DataFrame, int]:
-    """Evenly spaced order values of each heavy key, from a sample by content.
-
-    They only balance the work, so a sample does; they are collected (at most
-    MAX_SEGMENTS in all) so that every use of them sees the same values. Also
-    gives the most cut points of one key.
-    """
-    spark = df.sparkSession
-    size = max(limit, sum(heavy.values()) // MAX_SEGMENTS + 1)
-    plan = [
-        (h, -(-n // size), min(1.0, SAMPLES_PER_SEGMENT * -(-n // size) / n))
-        for h, n in heavy.items()
-    ]
-    wanted = spark.createDataFrame(plan, f"{_HASH} bigint, pieces bigint, rate double")
-    position = F.struct(*order)
-    draw = F.pmod(F.xxhash64(F.lit(11), *order), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sampled = (
-        df.select(_key_hash(keys).alias(_HASH), *order)
-        .join(F.broadcast(wanted), _HASH)
-        .where(draw < F.col("rate"))
-        .groupBy(_HASH, "pieces")
-        .agg(F.sort_array(F.collect_list(position)).alias("seen"))
-    )
-    step = F.size("seen") / F.col("pieces")
-    at = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.col("pieces") - 1, F.lit(1))),
-        lambda i: F.element_at("seen", F.greatest(F.lit(1), F.floor(i * step)).cast("int")),
-    )
-    rows = (
-        sampled.where((F.size("seen") > 0) & (F.col("pieces") > 1))
-        .select(_HASH, F.array_distinct(at).alias("cuts")).collect()
-    )
-    point = sampled.schema["seen"].dataType.elementType
-    schema = T.StructType([
-        T.StructField(_HASH, T.LongType()), T.StructField("cuts", T.ArrayType(point))])
-    most = max((len(row["cuts"]) for row in rows), default=0)
-    return spark.createDataFrame([(row[_HASH], row["cuts"]) for row in rows], schema), most
-
-
-def _with_segments(df, keys, order, cuts: DataFrame, most: int) -> DataFrame:
-    """Add the segment number: -1 for light keys, else the cut points at or below.
-
-    A binary search over at most ``most`` cut points: each step is tried on top
-    of the steps taken so far; beyond the end there is no cut point.
+    The ranges follow from a sample, so they are fixed by writing them once.
     """
-    position = F.struct(*order)
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range(most.bit_length()))])
-    below = F.aggregate(
-        steps, F.lit(0),
-        lambda taken, step: F.when(
-            F.get(F.col("cuts"), taken + step - 1) <= position, taken + step).otherwise(taken),
-    )
-    seg = F.when(F.col("cuts").isNull(), F.lit(-1)).otherwise(below)
-    marked = df.withColumn(_HASH, _key_hash(keys)).join(F.broadcast(cuts), _HASH, "left")
-    return marked.select(*[F.col(f"`{c}`") for c in df.columns], seg.alias(_SEG))
+    ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // limit))
+    cut = df.repartitionByRange(ranges, *[F.col(f"`{c}`") for c in (*keys, *order)])
+    return settled(cut.withColumn(_SEG, F.spark_partition_id()), "ranges")
 
 
 def _combine(spec: Running) -> Column:

@@ -157,7 +157,7 @@ def unique_revisions(logs: Logs) -> Logs:
     before anything else of it is parsed.
     """
     kept = settled(first_per_revision(headers(logs)).select("file"), "kept-files")
-    return Logs(keep_matching(logs.lines, kept, ["file"], LINE_ORDER))
+    return Logs(keep_matching(logs.lines, kept, ["file"]))
 
 
 def experiment_groups(rollups: DataFrame) -> DataFrame:

@@ -1,58 +1,48 @@
-"""Joins against lookup tables whose size or skew has to be looked at."""
+"""Joins against lookup tables of any size, with any skew of the keys."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanwell.operators.ordered import heavy_keys, segment_limit
+from spanwell.operators.ordered import segment_limit
+from spanwell.session import settled
 
-# A table is broadcast by hint only after it was counted to be at most this long.
-BROADCAST_ROWS = 100_000
-SALTS = 64
 
+def keep_matching(big: DataFrame, lookup: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of ``big`` whose keys stand in ``lookup`` (no nulls).
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    return df.limit(rows + 1).count() <= rows
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` if its counted size is bounded, else leave it to the planner."""
-    return F.broadcast(df) if is_small(df, rows) else df
-
-
-def keep_matching(
-    big: DataFrame, lookup: DataFrame, keys: list[str], spread: list[str], rows: int = BROADCAST_ROWS
-) -> DataFrame:
-    """The rows of ``big`` whose keys stand in ``lookup`` (a row per key, no nulls)."""
-    if is_small(lookup, rows):
-        return big.join(F.broadcast(lookup.select(*keys)), keys, "left_semi")
-    return salted_lookup(big, lookup.select(*keys), keys, spread)
+    A plain semi join: the planner broadcasts the lookup if it measures it to be small,
+    and splits the partitions of heavy keys otherwise.
+    """
+    return big.join(lookup.select(*keys), keys, "left_semi")
 
 
 def salted_lookup(
-    big: DataFrame, lookup: DataFrame, keys: list[str], spread: list[str],
-    salts: int = SALTS, heavy_rows: int | None = None,
+    big: DataFrame, lookup: DataFrame, keys: list[str], spread: list[str], heavy_rows: int | None = None,
 ) -> DataFrame:
     """Inner join on ``keys`` for any size of either side and any key skew.
 
-    The lookup has one row per key; null keys match. Rows of a heavy key are
-    spread over ``salts`` tasks by the ``spread`` columns, and only the lookup
-    rows of heavy keys are repeated. The planner may still turn the join into a
-    broadcast from the sizes it measures.
+    The lookup has one row per key; null keys match. Rows of a key above ``heavy_rows``
+    are spread over as many tasks as its counted rows need, by the ``spread`` columns, and
+    only the lookup rows of such keys are repeated.
     """
-    heavy = heavy_keys(big, keys, heavy_rows or segment_limit(big.sparkSession))
-    left, right = big.alias("l"), lookup.alias("r")
+    limit = heavy_rows or segment_limit(big.sparkSession)
+    counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
+    heavy = settled(
+        counts.select(*[F.col(f"`{k}`").alias(f"__{k}") for k in keys], F.ceil(F.col("n") / limit).alias("__salts")),
+        "heavy-keys",
+    )
+
+    def with_salts(df: DataFrame) -> DataFrame:
+        match = [F.col(f"d.`{k}`").eqNullSafe(F.col(f"h.`__{k}`")) for k in keys]
+        return df.alias("d").join(heavy.alias("h"), match, "left").select(
+            *[F.col(f"d.`{c}`") for c in df.columns], F.coalesce("h.__salts", F.lit(1)).alias("__salts"))
+
+    left = with_salts(big).withColumn("__salt", F.pmod(F.xxhash64(*spread), F.col("__salts"))).alias("l")
+    right = with_salts(lookup).withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__salts") - 1))).alias("r")
     match = [F.col(f"l.`{k}`").eqNullSafe(F.col(f"r.`{k}`")) for k in keys]
-    if heavy:
-        hot = F.xxhash64(*keys).isin(list(heavy))
-        left = big.withColumn(
-            "__salt", F.when(hot, F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(0)
-        ).alias("l")
-        copies = F.when(hot, F.lit(salts)).otherwise(1).cast("bigint")
-        right = lookup.withColumn(
-            "__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), copies - 1))).alias("r")
-        match.append(F.col("l.__salt") == F.col("r.__salt"))
+    match.append(F.col("l.__salt") == F.col("r.__salt"))
     extra = [c for c in lookup.columns if c not in keys]
     return left.join(right, match).select(
         *[F.col(f"l.`{c}`") for c in big.columns], *[F.col(f"r.`{c}`") for c in extra]

@@ -43,7 +43,7 @@ def test_running_matches_scan(spark, inclusive, limit, keys):
     rows = sample_rows(limit, 400)
     df = spark.createDataFrame(rows, "k string, t bigint, i bigint, v bigint").repartition(5)
     prepared = ordered(df, keys, ["t", "i"], segment_rows=limit)
-    assert prepared.segmented == (limit < 400)
+    assert prepared.segmented == (limit < 400 or not keys)
     got = prepared.running(
         total=Running("sum", F.col("v"), inclusive),
         final=Running("last", F.col("v"), inclusive),
@@ -65,7 +65,16 @@ def test_one_order_value_holding_most_rows_is_still_cut(spark):
     assert numbered.where(F.col("n") != F.col("i") + 1).count() == 0
 
 
-def test_many_segments_use_both_lookup_levels(spark):
+def test_keyless_passes_have_no_window_in_one_task(spark):
+    """Only sums by range, a row for each, may meet in one partition."""
+    df = spark.range(5000).select(F.col("id").alias("i"))
+    numbered = ordered(df, [], ["i"]).running(n=Running("sum", F.lit(1))).done()
+    assert numbered.where(F.col("n") != F.col("i") + 1).count() == 0
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "Generate" not in plan
+
+
+def test_many_segments(spark):
     df = spark.range(20_000).select(F.col("id").alias("i"))
     prepared = ordered(df, [], ["i"], segment_rows=100)
     assert prepared.rows.select("__seg").distinct().count() > 100
