@@ -26,7 +26,13 @@ def sweep_grid(sweeps: DataFrame) -> DataFrame:
     )
 
 
+def _succeeded(success: Column) -> Column:
+    """A run that does not say that it was successful has failed."""
+    return F.coalesce(success, F.lit(False))
+
+
 def _numbered(runs: DataFrame, keys, order, success: Column, **sizing) -> OrderedRows:
+    success = _succeeded(success)
     failed = F.when(success, 0).otherwise(1).cast("bigint")
     counted = ordered(runs, keys, order, **sizing).running(
         run_number=Running("sum", F.lit(1).cast("bigint"), through_row=False),
@@ -58,7 +64,7 @@ def executed_runs(
     Adds ``run_number``, ``streak`` and ``ends`` (this run ends the history).
     """
     scan = _numbered(runs, keys, order, F.col(success), **sizing)
-    ends = F.coalesce((_streak() >= limit) & ~F.col(success), F.lit(False))
+    ends = F.coalesce((_streak() >= limit) & ~_succeeded(F.col(success)), F.lit(False))
     scan = scan.running(__ended=Running("max", ends.cast("int"), through_row=False))
     return (
         scan.done().withColumns({"streak": _streak(), "ends": ends})
@@ -75,8 +81,8 @@ def run_outcomes(
     executed = executed_runs(runs, keys, order, limit, success, **sizing)
     elapsed = [(F.max(at) - F.min(at)).alias("elapsed_time")] if at else []
     return executed.groupBy(*keys).agg(
-        F.count_if(F.col(success)).alias("num_successes"),
-        F.count_if(~F.col(success)).alias("num_failures"),
+        F.count_if(_succeeded(F.col(success))).alias("num_successes"),
+        F.count_if(~_succeeded(F.col(success))).alias("num_failures"),
         F.max("run_number").alias("last_run"),
         *elapsed,
         F.when(F.bool_or("ends"), FAILED_END).otherwise(TARGET_END)

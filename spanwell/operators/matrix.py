@@ -218,4 +218,4 @@ def chunk_array(values: Column, n: int) -> Column:
     starts = F.sequence(F.lit(0).cast("bigint"), length - 1, size)
     return F.when(length > 0, F.transform(
         starts, lambda s: F.slice(values, (s + 1).cast("int"), size.cast("int"))
-    )).otherwise(F.array().cast("array<array<string>>"))
+    )).otherwise(F.slice(F.array(values), 1, 0))

@@ -87,17 +87,21 @@ def rollup(logs: Logs) -> Rollups:
         F.when(F.col("headers") == 0, "no experiment record")
         .otherwise("duplicate experiment record").alias("reason"),
     )
+    if logs.files is not None:
+        empty = logs.files.select("file").join(totals.select("file"), "file", "left_anti")
+        rejected = rejected.unionByName(empty.select("file", F.lit("empty file").alias("reason")))
     return Rollups(good, rejected)
 
 
 def _run_columns() -> list:
     is_run = F.coalesce(F.col("type") == "finish_work", F.lit(False))
-    success = is_run & F.col("data.success")
+    # A run that does not say that it was successful has failed.
+    success = is_run & F.coalesce(F.col("data.success"), F.lit(False))
     config = F.col("data.stats.config")
     # Of equal iterations the first in the file counts.
     place = F.struct(F.col("data.iteration"), -F.col("block"), -F.col("line"))
     return [
-        F.count_if(is_run & ~F.col("data.success")).alias("fail_ct"),
+        F.count_if(is_run & ~success).alias("fail_ct"),
         F.max(F.when(success, F.col("data.iteration"))).alias("max_success_iteration"),
         F.max_by(config, F.when(success & config.isNotNull(), place))
         .alias("max_success_workload_config"),
@@ -111,9 +115,10 @@ EVENT_BYTES = 40
 def log_span_stats(logs: Logs, **sizing) -> DataFrame:
     """Duration statistics per file over all its successful runs, in log order.
 
-    Heavy files are found by the length of their lines, before any parsing.
+    Heavy files are found by their size, before any line is read where the files are known.
     """
-    sizing = {"weights": (logs.lines, F.length("value") / EVENT_BYTES), "settle": True, **sizing}
+    sized = (logs.lines, F.length("value")) if logs.files is None else (logs.files, F.col("length"))
+    sizing = {"weights": (sized[0], sized[1] / EVENT_BYTES), "settle": True, **sizing}
     built = build_spans(run_events(logs, extras=False), ["file"], EVENT_ORDER, **sizing)
     return span_stats(built.spans, ["file"])
 
@@ -157,7 +162,8 @@ def unique_revisions(logs: Logs) -> Logs:
     before anything else of it is parsed.
     """
     kept = settled(first_per_revision(headers(logs)).select("file"), "kept-files")
-    return Logs(keep_matching(logs.lines, kept, ["file"]))
+    files = None if logs.files is None else keep_matching(logs.files, kept, ["file"])
+    return Logs(keep_matching(logs.lines, kept, ["file"]), files)
 
 
 def experiment_groups(rollups: DataFrame) -> DataFrame:

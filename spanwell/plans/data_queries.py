@@ -148,9 +148,11 @@ def _cells(spark, sf):
 SELECT a.col AS "row", b.col AS col, round(sum(a.v * b.v), 4) + 0.0 AS v
 FROM cells a JOIN cells b ON a."row" = b."row" GROUP BY a.col, b.col""")
 def matrix_product(spark, sf):
-    x = matrix.vectors_to_blocks(table(spark, sf, "embeddings"), "vec_id", "embedding", 32)
+    vectors = table(spark, sf, "embeddings")
+    width = vectors.agg(F.max(F.size("embedding"))).scalar()
+    x = matrix.vectors_to_blocks(vectors, "vec_id", "embedding", 32)
     made = matrix.multiply_blocks(matrix.transpose_blocks(x, 32), x, 32)
-    return matrix.from_blocks(made, 32, 64, 64).select(
+    return matrix.from_blocks(made, 32, width, width).select(
         "row", "col", (F.round("v", 4) + 0.0).alias("v"))
 
 

@@ -8,7 +8,7 @@ from spanwell.functions import names
 from spanwell.functions.scalars import failure_limit, wait_limit
 from spanwell.operators import history, metrics, rollup
 from spanwell.plans.inputs import (
-    LOG_FILES_SQL, SWEEPS_SQL, log_lines, metric_documents, micros, sweep_documents, table,
+    LOG_FILES_SQL, SWEEPS_SQL, log_file, log_lines, metric_documents, micros, sweep_documents, table,
 )
 from spanwell.plans.registry import query
 from spanwell.session import settled
@@ -79,11 +79,33 @@ def log_rollup(spark, sf):
 
 
 @query("rejected_files", f"""WITH {LOG_FILES_SQL}
-SELECT file, CASE WHEN headers = 0 THEN 'no experiment record'
-                  ELSE 'duplicate experiment record' END AS reason
-FROM files WHERE headers = 2 OR (headers = 0 AND file IN (SELECT file FROM runs))""")
+SELECT file, CASE WHEN headers > 0 THEN 'duplicate experiment record'
+                  WHEN file IN (SELECT file FROM runs) THEN 'no experiment record'
+                  ELSE 'empty file' END AS reason
+FROM files WHERE headers <> 1""")
 def rejected_files(spark, sf):
-    return rollup.rollup(_logs(spark, sf)).rejected
+    files = table(spark, sf, "customer").select(log_file(F.col("c_custkey")).alias("file"), F.lit(None).cast("bigint").alias("length"))
+    return rollup.rollup(logs.Logs(log_lines(spark, sf), files)).rejected
+
+
+@query("rejected_records", f"""WITH {LOG_FILES_SQL}
+SELECT file, iteration * 2 AS line, 'no record' AS reason FROM runs WHERE status = 'O' AND priority = '5-LOW'
+UNION ALL
+SELECT file, iteration * 2 + 1, CASE iteration % 7 WHEN 0 THEN 'data is no object' WHEN 1 THEN 'iteration is no number'
+    WHEN 2 THEN 'success is neither true nor false' ELSE 'event time is no number' END
+FROM runs WHERE iteration % 7 < 3 OR (iteration % 7 = 3 AND priority <> '1-URGENT')""")
+def rejected_records(spark, sf):
+    """Of every seven runs three or four have a malformed value."""
+    kind = F.pmod(F.floor(F.col("line") / 2), F.lit(7))
+    spoilt = (
+        F.when(kind == 0, F.regexp_replace("value", r'"data":\{.*', '"data":7}'))
+        .when(kind == 1, F.regexp_replace("value", r'"iteration":\d+', '"iteration":"many"'))
+        .when(kind == 2, F.regexp_replace("value", r'"success":\w+', '"success":"maybe"'))
+        .when(kind == 3, F.regexp_replace("value", r'"events":\[\{"timestamp":[^,]*', '"events":[{"timestamp":"noon"'))
+    )
+    is_run = F.contains("value", F.lit('"type":"finish_work"'))
+    lines = log_lines(spark, sf).withColumn("value", F.when(is_run, F.coalesce(spoilt, "value")).otherwise(F.col("value")))
+    return logs.Logs(lines).rejected().select("file", "line", "reason")
 
 
 @query("log_span_stats", f"""WITH {LOG_FILES_SQL}

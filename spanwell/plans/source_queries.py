@@ -33,6 +33,21 @@ def trace_records(spark, sf):
     return traces.decode_records(_raw_records(spark, sf))
 
 
+@query("rejected_trace_records", """
+SELECT event_id, CAST(CASE WHEN event_id % 5 <> 0 THEN 1 END AS INTEGER) AS pos,
+       CASE event_id % 5 WHEN 0 THEN 'value is no array' WHEN 1 THEN 'fewer than four fields'
+                         WHEN 2 THEN 'timestamp is no number' ELSE 'status is no number' END AS reason
+FROM events WHERE event_id % 5 < 4""")
+def rejected_trace_records(spark, sf):
+    """Of every five records four have an element, or a value, that cannot be read."""
+    kind = F.pmod("event_id", F.lit(5))
+    value = F.when(kind == 0, '{"a": 1}').otherwise(F.concat(F.lit('[[1.5, "x", 1, {}], '), F.when(
+        kind == 1, '[2.5, "x", 2]').when(kind == 2, '["noon", "x", 2, {}]').when(
+        kind == 3, '[2.5, "x", "done", {}]').otherwise('[2.5, "x", 2, {}]'), F.lit("]")))
+    raw = table(spark, sf, "events").select("event_id", F.lit(None).cast("binary").alias("key"), value.alias("value"))
+    return traces.rejected_records(raw).select("event_id", "pos", "reason")
+
+
 @query("worker_registry", """
 SELECT sha1(CAST(c_custkey AS VARCHAR)) AS worker_id,
        '10.0.' || c_nationkey || '.' || (c_custkey % 250) AS ip FROM customer
@@ -112,17 +127,65 @@ def log_roundtrip(spark, sf):
         F.count(F.lit(1)).alias("records"))
 
 
+def _written_documents(docs, path):
+    """Documents (``value``) in a file of their own each, in folders by ``k``."""
+    docs.select("k", "value").repartition("k").write.partitionBy("k").text(path)
+
+
 @query("sweep_config_files", f"""WITH {SWEEPS_SQL}
-SELECT num_workers, num_nodes, shm_size, mem_size, count(*) AS systems FROM sweep_systems GROUP BY ALL""")
+SELECT p_partkey % 16 AS k, num_workers, num_nodes, shm_size, mem_size, count(*) AS systems
+FROM sweep_systems GROUP BY ALL""")
 def sweep_config_files(spark, sf):
-    """Sweep configs written as JSON lines and read back with the explicit schema."""
+    """All parts' systems in sixteen sweep configs, one document a file, read by the file reader."""
     path = shared_folder(spark, "sweeps")
-    sweep_documents(spark, sf).select("value").write.text(path)
-    lines = configs.read_corpus(spark, path).withColumnRenamed("text", "value")
-    return configs.systems(configs.parse_sweeps(lines)).groupBy(
+    one = F.format_string(
+        '{"num_workers":%1$d,"num_nodes":1,"mem_size":"1G","shm_size":"1G","mem_size":null},'
+        '{"num_workers":%2$d,"num_nodes":2,"shm_size":"2G","mem_size":"4G"}', F.col("p_size"), F.col("p_size") * 2)
+    docs = table(spark, sf, "part").groupBy((F.col("p_partkey") % 16).alias("k")).agg(
+        F.format_string('{"system_configs":[%s],"workloads":[]}', F.array_join(F.collect_list(one), ",")).alias("value"))
+    _written_documents(docs, path)
+    found = configs.systems(configs.read_sweeps(spark, path))
+    return found.groupBy(
+        F.regexp_extract("file", "/k=(\\d+)/", 1).cast("bigint").alias("k"),
         "num_workers", "num_nodes", "shm_size", "mem_size").agg(F.count(F.lit(1)).alias("systems"))
 
 
+@query("metric_config_files", """
+SELECT o_orderkey % 4 AS k, o_orderstatus AS workload, o_orderpriority AS name, count(*) AS orders
+FROM orders GROUP BY ALL""")
+def metric_config_files(spark, sf):
+    """Four metric configs whose column choices carry counts of orders, read by the file reader."""
+    path = shared_folder(spark, "metrics")
+    counts = table(spark, sf, "orders").groupBy((F.col("o_orderkey") % 4).alias("k"), "o_orderstatus", "o_orderpriority").agg(
+        F.count(F.lit(1)).cast("string").alias("n"))
+    entries = counts.groupBy("k", "o_orderstatus").agg(F.struct(
+        F.col("o_orderstatus").alias("name"), F.lit("orders").alias("description"),
+        F.map_from_entries(F.collect_list(F.struct("o_orderpriority", "n"))).alias("cols")).alias("entry"))
+    docs = entries.groupBy("k").agg(F.to_json(F.struct(F.collect_list("entry").alias("workloads"))).alias("value"))
+    _written_documents(docs, path)
+    read = None
+    for k in range(4):  # a config is one file
+        one = configs.read_metrics(spark, f"{path}/k={k}").select(F.lit(k).cast("bigint").alias("k"), "workload", F.explode("cols").alias("name", "n"))
+        read = one if read is None else read.unionByName(one)
+    return read.select("k", "workload", "name", F.col("n").cast("bigint").alias("orders"))
+
+
+@query("dump_files", """
+SELECT event_id, event_type, CAST(user_id AS VARCHAR) AS worker_id, CAST(user_id % 16 AS BIGINT) AS k FROM events""")
+def dump_files(spark, sf):
+    """All events in sixteen dumps, one document a file, read by the file reader."""
+    path = shared_folder(spark, "dumps")
+    event = F.struct(
+        F.col("event_id").cast("double").alias("timestamp"), F.col("user_id").cast("string").alias("worker_id"),
+        F.lit("-1").alias("task_id"), "event_type", F.lit(1).alias("status"), F.lit(None).cast("string").alias("extras"))
+    docs = table(spark, sf, "events").groupBy((F.col("user_id") % 16).alias("k")).agg(
+        F.to_json(F.struct(F.collect_list(event).alias("events"))).alias("value"))
+    _written_documents(docs, path)
+    return traces.dump_events(traces.read_dumps(spark, path)).select(
+        F.col("timestamp").cast("bigint").alias("event_id"), "event_type", "worker_id",
+        F.regexp_extract("file", "/k=(\\d+)/", 1).cast("bigint").alias("k"))
+
+
 @query("corpus_roundtrip", """
 SELECT line, count(*) AS lines FROM (
   SELECT unnest(string_split(replace(text, chr(13), ' '), chr(10))) AS line FROM documents) GROUP BY line""")

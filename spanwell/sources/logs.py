@@ -55,6 +55,8 @@ class Logs:
     """
 
     lines: DataFrame
+    #: ``file, length`` of all files, those without a line included; none if they are not known
+    files: DataFrame | None = None
 
     def records(self, *kinds: str, events: bool = True) -> DataFrame:
         """``file, block, line, type, timestamp, data`` of the given types.
@@ -75,10 +77,40 @@ class Logs:
         return parse_once(self.lines, F.from_json("value", schema), ["file", *LINE_ORDER])
 
     def rejected(self) -> DataFrame:
-        """Lines that are no record."""
-        parsed = parse_once(
-            self.lines, F.from_json("value", "type string"), ["file", *LINE_ORDER, "value"])
-        return parsed.where("type is null").drop("type")
+        """Lines that are no record or hold a value that cannot be read, with the ``reason``.
+
+        Each line is read as it should be and as text only; a value that is there as
+        text and not as it should be is malformed. The other values of such a record count.
+        """
+        def fields(kind: str, flag: str, number: str) -> str:
+            return (f"type string, timestamp {number}, data struct<iteration {kind}, success {flag}, "
+                    f"stats struct<events array<struct<timestamp {number}>>>>")
+
+        read = F.struct(
+            F.from_json("value", fields("bigint", "boolean", "double")).alias("read"),
+            F.from_json("value", fields("string", "string", "string")).alias("text"),
+            F.from_json("value", "data string").alias("raw"),
+        )
+        rows = parse_once(self.lines, read, ["file", *LINE_ORDER, "value"])
+        run = F.col("text.type") == "finish_work"
+
+        def lost(name: str) -> Column:
+            return F.col(f"text.{name}").isNotNull() & F.col(f"read.{name}").isNull()
+
+        def times(side: str) -> Column:
+            found = F.filter(F.col(f"{side}.data.stats.events"), lambda e: e["timestamp"].isNotNull())
+            return F.coalesce(F.array_size(found), F.lit(0))
+
+        reason = (
+            F.when(F.col("text.type").isNull(), "no record")
+            .when(F.col("text.type").isin(list(RECORD_TYPES)) & ~F.coalesce(F.startswith("raw.data", F.lit("{")), F.lit(False)),
+                  "data is no object")
+            .when(lost("timestamp"), "timestamp is no number")
+            .when(run & lost("data.iteration"), "iteration is no number")
+            .when(run & lost("data.success"), "success is neither true nor false")
+            .when(run & (times("text") > times("read")), "event time is no number")
+        )
+        return rows.select("file", *LINE_ORDER, "value", reason.alias("reason")).where("reason is not null")
 
 
 def parse_once(df: DataFrame, parsed: Column, kept: list[str]) -> DataFrame:
@@ -114,13 +146,32 @@ def read_log_lines(
     reader = spark.read.option("recursiveFileLookup", str(recurse).lower())
     if prefix:
         reader = reader.option("pathGlobFilter", _glob_literal(prefix) + "*")
-    lines = reader.text(paths).select(
+    return reader.text(paths).select(
         decoded_path(F.col("_metadata.file_path")).alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"),
         "value",
     )
-    return lines
+
+
+def list_files(
+    spark: SparkSession, paths: str | list[str], prefix: str | None = None, recurse: bool = True
+) -> DataFrame:
+    """``file, length`` of all log files, empty ones included; their contents are not read.
+
+    Scans leave empty files out, so the names come from the listing that the reader has made
+    on the driver in any case. Names that begin with ``_`` or ``.`` are hidden from all of
+    Spark's readers, so from here too.
+    """
+    def options(reader):
+        reader = reader.option("recursiveFileLookup", str(recurse).lower())
+        return reader.option("pathGlobFilter", _glob_literal(prefix) + "*") if prefix else reader
+
+    listed = [(name,) for name in options(spark.read).text(paths).inputFiles()]
+    names = spark.createDataFrame(listed, "uri string").select(decoded_path(F.col("uri")).alias("file"))
+    sizes = options(spark.read.format("binaryFile")).load(paths).select(
+        decoded_path(F.col("_metadata.file_path")).alias("file"), "length")
+    return names.join(sizes, "file", "left").select("file", F.coalesce("length", F.lit(0)).alias("length"))
 
 
 def decoded_path(uri: Column) -> Column:
@@ -139,7 +190,7 @@ def read_logs(
     prefix: str | None = None,
     recurse: bool = True,
 ) -> Logs:
-    return Logs(read_log_lines(spark, paths, prefix, recurse))
+    return Logs(read_log_lines(spark, paths, prefix, recurse), list_files(spark, paths, prefix, recurse))
 
 
 # The record types that analysis reads.
@@ -158,7 +209,7 @@ def run_events(logs: Logs, extras: bool = True) -> DataFrame:
         "type = 'finish_work' and data.success")
     return runs.select(
         "file", *LINE_ORDER, F.posexplode("data.stats.events").alias("pos", "event")
-    ).select("file", *LINE_ORDER, "pos", "event.*")
+    ).select("file", *LINE_ORDER, "pos", "event.*").where("timestamp is not null")
 
 
 EVENT_ORDER = [*LINE_ORDER, "pos"]

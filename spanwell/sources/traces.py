@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanwell.functions.scalars import (
@@ -14,34 +14,55 @@ from spanwell.sources.logs import EVENT, decoded_path
 DUMP = (
     f"config map<string,string>, events array<{EVENT}>, worker_ips map<string,string>"
 )
-STATS = f"config map<string,string>, events array<{EVENT}>"
+STATS = f"config map<string,string>, events array<{EVENT}>, timing map<string,double>"
 
 # Fixed value: the line a workload prints its statistics on.
 STATS_LINE = r"(?m)^BENCHMARK_STATS: (\{.*\})$"
 
 
-def decode_records(raw: DataFrame) -> DataFrame:
+def _tuples(raw: DataFrame) -> DataFrame:
+    """Each element of the records' arrays as text, with its place and the raw columns."""
+    elements = F.from_json("value", "array<string>")
+    return raw.select("*", F.posexplode_outer(elements).alias("pos", "element")).withColumn(
+        "event", F.from_json("element", "array<string>"))
+
+
+def _reason() -> Column:
+    event = F.col("event")
+    return (
+        F.when(F.col("pos").isNull() & ~F.coalesce(F.trim("value") == "[]", F.lit(False)), "value is no array")
+        .when(F.col("pos").isNotNull() & (F.coalesce(F.array_size(event), F.lit(0)) < 4), "fewer than four fields")
+        .when(F.col("pos").isNotNull() & F.get(event, F.lit(0)).try_cast("double").isNull(), "timestamp is no number")
+        .when(F.col("pos").isNotNull() & F.get(event, F.lit(2)).try_cast("int").isNull(), "status is no number")
+    )
+
+
+def decode_records(raw: DataFrame, index: str | None = None) -> DataFrame:
     """Raw trace records (binary ``key``, JSON ``value``) to span events.
 
-    The value is an array of ``[timestamp, event_type, status, extras]``.
+    The value is an array of ``[timestamp, event_type, status, extras]``. ``index`` names a
+    column with the place of a record among those of its key, which is let through. What
+    cannot be read is in ``rejected_records``.
     """
-    tuples = F.from_json("value", "array<array<string>>")
-    return (
-        raw.select(
-            hex_id(F.col("key"), EVENT_WORKER_AT).alias("worker_id"),
-            hex_id(F.col("key"), EVENT_TASK_AT).alias("task_id"),
-            F.posexplode(tuples).alias("pos", "event"),
-        )
-        .select(
-            "worker_id", "task_id", "pos",
-            F.col("event")[0].cast("double").alias("timestamp"),
-            F.col("event")[1].alias("event_type"),
-            F.col("event")[2].cast("int").alias("status"),
-            F.col("event")[3].alias("extras"),
-        )
+    events = _tuples(raw).where(F.col("pos").isNotNull() & _reason().isNull())
+    field = lambda i: F.get("event", F.lit(i))
+    return events.select(
+        hex_id(F.col("key"), EVENT_WORKER_AT).alias("worker_id"),
+        hex_id(F.col("key"), EVENT_TASK_AT).alias("task_id"),
+        *([F.col(index)] if index else []),
+        "pos",
+        field(0).try_cast("double").alias("timestamp"),
+        field(1).alias("event_type"),
+        field(2).try_cast("int").alias("status"),
+        field(3).alias("extras"),
     )
 
 
+def rejected_records(raw: DataFrame) -> DataFrame:
+    """Elements, or whole values, that are no span event: the raw columns, ``pos``, ``element``, ``reason``."""
+    return _tuples(raw).withColumn("reason", _reason()).where("reason is not null").drop("event")
+
+
 def decode_workers(raw: DataFrame, driver_ip: str) -> DataFrame:
     """Registry records (binary ``key``, ``node_ip_address``) plus the driver's row."""
     workers = raw.select(

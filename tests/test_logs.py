@@ -252,3 +252,42 @@ def test_following_equals_one_pass(spark, folder, config, tmp_path):
     assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, whole.select(*columns).collect()))
     latest = spark.read.json(f"{out}/latest")
     assert sorted(r.value for r in latest.collect()) == [pytest.approx(1 / 3), 1.5, 1000.0]
+
+
+def lines_of(spark, *records):
+    rows = [("f", 0, i, r if isinstance(r, str) else json.dumps(r)) for i, r in enumerate(records)]
+    return logs.Logs(spark.createDataFrame(rows, "file string, block bigint, line bigint, value string"))
+
+
+def test_malformed_values_are_listed_with_a_reason(spark):
+    found = lines_of(
+        spark,
+        header(1.0, "scan_study", 1, 2),
+        {"type": "finish_work", "timestamp": 1.0, "data": 7},
+        {"type": "finish_work", "timestamp": 1.0, "data": {"iteration": "first", "success": True}},
+        {"type": "finish_work", "timestamp": 1.0, "data": {"iteration": 1, "success": "maybe"}},
+        {"type": "finish_work", "timestamp": 1.0, "data": {"iteration": 2, "success": True, "stats": {
+            "events": [{"timestamp": "noon", "event_type": "ingest", "status": 1},
+                       {"timestamp": 2.0, "event_type": "ingest", "status": 2}]}}},
+        {"type": "killed", "timestamp": "late", "data": {"pid": 1}},
+        "{broken",
+        run(3))
+    assert [(r.line, r.reason) for r in found.rejected().orderBy("line").collect()] == [
+        (1, "data is no object"), (2, "iteration is no number"), (3, "success is neither true nor false"),
+        (4, "event time is no number"), (5, "timestamp is no number"), (6, "no record")]
+    assert [r.timestamp for r in logs.run_events(found).collect()] == [2.0]
+
+
+def test_a_run_without_a_success_has_failed(spark):
+    found = lines_of(spark, header(1.0, "scan_study", 1, 2), run(0, success=None), run(1, success=False), run(2, success=None))
+    assert rollup.rollup(found).rollups.first().fail_ct == 3
+    runs = spark.createDataFrame([("k", 0, None), ("k", 1, False), ("k", 2, None)], "k string, i int, success boolean")
+    done = history.run_outcomes(runs, ["k"], ["i"], F.lit(2)).first()
+    assert (done.num_successes, done.num_failures, done.iteration_end_reason) == (0, 2, history.FAILED_END)
+
+
+def test_empty_files_are_rejected(spark, tmp_path):
+    write(tmp_path / "a.log", [header(1.0, "scan_study", 1, 2)])
+    (tmp_path / "nothing here.log").write_text("")
+    got = rollup.rollup(logs.read_logs(spark, str(tmp_path))).rejected.collect()
+    assert [(r.file.rsplit("/", 1)[1], r.reason) for r in got] == [("nothing here.log", "empty file")]

@@ -142,3 +142,30 @@ def test_scale_series(spark):
     got = spark.range(9).select(generate.quarter_doublings(F.col("id")), generate.ten_to_the(F.col("id"))).collect()
     assert [r[0] for r in got] == [1, 1, 1, 1, 2, 2, 2, 3, 4]
     assert [r[1] for r in got] == [10**i for i in range(9)]
+
+
+def test_unreadable_trace_elements_are_listed_and_the_rest_is_kept(spark):
+    raw = spark.createDataFrame([
+        (bytearray(80), '[[1.5, "x", 1, {}], [2.5], ["noon", "x", 2, {}], [3.5, "x", "done", {}]]', 0),
+        (bytearray(80), "[]", 1), (bytearray(80), "7", 2), (bytearray(80), None, 3)], "key binary, value string, place int")
+    kept = traces.decode_records(raw, index="place").collect()
+    assert [(r.place, r.pos, r.timestamp, r.status) for r in kept] == [(0, 0, 1.5, 1)]
+    lost = traces.rejected_records(raw).orderBy("place", "pos").collect()
+    assert [(r.place, r.pos, r.reason) for r in lost] == [
+        (0, 1, "fewer than four fields"), (0, 2, "timestamp is no number"), (0, 3, "status is no number"),
+        (2, None, "value is no array"), (3, None, "value is no array")]
+
+
+def test_timing_of_statistics_lines_is_kept(spark):
+    text = 'BENCHMARK_STATS: {"config": {"a": 1}, "timing": {"sort": 1.25}}'
+    got = traces.extract_stats(spark.createDataFrame([(text,)], "stdout string")).first().stats
+    assert got.timing == {"sort": 1.25} and got.events is None
+
+
+def test_array_chunks_keep_their_type(spark):
+    from spanwell.operators import matrix
+
+    df = spark.sql("select array(1, 2, 3) as x, array(named_struct('a', 1)) as y")
+    got = df.select(matrix.chunk_array(F.col("x"), 2).alias("x"), matrix.chunk_array(F.col("y"), 2).alias("y"))
+    assert got.schema["x"].dataType.simpleString() == "array<array<int>>"
+    assert got.first().x == [[1, 2], [3]]
