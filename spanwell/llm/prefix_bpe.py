@@ -6,9 +6,7 @@ before it without a merge across the border. Storing this last token for every p
 gives the encoding of all prefixes at once, so a piece can grow, or be changed in the
 middle, and only the prefixes that an edit touches are computed again.
 
-Texts are split by a pattern first, and each match is a piece of its own. No match of the
-pattern may run from a visible character on into white space (no public tokenizer's does): so
-words with the white space before them can be looked up whole. Vocabularies are
+Texts are split by a pattern first, and each match is a piece of its own. Vocabularies are
 files of ranks; only their path is known here, and their bytes go to the executors in one
 broadcast (the files hold some 50,000 entries, under 1 MB).
 
@@ -20,9 +18,11 @@ an output column is replaced, as withColumn does; all other columns pass unchang
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
+import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -30,12 +30,8 @@ from pyspark.sql import types as T
 
 from spanwell.llm.common import as_bytes
 
-#: Words, and pieces of words, whose ids a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 300_000
-
-#: The characters with Unicode's White_Space property.
-WHITE = "\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-WORD = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+#: Pieces whose ids a worker remembers, in each of two generations.
+REMEMBERED = 200_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -49,17 +45,19 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.text = {i: token for token, i in ranks.items()}
+        self.size = {i: len(token) for token, i in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
         self.halves: dict[int, tuple[int, int]] = {}
-        self._beside: dict[tuple[int, int], bool] = {}
-        #: every ending of a token's bytes: the token that it is by itself, or none
-        self.endings: dict[bytes, int | None] = {}
-        for token in sorted(self.text):
-            data = self.text[token]
+        #: for each token, which tokens may stand behind it, as far as that was asked
+        self._behind: dict[int, dict[int, bool]] = {}
+        self._asked = 0
+        #: finds the tokens that end at each byte, the longest first
+        self.finder = ahocorasick.Automaton()
+        for token, data in sorted(self.text.items()):
             if len(data) == 1 or self._undo(token):
-                self.endings[data] = token
-                for at in range(1, len(data)):
-                    self.endings.setdefault(data[at:], None)
+                self.finder.add_word(data.decode("latin-1"), (len(data), token))
+        if len(self.finder):
+            self.finder.make_automaton()
 
     def _undo(self, token: int) -> bool:
         """Find the two tokens whose merge makes this one; false if no merges lead to it."""
@@ -94,32 +92,41 @@ class Vocabulary:
                 undone, y = y + 1, halves[y][0]
             else:
                 break
-        if len(self._beside) > 2 * REMEMBERED:
-            self._beside.clear()
-        self._beside[a, b] = fits
+        if self._asked > 4 * REMEMBERED:
+            self._behind.clear()
+            self._asked = 0
+        self._behind.setdefault(a, {})[b] = fits
+        self._asked += 1
         return fits
 
     def fill(self, piece: bytes, last: list[int], stop: int) -> None:
         """Add the last tokens of the prefixes of ``piece`` up to ``stop`` bytes to ``last``."""
-        endings, known, beside = self.endings, self._beside, self.beside
-        for end in range(len(last) + 1, stop + 1):
-            found = []
-            for start in range(end - 1, -1, -1):
-                tail = piece[start:end]
-                if tail not in endings:  # no token ends with it, so none is longer
-                    break
-                if (token := endings[tail]) is not None:
-                    found.append((start, token))
-            for start, token in reversed(found):
-                if not start:
-                    break
-                before = last[start - 1]
-                fits = known.get((before, token))
-                if fits or (fits is None and beside(before, token)):
-                    break
-            else:
-                raise ValueError("the vocabulary lacks a byte")
+        known, beside, nothing = self._behind, self.beside, {}
+        skipped = max(0, len(last) - self.longest)
+        done = len(last)
+        for end, (length, token) in self.finder.iter(piece[skipped:stop].decode("latin-1")):
+            end += skipped
+            if end < done:
+                continue
+            if end >= length:
+                before = last[end - length]
+                fits = known.get(before, nothing).get(token)
+                if not fits and (fits is False or not beside(before, token)):
+                    continue
             last.append(token)
+            done += 1
+        if done != stop:
+            raise ValueError("the vocabulary lacks a byte")
+
+    def walk(self, last: list[int]) -> list[int]:
+        """The ids of a piece from the last tokens of its prefixes."""
+        found, end, size = [], len(last), self.size
+        while end:
+            token = last[end - 1]
+            found.append(token)
+            end -= size[token]
+        found.reverse()
+        return found
 
 
 class PrefixTable:
@@ -155,52 +162,73 @@ class PrefixTable:
         return len(self.piece) - start
 
     def ids(self) -> list[int]:
-        found, end = [], len(self.last)
-        while end:
-            found.append(self.last[end - 1])
-            end -= len(self.vocabulary.text[found[-1]])
-        return found[::-1]
+        return self.vocabulary.walk(self.last)
 
 
 class Encoder:
-    """Encodes texts word by word, each match of the pattern by itself, and remembers words."""
+    """Encodes texts, each match of the pattern by itself, and remembers the pieces it has met."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.vocabulary, self.pattern = Vocabulary(ranks), regex.compile(pattern)
-        self._words: dict[str, list[int]] = {}
-        self._pieces: dict[str, list[int]] = {}
-
-    def _piece(self, piece: str) -> list[int]:
-        ids = self._pieces.get(piece)
-        if ids is None:
-            data = piece.encode()
-            whole = self.vocabulary.ranks.get(data)
-            ids = [whole] if whole is not None else PrefixTable(self.vocabulary, data).ids()
-            self._remember(self._pieces, piece, ids)
-        return ids
-
-    def _word(self, word: str) -> list[int]:
-        ids = [i for piece in self.pattern.findall(word) for i in self._piece(piece)]
-        self._remember(self._words, word, ids)
-        return ids
-
-    @staticmethod
-    def _remember(known: dict[str, list[int]], key: str, ids: list[int]) -> None:
-        if len(known) > REMEMBERED:
-            known.clear()
-        if len(key) <= 64:
-            known[key] = ids
+        #: ids of pieces; the older generation goes when the newer is full
+        self.known: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
+        self._bytes = None
+
+    def _learn(self, pieces: set[str]) -> None:
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        known, older, vocabulary = self.known, self.older, self.vocabulary
+        for piece in pieces.difference(known):
+            ids = older.get(piece)
+            if ids is None:
+                data = piece.encode()
+                whole = vocabulary.ranks.get(data)
+                if whole is not None:
+                    ids = [whole]
+                else:
+                    last: list[int] = []
+                    vocabulary.fill(data, last, len(data))
+                    ids = vocabulary.walk(last)
+            known[piece] = ids
+
+    def many(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text."""
+        split = [self.pattern.findall(text) for text in texts]
+        self._learn(set().union(*split))
+        known, found = self.known, []
+        for pieces in split:
+            ids: list[int] = []
+            for piece in pieces:
+                ids += known[piece]
+            found.append(ids)
+        return found
 
     def ids(self, text: str) -> list[int]:
-        found: list[int] = []
-        add, known = found.extend, self._words.get
-        for word in WORD.findall(text):
-            add(known(word) or self._word(word))
-        return found
+        return self.many([text])[0]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocabulary.text.__getitem__, ids))
 
+    def decode_many(self, ids: pa.ListArray) -> pa.Array:
+        """The bytes of each list of ids, all lists at once."""
+        if self._bytes is None:
+            text = self.vocabulary.text
+            sizes = np.zeros(max(text, default=0) + 1, dtype=np.int64)
+            sizes[list(text)] = [len(x) for x in text.values()]
+            joined = b"".join(text[i] for i in sorted(text))
+            self._bytes = np.frombuffer(joined, dtype=np.uint8), np.cumsum(sizes) - sizes, sizes
+        data, starts, sizes = self._bytes
+        flat = ids.flatten().to_numpy(zero_copy_only=False)
+        own = sizes[flat]
+        ends = np.cumsum(own)
+        places = np.repeat(starts[flat] - ends + own, own) + np.arange(int(ends[-1]) if len(ends) else 0)
+        counts = np.concatenate([[0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+        offsets = np.concatenate([[0], ends])[counts].astype(np.int64)
+        found = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(ids), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[places].tobytes())])
+        return found.cast(pa.binary())
+
     def appended(self, ids: list[int], more: str) -> list[int]:
         """The ids of the decoded text with ``more`` behind it.
 
@@ -253,7 +281,10 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids
 
     def made(part: pa.RecordBatch) -> pa.Array:
         encoder = _encoder(shared, pattern)
-        return pa.array([encoder.ids((x or b"").decode()) for x in as_bytes(part, text)], pa.list_(pa.int32()))
+        found = encoder.many([(x or b"").decode() for x in as_bytes(part, text)])
+        offsets = np.cumsum([0, *map(len, found)], dtype=np.int32)
+        values = np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(offsets[-1]))
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
     return _mapped(df, df.columns if keep is None else keep, ids, T.ArrayType(T.IntegerType()), made)
 
@@ -264,8 +295,7 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", data: str = "decode
     shared = _share(df.sparkSession, vocabulary)
 
     def made(part: pa.RecordBatch) -> pa.Array:
-        encoder = _encoder(shared)
-        return pa.array([encoder.decode(x or []) for x in part.column(ids).to_pylist()], pa.binary())
+        return _encoder(shared).decode_many(part.column(ids))
 
     return _mapped(df, df.columns if keep is None else keep, data, T.BinaryType(), made)
 
