@@ -26,15 +26,11 @@ def block_places(spark: SparkSession, dim_blocks: int) -> DataFrame:
 
 
 def generate_blocks(places: DataFrame, dim: int, seed: int = 0) -> DataFrame:
-    """A block of uniform values in [0, 1) for each place, fixed by seed and place."""
-
-    def fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for i, j in zip(frame["i"], frame["j"]):
-                values = np.random.default_rng([seed, int(i), int(j)]).random(dim * dim)
-                yield pd.DataFrame({"i": [i], "j": [j], "v": [values]})
-
-    return places.select("i", "j").mapInPandas(fill, BLOCK)
+    """A block of uniform values in [0, 1) for each place: those of ``uniform_cell`` at its cells."""
+    cells = F.sequence(F.lit(0).cast("bigint"), F.lit(dim * dim - 1).cast("bigint"))
+    value = F.transform(cells, lambda p: uniform_cell(
+        seed, F.col("i") * dim + F.floor(p / dim), F.col("j") * dim + p % dim))
+    return places.select(F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j")).withColumn("v", value)
 
 
 def uniform_cell(seed: int, row: Column, col: Column) -> Column:
@@ -107,57 +103,71 @@ def from_blocks(blocks: DataFrame, dim: int, rows: int | None = None, cols: int
     return cells
 
 
-def multiply_blocks(a: DataFrame, b: DataFrame, dim: int, tile: int = 4) -> DataFrame:
+def multiply_blocks(a: DataFrame, b: DataFrame, dim: int, tile: int = 4, inner: int = 4,
+                    grid: tuple[int, int, int] | None = None) -> DataFrame:
     """Block matrix product.
 
-    Blocks meet by inner index and by group of ``tile`` result rows and columns,
-    so a task holds at most ``2 * tile`` input blocks whatever the grid is, and
-    both one long inner side and one wide result spread over all tasks. No pair
-    of blocks is ever a row: a group is multiplied as it arrives, and its
-    partial blocks are summed by ``sum_blocks``.
+    Blocks meet by groups of ``tile`` result rows, ``tile`` result columns and
+    ``inner`` inner indices. A group is one dense product, so it has summed over its
+    inner indices before any partial block leaves it; a task holds ``2 * tile * inner`` input
+    blocks whatever the grid is, and both one long inner side and one wide result spread
+    over all tasks. No pair of blocks is ever a row. ``grid`` is the number of block rows of
+    ``a``, inner blocks and block columns of ``b``; without it both sides are read once for it.
     """
-    size = a.agg(F.max("i").alias("rows"), F.max("j").alias("inner")).first()
-    other = b.agg(F.max("i").alias("inner"), F.max("j").alias("cols")).first()
-    if size["rows"] is None or other["cols"] is None:
-        return a.select("i", "j", "v").limit(0)
-    if size["inner"] != other["inner"]:
-        raise ValueError(
-            f"inner sizes differ: {size['inner'] + 1} and {other['inner'] + 1} blocks")
-    row_groups, col_groups = size["rows"] // tile + 1, other["cols"] // tile + 1
+    if grid is None:
+        size = a.agg(F.max("i").alias("rows"), F.max("j").alias("inner")).first()
+        other = b.agg(F.max("i").alias("inner"), F.max("j").alias("cols")).first()
+        if size["rows"] is None or other["cols"] is None:
+            return a.select("i", "j", "v").limit(0)
+        if size["inner"] != other["inner"]:
+            raise ValueError(
+                f"inner sizes differ: {size['inner'] + 1} and {other['inner'] + 1} blocks")
+        grid = size["rows"] + 1, size["inner"] + 1, other["cols"] + 1
+    row_groups, inner_groups, col_groups = -(-grid[0] // tile), -(-grid[1] // inner), -(-grid[2] // tile)
 
     def every(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
 
     left = a.select(
-        F.col("j").alias("k"), F.floor(F.col("i") / tile).alias("rg"), every(col_groups).alias("cg"),
-        F.col("i").alias("at"), "v")
+        F.floor(F.col("j") / inner).alias("kg"), F.floor(F.col("i") / tile).alias("rg"), every(col_groups).alias("cg"),
+        F.col("i").alias("at"), F.col("j").alias("k"), F.col("v").alias("values"))
     right = b.select(
-        F.col("i").alias("k"), every(row_groups).alias("rg"), F.floor(F.col("j") / tile).alias("cg"),
-        F.col("j").alias("at"), "v")
+        F.floor(F.col("i") / inner).alias("kg"), every(row_groups).alias("rg"), F.floor(F.col("j") / tile).alias("cg"),
+        F.col("j").alias("at"), F.col("i").alias("k"), F.col("v").alias("values"))
+
+    def panel(frame: pd.DataFrame, ks: dict[int, int], tall: bool) -> tuple[list[int], np.ndarray]:
+        """A side's blocks as one matrix; absent blocks are zero."""
+        places = sorted(set(frame["at"]))
+        rows = {at: n for n, at in enumerate(places)}
+        out = np.zeros((len(places), len(ks), dim, dim))
+        for at, k, v in zip(frame["at"], frame["k"], frame["values"]):
+            out[rows[at], ks[k]] = np.asarray(v).reshape(dim, dim)
+        turned = out.transpose(0, 2, 1, 3) if tall else out.transpose(1, 2, 0, 3)
+        return places, turned.reshape(len(places) * dim, -1) if tall else turned.reshape(len(ks) * dim, -1)
 
     def product(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
             return pd.DataFrame({"i": [], "j": [], "v": []})
-        tall = np.vstack([np.asarray(v).reshape(dim, dim) for v in x["v"]])
-        wide = np.hstack([np.asarray(v).reshape(dim, dim) for v in y["v"]])
+        ks = {k: n for n, k in enumerate(sorted({*x["k"], *y["k"]}))}
+        (rows, tall), (cols, wide) = panel(x, ks, True), panel(y, ks, False)
         made = tall @ wide
         out = [
             (i, j, made[r * dim:(r + 1) * dim, c * dim:(c + 1) * dim].ravel())
-            for r, i in enumerate(x["at"]) for c, j in enumerate(y["at"])
+            for r, i in enumerate(rows) for c, j in enumerate(cols)
         ]
         return pd.DataFrame(out, columns=["i", "j", "v"])
 
-    meet = ["k", "rg", "cg"]
+    meet = ["kg", "rg", "cg"]
     parts = left.groupBy(*meet).cogroup(right.groupBy(*meet)).applyInPandas(product, BLOCK)
-    return sum_blocks(parts)
+    return parts if inner_groups == 1 else sum_blocks(parts, salts=-(-inner_groups // 64))
 
 
-def sum_blocks(parts: DataFrame, salts: int = 16) -> DataFrame:
+def sum_blocks(parts: DataFrame, salts: int = 1) -> DataFrame:
     """Add up the blocks of each place.
 
-    The same streaming sum three times: where the parts are, by place and salt,
-    so that one place with many parts keeps many tasks busy, and by place. Rows
-    arrive sorted, so a task holds one sum at a time.
+    The same streaming sum where the parts are, by place and salt, so that one place with
+    many parts keeps many tasks busy, and by place. Rows arrive sorted, so a task holds one
+    sum at a time. ``salts`` follows from the number of parts of a place.
     """
 
     def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -173,11 +183,10 @@ def sum_blocks(parts: DataFrame, salts: int = 16) -> DataFrame:
         if place is not None:
             yield pd.DataFrame({"i": [place[0]], "j": [place[1]], "v": [total]})
 
-    salt = F.pmod(F.spark_partition_id(), F.lit(salts))
-    first = (
-        parts.sortWithinPartitions("i", "j").mapInPandas(add, BLOCK)
-        .repartition("i", "j", salt).sortWithinPartitions("i", "j").mapInPandas(add, BLOCK)
-    )
+    first = parts.sortWithinPartitions("i", "j").mapInPandas(add, BLOCK)
+    if salts > 1:
+        salt = F.pmod(F.spark_partition_id(), F.lit(salts))
+        first = first.repartition("i", "j", salt).sortWithinPartitions("i", "j").mapInPandas(add, BLOCK)
     return first.repartition("i", "j").sortWithinPartitions("i", "j").mapInPandas(add, BLOCK)
 
 

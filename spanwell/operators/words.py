@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +61,9 @@ def vocabulary(df: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+#: Rows that a task holds before it passes its merged rows on.
+REDUCED_ROWS = 100_000
+
 Merge = Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]
 
 
@@ -70,32 +74,57 @@ def tree_reduce(
 
     ``merge`` must be associative and commutative and return the columns of
     ``df``. With ``keys`` its result holds one row per key: partitions are
-    reduced where they are, then rows move by key (spread over ``fan_in`` salts
-    first, so a key with most rows is merged by several tasks). Without keys
+    reduced where they are, a part of theirs at a time, then rows move by key (spread over
+    ``fan_in`` salts first, so a key with most rows is merged by several tasks) and are merged
+    in order of key, so that a task holds a batch and one key's value at a time. Without keys
     the reduced value must be of fixed size; it goes through a tree of
     partitions and stays a DataFrame of one partition.
     """
     schema = df.schema
 
+    def halved(frame: pd.DataFrame) -> pd.DataFrame:
+        """A frame merged with itself; one row needs no merge."""
+        half = len(frame) // 2
+        return merge(frame.iloc[:half], frame.iloc[half:]) if half else frame
+
     def settle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting: list[tuple[int, pd.DataFrame]] = []   # (level, frame): merge equal levels
         for frame in frames:
-            level = 0
+            frame, level = halved(frame), 0
             while waiting and waiting[-1][0] <= level:
                 below, other = waiting.pop()
                 frame, level = merge(other, frame), max(below, level) + 1
             waiting.append((level, frame))
+            if keys and sum(len(held) for _, held in waiting) > REDUCED_ROWS:
+                yield from (held for _, held in waiting)  # later steps merge them
+                waiting = []
         if waiting:
             state = waiting.pop()[1]
             while waiting:
                 state = merge(waiting.pop()[1], state)
-            yield merge(state, state.iloc[:0])
+            yield state
+
+    def by_key(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last: pd.DataFrame | None = None
+        for frame in frames:
+            if not len(frame):
+                continue
+            whole = halved(frame) if last is None else merge(last, frame)
+            ends = frame.iloc[-1:][keys].reset_index(drop=True)
+            same = np.ones(len(whole), dtype=bool)
+            for key in keys:
+                value, column = ends[key].iloc[0], whole[key]
+                same &= (column.isna() if pd.isna(value) else column == value).to_numpy()
+            yield whole[~same]
+            last = whole[same]
+        if last is not None:
+            yield last
 
     partial = df.mapInPandas(settle, schema)
     if keys:
         salt = F.pmod(F.spark_partition_id(), F.lit(fan_in))
-        salted = partial.repartition(*keys, salt).mapInPandas(settle, schema)
-        return salted.repartition(*keys).mapInPandas(settle, schema)
+        salted = partial.repartition(*keys, salt).sortWithinPartitions(*keys).mapInPandas(by_key, schema)
+        return salted.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(by_key, schema)
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while width > 1:
         width = -(-width // fan_in)

@@ -151,7 +151,10 @@ def matrix_product(spark, sf):
     vectors = table(spark, sf, "embeddings")
     width = vectors.agg(F.max(F.size("embedding"))).scalar()
     x = matrix.vectors_to_blocks(vectors, "vec_id", "embedding", 32)
-    made = matrix.multiply_blocks(matrix.transpose_blocks(x, 32), x, 32)
+    rows = vectors.agg(F.max("vec_id")).scalar()
+    wide, tall = F.ceil(width / 32), F.floor(rows / 32) + 1
+    grid = vectors.select(wide.alias("wide"), tall.alias("tall")).limit(1).first()
+    made = matrix.multiply_blocks(matrix.transpose_blocks(x, 32), x, 32, grid=(grid.wide, grid.tall, grid.wide))
     return matrix.from_blocks(made, 32, width, width).select(
         "row", "col", (F.round("v", 4) + 0.0).alias("v"))
 
@@ -197,7 +200,11 @@ def random_matrix(spark, sf):
         "v", matrix.uniform_cell(3, F.col("row"), F.col("col")))
 
 
-@query("random_blocks")
+@query("random_blocks", """
+SELECT p_partkey AS i, CAST(0 AS BIGINT) AS j, list_transform(range(64), lambda p:
+       CAST(('0x' || substr(md5('5:' || (p_partkey * 8 + p // 8) || ':' || (p % 8)), 1, 13)) AS BIGINT)
+         / 4503599627370496.0::DOUBLE) AS v
+FROM part""")
 def random_blocks(spark, sf):
     places = table(spark, sf, "part").select(F.col("p_partkey").alias("i"), F.lit(0).cast("bigint").alias("j"))
     return matrix.generate_blocks(places, 8, seed=5)
