@@ -26,6 +26,12 @@ def sweep_grid(sweeps: DataFrame) -> DataFrame:
     )
 
 
+def cells_without_runs(grid: DataFrame, runs: DataFrame, cell: list[str]) -> DataFrame:
+    """The planned cells of a sweep grid that no run belongs to; null is a value like any other."""
+    match = [F.col(f"g.`{c}`").eqNullSafe(F.col(f"r.`{c}`")) for c in cell]
+    return grid.alias("g").join(runs.select(*cell).alias("r"), match, "left_anti")
+
+
 def _succeeded(success: Column) -> Column:
     """A run that does not say that it was successful has failed."""
     return F.coalesce(success, F.lit(False))

@@ -26,11 +26,6 @@ def _letter_runs(text: Column) -> Column:
     return F.split(text, "[^a-zA-Z]+")
 
 
-def vocabulary_words(line: Column) -> Column:
-    """Words of one line with apostrophes and case; a blank line gives one empty word."""
-    return F.split(F.trim(F.regexp_replace(line, "[^a-zA-Z']+", " ")), " ")
-
-
 def word_count(df: DataFrame, text: str = "text") -> DataFrame:
     return (
         df.select(F.explode(_letter_runs(F.col(text))).alias("word"))

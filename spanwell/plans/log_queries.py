@@ -455,3 +455,14 @@ def log_layout(spark, sf):
         "/base/exp%d/20160101_00%02d30/%s_x_%d_%d_2G.log", F.col("c_custkey") % 10,
         F.col("c_custkey") % 60, F.lower("c_mktsegment"), F.col("c_nationkey") % 3, F.col("c_nationkey"))
     return table(spark, sf, "customer").select("c_custkey", *log_path_parts(path))
+
+
+@query("cells_without_runs", f"""WITH {SWEEPS_SQL}
+SELECT p_partkey, system_pos, workload_pos FROM sweep_systems JOIN sweep_workloads USING (p_partkey)
+EXCEPT SELECT l_partkey, l_linenumber % 2, l_linenumber % 3 FROM lineitem""")
+def cells_without_runs(spark, sf):
+    """Line numbers of a part's items stand for the cells of its sweep that have been run."""
+    grid = history.sweep_grid(configs.parse_sweeps(sweep_documents(spark, sf))).select("p_partkey", "system_pos", "workload_pos")
+    runs = table(spark, sf, "lineitem").select(
+        F.col("l_partkey").alias("p_partkey"), (F.col("l_linenumber") % 2).alias("system_pos"), (F.col("l_linenumber") % 3).alias("workload_pos"))
+    return history.cells_without_runs(grid, runs, grid.columns)

@@ -61,6 +61,17 @@ def worker_registry(spark, sf):
     return traces.decode_workers(raw, "127.0.0.1")
 
 
+@query("event_addresses", """
+SELECT event_id, CAST(user_id AS VARCHAR) AS worker_id, '10.0.' || c_nationkey || '.' || (c_custkey % 250) AS ip
+FROM events LEFT JOIN customer ON user_id = c_custkey""")
+def event_addresses(spark, sf):
+    workers = table(spark, sf, "customer").select(
+        F.col("c_custkey").cast("string").alias("worker_id"),
+        F.concat_ws(".", F.lit("10.0"), F.col("c_nationkey").cast("string"), (F.col("c_custkey") % 250).cast("string")).alias("ip"))
+    events = table(spark, sf, "events").select("event_id", F.col("user_id").cast("string").alias("worker_id"))
+    return traces.with_addresses(events, workers)
+
+
 @query("stdout_stats", """
 SELECT conv_id, turn, CASE WHEN role = 'user' THEN CAST(turn AS VARCHAR) END AS first_turn,
        CAST(CASE WHEN role = 'user' THEN 1 END AS INTEGER) AS events,
@@ -224,4 +235,4 @@ def published_report(spark, sf):
         F.count(F.lit(1)).alias("records"))
     writers.publish_latest(report.withColumn("records", F.lit(0)), path)
     writers.publish_latest(report, path)
-    return spark.read.schema("workload string, records bigint").json(path)
+    return writers.read_latest(spark, path, "workload string, records bigint")

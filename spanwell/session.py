@@ -27,18 +27,33 @@ def local_session(cores: str = "*", app: str = "spanwell", partitions: int = 8)
     return spark
 
 
+#: Where intermediate tables go if ``spark.checkpoint.dir`` is unset; can be set on a running session.
+WORK_CONF = "spanwell.work.dir"
+
+
+def _work_folder(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(WORK_CONF, None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set spark.checkpoint.dir or {WORK_CONF} to a folder all executors share")
+        base = tempfile.gettempdir()
+    return f"{base.rstrip('/')}/spanwell/{spark.sparkContext.applicationId}"
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that all executors can reach.
 
     The cluster names it in ``spark.checkpoint.dir``; a machine-local folder is
-    used only where that is unset and the master is local, as in tests.
+    used only where nothing is set and the master is local, as in tests. Each application
+    has a folder of its own.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.gettempdir()
-    return f"{base.rstrip('/')}/spanwell/{name}-{uuid.uuid4().hex}"
+    return f"{_work_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Remove this application's intermediate tables, once no result that reads them is needed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_work_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:

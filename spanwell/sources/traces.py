@@ -75,6 +75,16 @@ def decode_workers(raw: DataFrame, driver_ip: str) -> DataFrame:
     return workers.unionByName(driver)
 
 
+def with_addresses(events: DataFrame, workers: DataFrame) -> DataFrame:
+    """Add the ``ip`` of each event's worker; null if the registry (a row per worker) lacks it.
+
+    A plain join: the planner broadcasts a registry that it measures to be small and splits
+    the partitions of workers with most events otherwise.
+    """
+    known = workers.select(F.col("worker_id").alias("__worker"), "ip")
+    return events.join(known, F.col("worker_id") == F.col("__worker"), "left").drop("__worker")
+
+
 def read_dumps(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Event dumps, one JSON document per file (gzip by extension), both shapes."""
     return (

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import time
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -88,6 +90,21 @@ def log_path_parts(path: Column) -> list[Column]:
     ]
 
 
-def publish_latest(report: DataFrame, path: str) -> None:
-    """Replace the latest report by this one."""
-    report.write.mode("overwrite").json(path)
+def publish_latest(report: DataFrame, path: str, number: int | None = None) -> None:
+    """Make this report the latest one below ``path``.
+
+    The report is written under its number (the time, unless given) first, and only then is
+    the number listed as published: readers see the old report or the new one, whole, and
+    a job that fails in between changes nothing for them.
+    """
+    number = time.time_ns() if number is None else number
+    report.write.mode("overwrite").json(f"{path}/reports/number={number}")
+    listed = report.sparkSession.range(1).select(F.lit(number).cast("bigint").alias("published"))
+    listed.write.mode("append").parquet(f"{path}/published")
+
+
+def read_latest(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """The report published last."""
+    number = spark.read.parquet(f"{path}/published").agg(F.max("published")).first()[0]
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.json(f"{path}/reports/number={number}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -32,13 +33,16 @@ def follow_logs(
     )
 
     def analyse_batch(batch: DataFrame, number: int) -> None:
-        found = Logs(batch.withColumn("line", F.monotonically_increasing_id()))
+        # the parts read the batch's lines several times, the source only once
+        lines = batch.withColumn("line", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
+        found = Logs(lines)
         rolled = rollup(found)
         parts = (headers(found), rolled.rollups, rolled.rejected, log_span_stats(found))
         for name, part in zip(PARTS, parts):
             part.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+        lines.unpersist()
         if config is not None:
-            publish_latest(report(spark, out, config), f"{out}/latest")
+            publish_latest(report(spark, out, config), f"{out}/latest", number)
 
     return (
         lines.writeStream.foreachBatch(analyse_batch)

@@ -250,7 +250,7 @@ def test_following_equals_one_pass(spark, folder, config, tmp_path):
     columns = ["file", "fail_ct", "max_success_iteration", "workload"]
     kept = follow.followed(spark, out, "rollups").select(*columns)
     assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, whole.select(*columns).collect()))
-    latest = spark.read.json(f"{out}/latest")
+    latest = writers.read_latest(spark, f"{out}/latest")
     assert sorted(r.value for r in latest.collect()) == [pytest.approx(1 / 3), 1.5, 1000.0]
 
 
