@@ -11,7 +11,7 @@ from spanwell.functions import names
 from spanwell.operators.sizing import keep_matching
 from spanwell.operators.spans import build_spans, span_stats
 from spanwell.session import settled
-from spanwell.sources.logs import ANALYSED, EVENT_ORDER, LINE_ORDER, Logs, run_events
+from spanwell.sources.logs import ANALYSED, EVENT_ORDER, LINE_ORDER, Logs, StoredLogs, run_events, stored
 
 IDENTITY = ["workload", "num_workers", "num_nodes"]
 REVISIONS = ["framework_rev", "benchmark_rev"]
@@ -115,10 +115,16 @@ EVENT_BYTES = 40
 def log_span_stats(logs: Logs, **sizing) -> DataFrame:
     """Duration statistics per file over all its successful runs, in log order.
 
-    Heavy files are found by their size, before any line is read where the files are known.
+    Heavy files are found by their number of events in stored logs, else by their size, before
+    any line is read where the files are known.
     """
-    sized = (logs.lines, F.length("value")) if logs.files is None else (logs.files, F.col("length"))
-    sizing = {"weights": (sized[0], sized[1] / EVENT_BYTES), "settle": True, **sizing}
+    if isinstance(logs, StoredLogs):
+        weights = logs.runs(), F.col("n_events")
+    elif logs.files is not None:
+        weights = logs.files, F.col("length") / EVENT_BYTES
+    else:
+        weights = logs.lines, F.length("value") / EVENT_BYTES
+    sizing = {"weights": weights, "settle": True, **sizing}
     built = build_spans(run_events(logs, extras=False), ["file"], EVENT_ORDER, **sizing)
     return span_stats(built.spans, ["file"])
 
@@ -132,8 +138,8 @@ class Analysis:
 
 
 def analyse(logs: Logs, unique_revs: bool = False) -> Analysis:
-    """Roll up all log files once; both tables are small and kept on disk."""
-    chosen = unique_revisions(logs) if unique_revs else logs
+    """Roll up all log files; their lines are parsed once, and both tables are small and kept on disk."""
+    chosen = stored(unique_revisions(logs) if unique_revs else logs)
     rollups = settled(rollup(chosen).rollups, "rollups")
     stats = log_span_stats(chosen).join(rollups.select("file"), "file", "left_semi")
     return Analysis(rollups, settled(stats, "stats"))

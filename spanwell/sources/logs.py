@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanwell.session import shared_folder
+
 EVENT = (
     "struct<timestamp double, worker_id string, task_id string, "
     "event_type string, status int, extras string>"
@@ -113,6 +115,55 @@ class Logs:
         return rows.select("file", *LINE_ORDER, "value", reason.alias("reason")).where("reason is not null")
 
 
+@dataclass(frozen=True)
+class StoredLogs(Logs):
+    """Logs whose lines have been parsed once, into tables by record type.
+
+    What a query reads of them is pruned to its types and fields by the planner.
+    """
+
+    path: str = ""
+
+    def _table(self) -> DataFrame:
+        return self.lines.sparkSession.read.parquet(self.path)
+
+    def records(self, *kinds: str, events: bool = True) -> DataFrame:
+        table = self._table().where(F.col("kind").isin(list(kinds)) if kinds else F.col("type").isNotNull())
+        return table.select("file", *LINE_ORDER, "type", "timestamp", _data(kinds or tuple(RECORD_TYPES), events))
+
+    def parsed(self, *kinds: str, events: bool = True) -> DataFrame:
+        return self._table().select("file", *LINE_ORDER, "type", "timestamp", _data(kinds, events))
+
+    def runs(self) -> DataFrame:
+        """Finished runs with the number of their events."""
+        return self._table().where("kind = 'finish_work'")
+
+
+def _data(kinds: tuple[str, ...], events: bool) -> Column:
+    """The fields of the given record types out of those of all types."""
+    fields = []
+    for field in data_schema(*kinds, events=events).fields:
+        value = F.col(f"data.`{field.name}`")
+        if field.name == "stats" and not events:
+            value = F.when(value.isNotNull(), F.struct(F.col("data.stats.config").alias("config")))
+        fields.append(value.alias(field.name))
+    return F.struct(*fields).alias("data")
+
+
+def stored(logs: Logs) -> StoredLogs:
+    """Parse all lines once, into the shared folder."""
+    if isinstance(logs, StoredLogs):
+        return logs
+    spark = logs.lines.sparkSession
+    path = shared_folder(spark, "log-records")
+    parsed = logs.parsed(*RECORD_TYPES).withColumns({
+        "n_events": F.coalesce(F.array_size("data.stats.events"), F.lit(0)).cast("bigint"),
+        "kind": F.coalesce(F.when(F.col("type").isin(list(RECORD_TYPES)), F.col("type")), F.lit("other")),
+    })
+    parsed.write.partitionBy("kind").parquet(path)
+    return StoredLogs(logs.lines, logs.files, path)
+
+
 def parse_once(df: DataFrame, parsed: Column, kept: list[str]) -> DataFrame:
     """Columns ``kept`` and the fields of a parsed struct.
 
@@ -204,12 +255,16 @@ def run_events(logs: Logs, extras: bool = True) -> DataFrame:
     Nothing else of a line is parsed, and ``extras`` only if wanted.
     """
     event = EVENT if extras else EVENT.replace(", extras string", "")
-    wanted = f"type string, data struct<success boolean, stats struct<events array<{event}>>>"
-    runs = parse_once(logs.lines, F.from_json("value", wanted), ["file", *LINE_ORDER]).where(
-        "type = 'finish_work' and data.success")
+    if isinstance(logs, StoredLogs):
+        runs = logs.runs().where("data.success").select("file", *LINE_ORDER, "data")
+    else:
+        wanted = f"type string, data struct<success boolean, stats struct<events array<{event}>>>"
+        runs = parse_once(logs.lines, F.from_json("value", wanted), ["file", *LINE_ORDER]).where(
+            "type = 'finish_work' and data.success")
+    names = [f.name for f in T.StructType.fromDDL(f"e {event}")[0].dataType.fields]
     return runs.select(
         "file", *LINE_ORDER, F.posexplode("data.stats.events").alias("pos", "event")
-    ).select("file", *LINE_ORDER, "pos", "event.*").where("timestamp is not null")
+    ).select("file", *LINE_ORDER, "pos", *[F.col(f"event.{n}") for n in names]).where("timestamp is not null")
 
 
 EVENT_ORDER = [*LINE_ORDER, "pos"]

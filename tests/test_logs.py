@@ -291,3 +291,24 @@ def test_empty_files_are_rejected(spark, tmp_path):
     (tmp_path / "nothing here.log").write_text("")
     got = rollup.rollup(logs.read_logs(spark, str(tmp_path))).rejected.collect()
     assert [(r.file.rsplit("/", 1)[1], r.reason) for r in got] == [("nothing here.log", "empty file")]
+
+
+def test_stored_logs_give_the_same_reports(spark, folder):
+    plain = logs.read_logs(spark, folder)
+    kept = logs.stored(plain)
+    assert logs.stored(kept) is kept
+    both = [(rollup.rollup(x).rollups.drop("experiment"), rollup.rollup(x).rejected, rollup.log_span_stats(x),
+             logs.run_events(x).drop("line"), x.records("killed", "waiting").drop("line"), rollup.headers(x)) for x in (plain, kept)]
+    for a, b in zip(*both):
+        assert a.columns == b.columns
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+def test_reports_parse_the_text_once(spark, folder):
+    """Only making the store reads JSON; what reports read of it is pruned."""
+    kept = logs.stored(logs.read_logs(spark, folder))
+    for df in (rollup.rollup(kept).rollups, rollup.log_span_stats(kept), kept.records("killed")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "from_json" not in plan
+    plan = rollup.rollup(kept).rollups._jdf.queryExecution().executedPlan().toString()
+    assert "events" not in plan
