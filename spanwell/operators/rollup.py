@@ -70,14 +70,31 @@ def _identity(config: str) -> list:
 def rollup(logs: Logs) -> Rollups:
     """Failures, highest successful iteration and its config, for each file.
 
-    A file needs exactly one experiment record. Headers and runs go through one
-    aggregation by file, with partial results before the shuffle, so one file
-    may hold most of the lines.
+    A file needs exactly one experiment record. Numbers go through one hash aggregation
+    by file with partial results before the shuffle, so one file may hold most of the
+    lines; the wide rows, headers and the config of the best iteration, are then fetched by
+    joins. Lines of plain logs are parsed into a table first.
     """
-    totals = _with_identity(
-        logs.parsed(*ANALYSED, events=False).groupBy("file").agg(*_header_columns(), *_run_columns())
+    kept = stored(logs, *ANALYSED, events=False)
+    is_run = F.coalesce(F.col("type") == "finish_work", F.lit(False))
+    # A run that does not say that it was successful has failed.
+    success = is_run & F.coalesce(F.col("data.success"), F.lit(False))
+    iteration = F.col("data.iteration")
+    totals = kept.parsed(*ANALYSED, events=False).groupBy("file").agg(
+        F.count_if(F.coalesce(F.col("type") == "experiment", F.lit(False))).alias("headers"),
+        F.count_if(is_run & ~success).alias("fail_ct"),
+        F.max(F.when(success, iteration)).alias("max_success_iteration"),
+        F.max(F.when(success & F.col("data.stats.config").isNotNull(), iteration)).alias("best"),
     )
-    good = totals.where("headers = 1").select(
+    first = kept.records("experiment").groupBy("file").agg(*_header_columns())
+    best = totals.select(F.col("file").alias("best_file"), "best")
+    runs = kept.records("finish_work", events=False).where("data.success").select(
+        "file", *LINE_ORDER, iteration.alias("iteration"), F.col("data.stats.config").alias("config")).where("config is not null")
+    # of equal iterations the first in the file counts
+    configs = runs.join(best, (F.col("file") == F.col("best_file")) & (F.col("iteration") == F.col("best"))).groupBy(
+        F.col("file").alias("config_file")).agg(F.min_by("config", F.struct(*LINE_ORDER)).alias("max_success_workload_config"))
+    headed = totals.where("headers = 1").join(first.drop("headers"), "file")
+    good = _with_identity(headed.join(configs, F.col("file") == F.col("config_file"), "left")).select(
         "file", "timestamp", "experiment", *IDENTITY, *REVISIONS, "fail_ct",
         F.coalesce("max_success_iteration", F.lit(-1).cast("bigint")).alias("max_success_iteration"),
         "max_success_workload_config",
@@ -93,21 +110,6 @@ def rollup(logs: Logs) -> Rollups:
     return Rollups(good, rejected)
 
 
-def _run_columns() -> list:
-    is_run = F.coalesce(F.col("type") == "finish_work", F.lit(False))
-    # A run that does not say that it was successful has failed.
-    success = is_run & F.coalesce(F.col("data.success"), F.lit(False))
-    config = F.col("data.stats.config")
-    # Of equal iterations the first in the file counts.
-    place = F.struct(F.col("data.iteration"), -F.col("block"), -F.col("line"))
-    return [
-        F.count_if(is_run & ~success).alias("fail_ct"),
-        F.max(F.when(success, F.col("data.iteration"))).alias("max_success_iteration"),
-        F.max_by(config, F.when(success & config.isNotNull(), place))
-        .alias("max_success_workload_config"),
-    ]
-
-
 # A span event takes at least this many bytes of a log line.
 EVENT_BYTES = 40
 

@@ -150,14 +150,15 @@ def _data(kinds: tuple[str, ...], events: bool) -> Column:
     return F.struct(*fields).alias("data")
 
 
-def stored(logs: Logs) -> StoredLogs:
-    """Parse all lines once, into the shared folder."""
+def stored(logs: Logs, *kinds: str, events: bool = True) -> StoredLogs:
+    """Parse all lines once, into the shared folder; only fields of ``kinds`` (default all) are kept."""
     if isinstance(logs, StoredLogs):
         return logs
     spark = logs.lines.sparkSession
     path = shared_folder(spark, "log-records")
-    parsed = logs.parsed(*RECORD_TYPES).withColumns({
-        "n_events": F.coalesce(F.array_size("data.stats.events"), F.lit(0)).cast("bigint"),
+    n_events = F.coalesce(F.array_size("data.stats.events"), F.lit(0)) if events else F.lit(None)
+    parsed = logs.parsed(*(kinds or RECORD_TYPES), events=events).withColumns({
+        "n_events": n_events.cast("bigint"),
         "kind": F.coalesce(F.when(F.col("type").isin(list(RECORD_TYPES)), F.col("type")), F.lit("other")),
     })
     parsed.write.partitionBy("kind").parquet(path)
