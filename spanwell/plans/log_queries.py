@@ -123,9 +123,10 @@ def experiment_groups(spark, sf):
 SHORT = "substr(framework_rev, 1, 7) AS framework_rev, substr(benchmark_rev, 1, 7) AS benchmark_rev"
 
 
-@query("summary_table", f"""WITH {LOG_FILES_SQL},
+def _summary_sql(measurement: str) -> str:
+    return f"""WITH {LOG_FILES_SQL},
 long AS (
-  SELECT file, start_phase, end_phase, event_type AS measurement, s.stat,
+  SELECT file, start_phase, end_phase, {measurement} AS measurement, s.stat,
          CASE s.stat WHEN 'min' THEN min_elapsed_time WHEN 'max' THEN max_elapsed_time
                      WHEN 'avg' THEN avg_elapsed_time ELSE CAST(ct AS DOUBLE) END AS value
   FROM run_stats, (VALUES ('min'), ('max'), ('avg'), ('ct')) s(stat)
@@ -135,23 +136,20 @@ long AS (
   SELECT file, NULL, NULL, 'failures', 'ct', fail_ct FROM rolled)
 SELECT r.file, {SHORT}, workload, num_workers, num_nodes, start_phase, end_phase, measurement, stat,
        round(value, 6) AS value
-FROM rolled r JOIN long l ON l.file = r.file""")
+FROM rolled r JOIN long l ON l.file = r.file"""
+
+
+@query("summary_table", _summary_sql("event_type"))
 def summary_table(spark, sf):
     rollups, stats = _parts(spark, sf)
     return rollup.summary_table(rollups, stats).withColumn("value", F.round("value", 6))
 
 
-@query("summary_cut_names", f"""WITH {LOG_FILES_SQL}
-SELECT substr(coalesce(start_phase, 'None') || ':' || coalesce(end_phase, 'None') || ':'
-              || event_type, 11) AS measurement, 'ct' AS stat, CAST(sum(ct) AS DOUBLE) AS value
-FROM run_stats WHERE file IN (SELECT file FROM rolled) GROUP BY ALL""")
+@query("summary_cut_names", _summary_sql(
+    "substr(coalesce(start_phase, 'None') || ':' || coalesce(end_phase, 'None') || ':' || event_type, 11)"))
 def summary_cut_names(spark, sf):
     rollups, stats = _parts(spark, sf)
-    table_ = rollup.summary_table(rollups, stats, cut_ten=True)
-    return (
-        table_.where("stat = 'ct' and measurement <> 'failures'")
-        .groupBy("measurement", "stat").agg(F.sum("value").alias("value"))
-    )
+    return rollup.summary_table(rollups, stats, cut_ten=True).withColumn("value", F.round("value", 6))
 
 
 @query("unique_log_revisions", f"""WITH {LOG_FILES_SQL}
@@ -210,9 +208,11 @@ def _values(rollups, stats):
 
 
 @query("stat_values", f"""WITH {VALUES_SQL}
-SELECT file, kind, name, round(value, 6) AS value FROM named""")
+SELECT file, kind, name, round(value, 6) AS value,
+       CASE WHEN kind = 'config' THEN coalesce(label, CAST(CAST(value AS BIGINT) AS VARCHAR)) END AS given FROM named""")
 def stat_values(spark, sf):
-    return _values(*_parts(spark, sf)).select("file", "kind", "name", F.round("value", 6).alias("value"))
+    return _values(*_parts(spark, sf)).select(
+        "file", "kind", "name", F.round("value", 6).alias("value"), F.when(F.col("kind") == "config", F.col("text")).alias("given"))
 
 
 @query("stat_columns", f"""WITH {VALUES_SQL}

@@ -63,14 +63,11 @@ EXPERIMENT_FOLDERS = ["experiment", "run_ts", "workload", "num_nodes", "num_work
 def write_experiments(df: DataFrame, base: str) -> None:
     """Records by experiment, run time and identity, one folder level for each.
 
-    Rows are moved by folder and a few salts first: few files per folder, and a
-    folder with most rows is still written by several tasks.
+    Rows are gathered by folder first, and the planner splits a folder with many rows by
+    their measured size: few files per folder, and a folder with most rows is still written by
+    several tasks.
     """
-    salt = F.pmod(F.xxhash64(*[c for c in df.columns if c not in EXPERIMENT_FOLDERS]), F.lit(16))
-    (
-        df.repartition(*EXPERIMENT_FOLDERS, salt)
-        .write.mode("append").partitionBy(*EXPERIMENT_FOLDERS).parquet(base)
-    )
+    df.hint("rebalance", *EXPERIMENT_FOLDERS).write.mode("append").partitionBy(*EXPERIMENT_FOLDERS).parquet(base)
 
 
 def log_path_parts(path: Column) -> list[Column]:
