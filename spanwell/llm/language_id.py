@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanwell.llm.common import as_bytes, column
+from spanwell.session import settled
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -158,12 +159,14 @@ def sample(labelled: DataFrame, text: str, lang: str, per_language: int, length:
     known = labelled.select(column(text).alias("text"), column(lang).cast("string").alias("lang")).where(
         "text is not null and lang is not null and text != ''"
     )
-    counts = known.groupBy("lang").count().withColumnRenamed("lang", "of_lang")
-    picked = known.withColumn("mark", F.xxhash64("text")).join(counts, F.col("lang") == F.col("of_lang")).where(
+    mark = F.xxhash64("text")
+    start = F.pmod(F.shiftright(mark, 32), F.greatest(F.lit(1), F.length("text") - length + 1)) + 1
+    stretches = known.select("lang", mark.alias("mark"), F.substr(F.col("text"), start.cast("int"), F.lit(length)).alias("part"))
+    counts = settled(known.groupBy("lang").count().withColumnRenamed("lang", "of_lang"), "language-counts")
+    picked = stretches.join(counts, F.col("lang") == F.col("of_lang")).where(
         F.pmod("mark", F.lit(1 << 30)) < F.least(F.lit(1 << 30), F.lit(per_language << 30) / F.col("count"))
     )
-    start = F.pmod(F.shiftright("mark", 32), F.greatest(F.lit(1), F.length("text") - length + 1)) + 1
-    return picked.select("lang", F.substr(F.col("text"), start.cast("int"), F.lit(length)).alias("part")).collect()
+    return picked.select("lang", "part").collect()
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 1000, epochs: int = 6, seed: int = 7) -> ByteNetwork:
