@@ -185,7 +185,7 @@ def _found(table: pa.Table, plan: Plan) -> Iterator[pa.RecordBatch]:
 
 
 def near_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = 0.95,
-                 recall: float = 0.999, block: int = 2048, seed: int = 11) -> DataFrame:
+                 recall: float = 0.999, block: int = 1024, seed: int = 11) -> DataFrame:
     """``vec_id``, ``n_links``, ``component_id``, ``kept`` of every row of ``df``."""
     vector = column(embedding)
     usable = F.coalesce(
