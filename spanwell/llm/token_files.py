@@ -4,7 +4,7 @@ A dataset of ids is a folder of Parquet files whose rows are blocks: consecutive
 shard, in ascending order of document, and a payload. In a payload, frequent pairs of ids are
 replaced by nonterminals again and again; it holds the rules, how many ids each nonterminal
 expands to, the remaining symbols and the documents' lengths, so any range of ids is
-decoded from the symbols that cover it. The pairs of a round are all those at least an eighth as
+decoded from the symbols that cover it. The pairs of a round are all those at least a sixteenth as
 frequent as the most frequent one; where two overlap, the left one is replaced.
 
 Payload, all numbers little-endian and unsigned of 32 bits: the format mark, the first
@@ -32,21 +32,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanwell.llm.common import as_bytes, column
+from spanwell.session import settled
 
 #: Ids after which a block is closed.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: Words that a worker remembers in each of two generations.
-REMEMBERED = 500_000
+REMEMBERED = 800_000
 MARK = b"RPG1"
 #: Cells in which pairs are counted roughly before the frequent ones are counted exactly.
-HASH_BITS = 19
+HASH_BITS = 18
 #: Marks that may end a word of letters without becoming one unit with it.
 CLOSING = b".,;:!?*%&#$|"
 
 
 # -- grammar ---------------------------------------------------------------------------------
 
-def compress(ids: np.ndarray, first: int, least: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, first: int, least: int = 24) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules (pairs of symbols), their expansion lengths, and the remaining symbols.
 
     ``first`` is the first nonterminal, above all ids. Pairs that occur less than ``least``
@@ -55,20 +56,22 @@ def compress(ids: np.ndarray, first: int, least: int = 16) -> tuple[np.ndarray,
     symbols = ids.astype(np.uint32)
     rules, lengths, n_rules = [], np.zeros(0, dtype=np.int64), 0
     while len(symbols) > 1:
-        hashed = symbols[:-1] * np.uint32(0x9E3779B1) + symbols[1:] * np.uint32(0x85EBCA77)
-        hashed >>= np.uint32(32 - HASH_BITS)
-        sums = np.bincount(hashed, minlength=1 << HASH_BITS).astype(np.int32)
-        at, found, counts = _frequent(symbols, sums[hashed], max(least, int(sums.max()) // 16))
-        if len(found) and counts.max() < int(sums.max()) // 2:  # several pairs share the fullest cell
-            at, found, counts = _frequent(symbols, sums[hashed], least)
+        cells = _cells(symbols[:-1], symbols[1:])
+        sums = np.bincount(cells, minlength=1 << HASH_BITS).astype(np.int32)
+        bound, most = sums[cells], int(sums.max())
+        at, pairs, found, counts = _frequent(symbols, bound, max(least, most // 32))
+        if len(found) and counts.max() < most // 2:  # several pairs share the fullest cell
+            at, pairs, found, counts = _frequent(symbols, bound, least)
         if not len(found) or counts.max() < least:
             break
-        chosen = found[counts >= max(least, int(counts.max()) // 8)]
-        # places where a chosen pair begins; of places in a row every second one is free
-        pairs = _pairs(symbols, at)
-        which = np.minimum(np.searchsorted(chosen, pairs), len(chosen) - 1)
-        hit = chosen[which] == pairs
+        chosen = found[counts >= max(least, int(counts.max()) // 16)]
+        # places where a chosen pair begins; of chosen pairs in one cell all but one wait for the next round
+        in_cell = np.full(1 << HASH_BITS, -1, dtype=np.int32)
+        in_cell[_cells((chosen >> np.uint64(32)).astype(np.uint32), chosen.astype(np.uint32))] = np.arange(len(chosen))
+        which = in_cell[cells[at]]
+        hit = (which >= 0) & (chosen[which] == pairs)
         at, which = at[hit], which[hit]
+        # of places in a row every second one is free
         new_row = np.concatenate([[True], np.diff(at) > 1])
         row_start = np.maximum.accumulate(np.where(new_row, np.arange(len(at)), 0))
         free = (np.arange(len(at)) - row_start) % 2 == 0
@@ -93,12 +96,18 @@ def _pairs(symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
     return symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1]
 
 
-def _frequent(symbols: np.ndarray, bound: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places whose pair may occur ``least`` times (by an upper bound), their pairs, and the counts."""
+def _cells(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A rough place to count each pair of 32-bit symbols in."""
+    return (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(32 - HASH_BITS)
+
+
+def _frequent(symbols: np.ndarray, bound: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places whose pair may occur ``least`` times (by an upper bound), their pairs, the distinct pairs and their counts."""
     at = np.flatnonzero(bound >= least)
-    ordered = np.sort(_pairs(symbols, at))
+    pairs = _pairs(symbols, at)
+    ordered = np.sort(pairs)
     starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
-    return at, ordered[starts], np.diff(np.append(starts, len(ordered)))
+    return at, pairs, ordered[starts], np.diff(np.append(starts, len(ordered)))
 
 
 def _expansion(symbols: np.ndarray, first: int, lengths: np.ndarray) -> np.ndarray:
@@ -144,18 +153,38 @@ class Payload:
             numbers, np.cumsum([2 * n_rules, n_rules, n_symbols])
         )
         self.rules = rules.reshape(-1, 2).astype(np.int64)
+        self._written: np.ndarray | None = None
+
+    def _sizes(self, symbols: np.ndarray) -> np.ndarray:
+        return _expansion(symbols.astype(np.uint64), self.first, self.expansions.astype(np.int64))
+
+    def _expand(self, symbols: np.ndarray) -> np.ndarray:
+        """All rules are written out once; then each symbol is one copy of a stretch of ids."""
+        if self._written is None:
+            self._written = expand(np.arange(self.first, self.first + len(self.rules)), self.rules, self.first)
+        sizes = self._sizes(symbols)
+        ends = np.cumsum(sizes)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.uint32)
+        inner = symbols >= self.first
+        out[ends[~inner] - 1] = symbols[~inner]
+        if inner.any():
+            own = sizes[inner]
+            steps = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
+            rule_starts = np.cumsum(self.expansions, dtype=np.int64) - self.expansions
+            from_ = np.repeat(rule_starts[symbols[inner].astype(np.int64) - self.first], own) + steps
+            out[np.repeat(ends[inner] - own, own) + steps] = self._written[from_]
+        return out
 
     def ids(self, start: int = 0, stop: int | None = None) -> np.ndarray:
         """The ids from ``start`` to ``stop``, expanding only the symbols that cover them."""
-        ends = np.cumsum(_expansion(self.symbols.astype(np.uint64), self.first, self.expansions.astype(np.int64)))
+        ends = np.cumsum(self._sizes(self.symbols))
         stop = int(ends[-1]) if stop is None and len(ends) else stop or 0
         if stop <= start:
             return np.zeros(0, dtype=np.uint32)
         a = int(np.searchsorted(ends, start, side="right"))
         b = int(np.searchsorted(ends, stop, side="left"))
         before = int(ends[a - 1]) if a else 0
-        found = expand(self.symbols[a: b + 1], self.rules, self.first)
-        return found[start - before: stop - before]
+        return self._expand(self.symbols[a: b + 1])[start - before: stop - before]
 
     def document(self, index: int) -> np.ndarray:
         start = int(self.lengths[:index].sum(dtype=np.int64))
@@ -185,55 +214,64 @@ class WordTokens:
         self.older: dict[bytes, bytes] = {}
 
     def _encoded(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: set[bytes]) -> None:
+        known, older = self.known, self.older
         letters, others, closed = [], [], []
-        for word in words:
-            if word in self.known:
-                continue
-            found = self.older.get(word)
+        for word in words.difference(known):
+            found = older.get(word)
             if found is not None:
-                self.known[word] = found
+                known[word] = found
+            elif word.isalpha() or word.decode().lower().isalpha():
+                (letters if len(word) < 1000 else others).append(word)
             else:
-                text = word.decode()
-                if text.lower().isalpha() and len(text) < 1000:
-                    letters.append(text)
-                    continue
                 stem = word.rstrip(CLOSING)
-                if stem and len(stem) < len(word) and stem.decode().lower().isalpha():
+                if stem and len(stem) < len(word) and (stem.isalpha() or stem.decode().lower().isalpha()):
                     closed.append((word, stem))
                 else:
-                    others.append(text)
-        for start in range(0, len(letters), 2000):
-            part = letters[start: start + 2000]
-            lines = [part[i: i + 200] for i in range(0, len(part), 200)]
-            for line, ids in zip(lines, self._encoded([" ".join(line) for line in lines])):
+                    others.append(word)
+        lines = [letters[i: i + 200] for i in range(0, len(letters), 200)]
+        for start in range(0, len(lines), 10):
+            part = lines[start: start + 10]
+            for line, ids in zip(part, self._encoded([b" ".join(line).decode() for line in part])):
                 ends = np.flatnonzero(self.ends[ids]) + 1
                 if len(ends) != len(line):  # a word of more units than one: each by itself
                     others += line
                     continue
                 data, at = ids.tobytes(), 0
                 for word, end in zip(line, (4 * ends).tolist()):
-                    self.known[word.encode()] = data[at:end]
+                    known[word] = data[at:end]
                     at = end
         for start in range(0, len(others), 1000):
             part = others[start: start + 1000]
-            for word, ids in zip(part, self._encoded(part)):
-                self.known[word.encode()] = ids.tobytes()
+            for word, ids in zip(part, self._encoded([word.decode() for word in part])):
+                known[word] = ids.tobytes()
         if closed:
             self._learn({stem for _, stem in closed} | {word[len(stem):] for word, stem in closed})
             for word, stem in closed:
-                self.known[word] = self.known[stem] + self.known[word[len(stem):]]
+                known[word] = known[stem] + known[word[len(stem):]]
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text as bytes of little-endian 32-bit numbers."""
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
-        split = [(text or b"").lower().split() for text in texts]
-        self._learn(set().union(*split))
-        known = self.known
-        return [b"".join([known[word] for word in words]) for words in split]
+        known, join = self.known, b"".join
+        found: list[bytes] = []
+        waiting: list[tuple[int, list[bytes], list[bytes | None]]] = []
+        for number, text in enumerate(texts):
+            words = (text or b"").lower().split()
+            ids = list(map(known.get, words))
+            try:
+                found.append(join(ids))
+            except TypeError:  # a new word
+                found.append(b"")
+                waiting.append((number, words, ids))
+        if waiting:
+            self._learn({word for _, words, ids in waiting for word, i in zip(words, ids) if i is None})
+            for number, words, ids in waiting:
+                found[number] = join([known[word] if i is None else i for word, i in zip(words, ids)])
+        return found
 
 
 _tokens: dict[int, WordTokens] = {}
@@ -312,6 +350,7 @@ def open_files(spark: SparkSession, path: str) -> DataFrame:
         F.col("shard").alias("of_shard"), F.col("block").alias("of_block"),
         F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("block_start"),
     ).join(shards, "of_shard").select("of_shard", "of_block", (F.col("shard_start") + F.col("block_start")).alias("start"))
+    starts = settled(starts, "block-starts")  # a row for each block; its size tells the planner how to join
     met = (F.col("shard") == F.col("of_shard")) & (F.col("block") == F.col("of_block"))
     return blocks.join(starts, met).select("shard", "block", "start", "n_tokens", "doc_ids", "payload")
 
