@@ -40,20 +40,26 @@ BLOCK = 4096
 PROBE_COST = 100.0
 
 
-def fingerprint(text: bytes | None, width: int = 4, seed: int = 42) -> int:
-    """The fingerprint of one text: bit by bit the majority over the hashes of its shingles."""
+def shingle_hashes(text: bytes | None, width: int, seed: int = 42) -> np.ndarray:
+    """A hash of each of the text's shingles; a text of fewer words is one shingle."""
     words = (text or b"").lower().split()  # of bytes: A-Z only, and the six ASCII white spaces
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     whole = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
     starts = np.concatenate([[0], ends[:-1]])
     n = max(1, len(words) - width + 1)
     last = (ends - 1)[min(width, len(words)) - 1:]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter(
+    return np.fromiter(
         (digest(whole[a:b], seed) for a, b in zip(starts[:n].tolist(), last.tolist())), dtype=np.uint64, count=n
     )
+
+
+def fingerprint(text: bytes | None, width: int = 4, seed: int = 42) -> int:
+    """The fingerprint of one text: bit by bit the majority over the hashes of its shingles."""
+    hashes = shingle_hashes(text, width, seed)
+    n = len(hashes)
     ones = np.zeros(BITS, dtype=np.int64)
     for start in range(0, n, 65536):
         part = hashes[start: start + 65536].astype(">u8").view(np.uint8).reshape(-1, 8)
