@@ -4,7 +4,7 @@ A dataset of ids is a folder of Parquet files whose rows are blocks: consecutive
 shard, in ascending order of document, and a payload. In a payload, frequent pairs of ids are
 replaced by nonterminals again and again; it holds the rules, how many ids each nonterminal
 expands to, the remaining symbols and the documents' lengths, so any range of ids is
-decoded from the symbols that cover it. The pairs of a round are all those at least a sixteenth as
+decoded from the symbols that cover it. The pairs of a round are all those at least an eighth as
 frequent as the most frequent one; where two overlap, the left one is replaced.
 
 Payload, all numbers little-endian and unsigned of 32 bits: the format mark, the first
@@ -35,7 +35,7 @@ from spanwell.llm.common import as_bytes, column
 from spanwell.session import settled
 
 #: Ids after which a block is closed.
-BLOCK = 1 << 19
+BLOCK = 1 << 20
 #: Words that a worker remembers in each of two generations.
 REMEMBERED = 800_000
 MARK = b"RPG1"
@@ -47,7 +47,7 @@ CLOSING = b".,;:!?*%&#$|"
 
 # -- grammar ---------------------------------------------------------------------------------
 
-def compress(ids: np.ndarray, first: int, least: int = 24) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, first: int, least: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules (pairs of symbols), their expansion lengths, and the remaining symbols.
 
     ``first`` is the first nonterminal, above all ids. Pairs that occur less than ``least``
@@ -59,12 +59,12 @@ def compress(ids: np.ndarray, first: int, least: int = 24) -> tuple[np.ndarray,
         cells = _cells(symbols[:-1], symbols[1:])
         sums = np.bincount(cells, minlength=1 << HASH_BITS).astype(np.int32)
         bound, most = sums[cells], int(sums.max())
-        at, pairs, found, counts = _frequent(symbols, bound, max(least, most // 32))
+        at, pairs, found, counts = _frequent(symbols, bound, max(least, most // 16))
         if len(found) and counts.max() < most // 2:  # several pairs share the fullest cell
             at, pairs, found, counts = _frequent(symbols, bound, least)
         if not len(found) or counts.max() < least:
             break
-        chosen = found[counts >= max(least, int(counts.max()) // 16)]
+        chosen = found[counts >= max(least, int(counts.max()) // 8)]
         # places where a chosen pair begins; of chosen pairs in one cell all but one wait for the next round
         in_cell = np.full(1 << HASH_BITS, -1, dtype=np.int32)
         in_cell[_cells((chosen >> np.uint64(32)).astype(np.uint32), chosen.astype(np.uint32))] = np.arange(len(chosen))
