@@ -2,7 +2,9 @@
 
 import numpy as np
 
+from spanwell.llm import line_dedup
 from spanwell.llm import token_files as files
+from tests.llm.test_mixing_and_lines import DOCS, line_rows
 
 
 def test_pairs_seen_sixteen_times_are_replaced():
@@ -11,3 +13,9 @@ def test_pairs_seen_sixteen_times_are_replaced():
         ids[500 * at: 500 * at + 2] = 20_000, 20_001
     rules, lengths, symbols = files.compress(ids, 30_000)
     assert rules.tolist() == [[20_000, 20_001]] and len(symbols) == 10_000 - 16
+
+
+def test_shared_lines_go_from_short_pages_too(spark):
+    df = spark.createDataFrame(line_rows(), DOCS)
+    out = {r.doc_id: r for r in line_dedup.remove_shared_lines(df, spare_copies=False).collect()}
+    assert out[200].text == "" and out[200].n_removed == 2 and out[0].text.count("on all") == 1
