@@ -138,23 +138,41 @@ def log_roundtrip(spark, sf):
         F.count(F.lit(1)).alias("records"))
 
 
-def _written_documents(docs, path):
-    """Documents (``value``) in a file of their own each, in folders by ``k``."""
-    docs.select("k", "value").repartition("k").write.partitionBy("k").text(path)
+def _written_documents(docs, path, by=("k",)):
+    """Documents (``value``) in a file of their own each, in folders by the columns ``by``."""
+    docs.select(*by, "value").repartition(*by).write.partitionBy(*by).text(path)
+
+
+def _ranged(number, size):
+    """The range of ``size`` whole numbers that a number lies in."""
+    return F.floor(F.col(number) / size).alias("part")
+
+
+def _sweep_configs(parts, size=10_000):
+    """A sweep config for each ``k`` and range of part keys."""
+    one = F.format_string(
+        '{"num_workers":%1$d,"num_nodes":1,"mem_size":"1G","shm_size":"1G","mem_size":null},'
+        '{"num_workers":%2$d,"num_nodes":2,"shm_size":"2G","mem_size":"4G"}', F.col("p_size"), F.col("p_size") * 2)
+    return parts.groupBy((F.col("p_partkey") % 16).alias("k"), _ranged("p_partkey", size)).agg(
+        F.format_string('{"system_configs":[%s],"workloads":[]}', F.array_join(F.collect_list(one), ",")).alias("value"))
+
+
+def _event_dumps(events, size=100_000):
+    """A dump for each ``k`` and range of event ids, so that a user with many events has many dumps."""
+    event = F.struct(
+        F.col("event_id").cast("double").alias("timestamp"), F.col("user_id").cast("string").alias("worker_id"),
+        F.lit("-1").alias("task_id"), "event_type", F.lit(1).alias("status"), F.lit(None).cast("string").alias("extras"))
+    return events.groupBy((F.col("user_id") % 16).alias("k"), _ranged("event_id", size)).agg(
+        F.to_json(F.struct(F.collect_list(event).alias("events"))).alias("value"))
 
 
 @query("sweep_config_files", f"""WITH {SWEEPS_SQL}
 SELECT p_partkey % 16 AS k, num_workers, num_nodes, shm_size, mem_size, count(*) AS systems
 FROM sweep_systems GROUP BY ALL""")
 def sweep_config_files(spark, sf):
-    """All parts' systems in sixteen sweep configs, one document a file, read by the file reader."""
+    """All parts' systems in sixteen folders of sweep configs, one document a file, read by the file reader."""
     path = shared_folder(spark, "sweeps")
-    one = F.format_string(
-        '{"num_workers":%1$d,"num_nodes":1,"mem_size":"1G","shm_size":"1G","mem_size":null},'
-        '{"num_workers":%2$d,"num_nodes":2,"shm_size":"2G","mem_size":"4G"}', F.col("p_size"), F.col("p_size") * 2)
-    docs = table(spark, sf, "part").groupBy((F.col("p_partkey") % 16).alias("k")).agg(
-        F.format_string('{"system_configs":[%s],"workloads":[]}', F.array_join(F.collect_list(one), ",")).alias("value"))
-    _written_documents(docs, path)
+    _written_documents(_sweep_configs(table(spark, sf, "part")), path, ("k", "part"))
     found = configs.systems(configs.read_sweeps(spark, path))
     return found.groupBy(
         F.regexp_extract("file", "/k=(\\d+)/", 1).cast("bigint").alias("k"),
@@ -184,14 +202,9 @@ def metric_config_files(spark, sf):
 @query("dump_files", """
 SELECT event_id, event_type, CAST(user_id AS VARCHAR) AS worker_id, CAST(user_id % 16 AS BIGINT) AS k FROM events""")
 def dump_files(spark, sf):
-    """All events in sixteen dumps, one document a file, read by the file reader."""
+    """All events in sixteen folders of dumps, one document a file, read by the file reader."""
     path = shared_folder(spark, "dumps")
-    event = F.struct(
-        F.col("event_id").cast("double").alias("timestamp"), F.col("user_id").cast("string").alias("worker_id"),
-        F.lit("-1").alias("task_id"), "event_type", F.lit(1).alias("status"), F.lit(None).cast("string").alias("extras"))
-    docs = table(spark, sf, "events").groupBy((F.col("user_id") % 16).alias("k")).agg(
-        F.to_json(F.struct(F.collect_list(event).alias("events"))).alias("value"))
-    _written_documents(docs, path)
+    _written_documents(_event_dumps(table(spark, sf, "events")), path, ("k", "part"))
     return traces.dump_events(traces.read_dumps(spark, path)).select(
         F.col("timestamp").cast("bigint").alias("event_id"), "event_type", "worker_id",
         F.regexp_extract("file", "/k=(\\d+)/", 1).cast("bigint").alias("k"))
