@@ -8,8 +8,7 @@ the wanted recall for a pair just at the threshold.
 Windows over all vectors would meet a fixed share of all pairs on every line. So the vectors are
 first grouped, in several tables, by the slabs they fall into on a few lines; the number of
 these lines grows with the logarithm of the number of vectors, which keeps groups small. In a
-group the vectors are sorted on the first counting line, and each one counts its collisions
-with those in its window there. Groups beyond a limit are cut into blocks. A pair that met
+group each vector counts its collisions with all others, on every counting line alike. Groups beyond a limit are cut into blocks. A pair that met
 in an earlier table is not counted again. Only numbers of links and a star of links leave a
 group, never all pairs.
 
@@ -129,18 +128,16 @@ def _pairs_in_group(x: np.ndarray, lines: np.ndarray, plan: Plan) -> Iterator[tu
     """Pairs of rows at or above the threshold, by collisions on the counting lines."""
     norms = np.linalg.norm(x, axis=1)
     places = ((x / norms[:, None]) @ lines).astype(np.float32)
-    order = np.argsort(places[:, 0], kind="stable")
-    places = np.ascontiguousarray(places[order].T)
+    places = np.ascontiguousarray(places.T)
     window = np.float32(plan.window)
     for a in range(0, len(x), 256):
         b = min(a + 256, len(x))
-        stop = int(np.searchsorted(places[0], places[0, b - 1] + window, side="right"))
-        met = np.zeros((b - a, stop - a), dtype=np.int8)
+        met = np.zeros((b - a, len(x) - a), dtype=np.int8)
         for line in places:
-            met += np.abs(line[a:b, None] - line[None, a:stop]) <= window
+            met += np.abs(line[a:b, None] - line[None, a:]) <= window
         i, j = np.nonzero(met >= plan.least)
         ahead = i < j
-        i, j = order[a + i[ahead]], order[a + j[ahead]]
+        i, j = a + i[ahead], a + j[ahead]
         for start in range(0, len(i), 1 << 16):
             u, v = i[start: start + (1 << 16)], j[start: start + (1 << 16)]
             near = np.einsum("ij,ij->i", x[u], x[v]) / (norms[u] * norms[v]) >= plan.threshold
