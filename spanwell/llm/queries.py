@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from spanwell.llm import (
     embedding_dedup,
+    hard_negatives,
     language_id,
     line_dedup,
+    merkle,
     mixing,
     prefix_bpe,
     quality_classifier,
@@ -151,6 +153,24 @@ def language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(asked, network, keep=["doc_id", "held_out"])
 
 
+def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proof of every document in a tree over the sources' trees, checked against texts half of which were tampered with."""
+    docs = _table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampers = F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0)
+    changed = F.when(tampers, merkle.leaf([*fields, F.replace(F.col("text"), F.lit("\n"), F.lit(""))]))
+    proofs = merkle.manifest(
+        docs, merkle.leaf([*fields, F.col("text")]), F.col("source"), F.col("doc_id"), doc_id=F.col("doc_id"), changed=changed)
+    return merkle.verified(proofs, "changed", ["doc_id", "leaf", "subroot", "root"])
+
+
+def negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth embedding, a seventh of whose labels are moved on by one."""
+    vec_id, label = F.col("vec_id"), F.col("label")
+    moved = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), vec_id, F.col("embedding"), moved, vec_id % 50 == 0)
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_filter": url_filter,
     "op2_byte_bpe": bpe,
@@ -162,10 +182,14 @@ QUERIES: dict[str, Query] = {
     "op8_quality_classifier": classifier,
     "op9_token_files": tokens_on_disk,
     "op10_language_id": language,
+    "op11_merkle_manifest": manifest,
+    "op13_hard_negatives": negatives,
 }
 SQL: dict[str, str] = {
     "op4_source_mix": mixing.sql(
         {"domain": domain_sql(), "lang": "lang", "source": "source"}, MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED
     ),
     "op5_line_dedup": line_dedup.SQL.format(min_sites=MIN_SITES),
+    "op11_merkle_manifest": merkle.SQL,
+    "op13_hard_negatives": hard_negatives.SQL,
 }
