@@ -40,7 +40,8 @@ ROWS, ANCHORS, STEP = 2048, 4096, 256
 FOCUS = 4
 #: Share of a bucket from which on all of it is verified.
 DENSE = 0.25
-LOWEST = -(1 << 62)
+#: Below every score: of those that are exact in doubles, and of all.
+LOWEST, LOWEST_OF_ALL = -(1 << 62), -(1 << 200)
 
 
 @dataclass(frozen=True)
@@ -132,7 +133,8 @@ class Bucket:
 def best(scores: np.ndarray, allowed: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Places (anchor, row) of each anchor's ``k`` highest allowed scores; of equal ones the first rows."""
     n = scores.shape[1]
-    key = np.where(allowed, scores * n + (n - 1 - np.arange(n)), LOWEST * (n if scores.dtype == object else 1))
+    nothing = LOWEST_OF_ALL if scores.dtype == object else LOWEST
+    key = np.where(allowed, scores * n + (n - 1 - np.arange(n)), nothing)
     k = min(k, n)
     rows = np.argpartition(-key, k - 1, axis=1)[:, :k]
     which = np.repeat(np.arange(len(scores)), k)
@@ -203,15 +205,15 @@ def _negatives_cell(shape: Shape, positives: int, k: int, low: int, high: int) -
                 part = anchors.slice(start, STEP)
                 names, row = part.column("vec_id").to_numpy(), part.column("row").to_numpy()
                 asked = part.column("positives").to_pylist()
-                kind = np.int64 if shape.exact else object
-                least = np.full((len(part), positives), -LOWEST, dtype=kind)
-                most = np.full((len(part), positives), LOWEST, dtype=kind)
+                kind, lowest = (np.int64, LOWEST) if shape.exact else (object, LOWEST_OF_ALL)
+                least = np.full((len(part), positives), -lowest, dtype=kind)
+                most = np.full((len(part), positives), lowest, dtype=kind)
                 for i, found in enumerate(asked):
                     for j, positive in enumerate(found):
                         a, b = window(positive["score"], low, high)
                         least[i, j], most[i, j] = max(a, a if positive["bound"] is None else positive["bound"]), b
                 open_ = least <= most
-                bound = np.where(open_, least, -LOWEST).min(axis=1).astype(float)
+                bound = np.where(open_, least, -lowest).min(axis=1).astype(float)
                 scores = bucket.scores(matrix(part, shape.width), bound)
                 other = part.column("label").to_numpy()[:, None] != bucket.labels
                 for j in range(positives):

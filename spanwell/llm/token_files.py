@@ -22,6 +22,7 @@ folder of files; other columns are not read.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -41,6 +42,8 @@ REMEMBERED = 800_000
 MARK = b"RPG1"
 #: Cells in which pairs are counted roughly before the frequent ones are counted exactly.
 HASH_BITS = 18
+#: Begins the key of a special token among the words; no UTF-8 text holds this byte.
+MARKED = b"\xff"
 #: Marks that may end a word of letters without becoming one unit with it.
 CLOSING = b".,;:!?*%&#$|"
 
@@ -198,21 +201,34 @@ class WordTokens:
 
     Words are cut at ASCII white space and lower-cased over A-Z, which the vocabulary does anyway.
     New words of letters only are encoded many at a time: each makes one unit, whose
-    last token the vocabulary marks as a word's end.
+    last token the vocabulary marks as a word's end. The strings of the vocabulary's special tokens
+    stand for those tokens wherever a text holds them exactly, as is the library's default.
     """
 
     def __init__(self, data: bytes):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(data.decode())
+        # marks are cut out of a text before it is lower-cased; what then looks like one is ordinary text
         self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.first_free = max(vocabulary.values()) + 1
         self.ends = np.zeros(self.first_free, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
+        added = {t.content.encode(): i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
+        self.marks = re.compile(b"(" + b"|".join(sorted(map(re.escape, added), key=len, reverse=True)) + b")") if added else None
+        self.mark_ids = {MARKED + content: struct.pack("<I", i) for content, i in added.items()}
+        self.known: dict[bytes, bytes] = dict(self.mark_ids)
         self.older: dict[bytes, bytes] = {}
 
+    def _words(self, text: bytes) -> list[bytes]:
+        if self.marks is None or not self.marks.search(text):
+            return text.lower().split()
+        words: list[bytes] = []
+        for number, part in enumerate(self.marks.split(text)):
+            words += [MARKED + part] if number % 2 else part.lower().split()
+        return words
+
     def _encoded(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -255,12 +271,12 @@ class WordTokens:
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text as bytes of little-endian 32-bit numbers."""
         if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
+            self.known, self.older = dict(self.mark_ids), self.known
         known, join = self.known, b"".join
         found: list[bytes] = []
         waiting: list[tuple[int, list[bytes], list[bytes | None]]] = []
         for number, text in enumerate(texts):
-            words = (text or b"").lower().split()
+            words = self._words(text or b"")
             ids = list(map(known.get, words))
             try:
                 found.append(join(ids))
