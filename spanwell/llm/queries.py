@@ -19,6 +19,7 @@ from spanwell.llm import (
     line_dedup,
     merkle,
     mixing,
+    packing,
     prefix_bpe,
     quality_classifier,
     quality_rules,
@@ -164,6 +165,14 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(proofs, "changed", ["doc_id", "leaf", "subroot", "root"])
 
 
+def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 2048 ids."""
+    docs = _table(spark, sf_dir, "documents")
+    sequences = packing.sequences(docs, public_tokenizers.path("word_bpe_49k.json"), 1, F.col("doc_id"), F.col("text"))
+    return packing.pieces(sequences).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every fiftieth embedding, a seventh of whose labels are moved on by one."""
     vec_id, label = F.col("vec_id"), F.col("label")
@@ -183,6 +192,7 @@ QUERIES: dict[str, Query] = {
     "op9_token_files": tokens_on_disk,
     "op10_language_id": language,
     "op11_merkle_manifest": manifest,
+    "op12_packing": packed,
     "op13_hard_negatives": negatives,
 }
 SQL: dict[str, str] = {

@@ -293,7 +293,13 @@ class WordTokens:
 _tokens: dict[int, WordTokens] = {}
 
 
-def _word_tokens(shared) -> WordTokens:
+def shared_vocabulary(spark: SparkSession, vocabulary: str):
+    """A vocabulary's file (under 2 MB) for all workers."""
+    with open(vocabulary, "rb") as file:
+        return spark.sparkContext.broadcast(file.read())
+
+
+def word_tokens(shared) -> WordTokens:
     """A worker's tokens for a vocabulary."""
     key = hash(shared.value)
     if key not in _tokens:
@@ -306,8 +312,7 @@ def _word_tokens(shared) -> WordTokens:
 
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> None:
     """Write the ids of all texts, each with ``end_id`` behind it, in ascending order of ``doc_id``."""
-    with open(vocabulary, "rb") as file:
-        shared = docs.sparkSession.sparkContext.broadcast(file.read())  # under 2 MB
+    shared = shared_vocabulary(docs.sparkSession, vocabulary)
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,7 +334,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, doc_id: str
             )
 
         for batch in batches:
-            tokens = _word_tokens(shared)
+            tokens = word_tokens(shared)
             for start in range(0, len(batch), 256):
                 part = batch.slice(start, 256)
                 for name, ids in zip(part.column("doc_id").to_pylist(), tokens.encode(list(as_bytes(part, "text")))):
