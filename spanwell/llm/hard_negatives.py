@@ -16,7 +16,7 @@ best few of each anchor leave.
 Defined cases: rows without an id, label or vector, and those with a null or non-finite
 component, take no part; of vectors of unequal width the shorter go on with zeros; a row is never its own
 positive, but a repeated row is another row; anchors without positives, and positives without
-negatives, are not in the result; an empty table gives none; a score beyond a long is given as the nearest
+negatives, are not in the result; an empty table gives none; a score beyond a long counts as the nearest
 long; other columns are not read.
 """
 
@@ -118,7 +118,7 @@ class Bucket:
     def scores(self, anchors: np.ndarray, bound: np.ndarray) -> np.ndarray:
         """Exact scores of anchors by rows, ``LOWEST`` where one can't reach the anchor's bound."""
         if not self.shape.exact:
-            return anchors.astype(object) @ self.vectors.astype(object).T
+            return np.clip(anchors.astype(object) @ self.vectors.astype(object).T, -(1 << 63), (1 << 63) - 1)
         found = self.candidates(anchors, bound)
         if found.mean() > DENSE:
             return (anchors.astype(float) @ self.vectors.astype(float).T).astype(np.int64)
@@ -144,8 +144,6 @@ def best(scores: np.ndarray, allowed: np.ndarray, k: int) -> tuple[np.ndarray, n
 
 
 def _longs(values: np.ndarray) -> pa.Array:
-    if values.dtype == object:
-        values = np.array([max(-(1 << 63), min((1 << 63) - 1, int(v))) for v in values], dtype=np.int64)
     return pa.array(values.astype(np.int64))
 
 

@@ -19,14 +19,15 @@ def plain(rows, every=50, positives=5, negatives=3):
     kept = [(i, v, label) for i, v, label in rows
             if i is not None and label is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     width = max((len(v) for _, v, _ in kept), default=0)
-    whole = [[math.floor(256 * float(np.float32(x))) for x in v] + [0] * (width - len(v)) for _, v, _ in kept]
+    whole = [[min(2**63 - 1, math.floor(256 * float(np.float32(x)))) for x in v] + [0] * (width - len(v)) for _, v, _ in kept]
     labels = [(label + 1) % 10 if i % 7 == 0 else label for i, _, label in kept]
     out = []
     for a, (name, _, _) in enumerate(kept):
         if name % every:
             continue
         scored = sorted(
-            ((-sum(x * y for x, y in zip(whole[a], v)), kept[b][0], b) for b, v in enumerate(whole) if b != a))
+            ((-max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(whole[a], v)))), kept[b][0], b)
+             for b, v in enumerate(whole) if b != a))
         for minus, other, _ in [s for s in scored if labels[s[2]] == labels[a]][:positives]:
             fits = [s for s in scored if labels[s[2]] != labels[a] and 50 * -minus <= 100 * -s[0] <= 95 * -minus]
             out += [(name, other, rank + 1, s[1], -minus, -s[0]) for rank, s in enumerate(fits[:negatives])]
@@ -73,11 +74,11 @@ def test_nulls_widths_and_repeats(spark):
 
 
 def test_scores_beyond_doubles(spark):
-    rows = [(i, [3.0e9 + 1e6 * (i % 5), -1.0e9 * (i % 3)], i % 2) for i in range(101)]
+    rows = [(i, [3.0e6 + 1e5 * (i % 5), -1.0e6 * (i % 3)], i % 2) for i in range(101)]
     expected = plain(rows)
-    assert any(s > 2**53 for r in expected for s in r[4:]) and mined(spark, rows) == expected
-    vast = [(i, [1e30, 1.0], i % 2) for i in range(51)]
-    assert all(r[5] == 2**63 - 1 for r in mined(spark, vast))
+    assert all(2**53 < s < 2**63 for r in expected for s in r[4:]) and expected and mined(spark, rows) == expected
+    vast = [(i, [1e30 if i % 3 else 1e6, 1.0], i % 2) for i in range(51)]  # all beyond a long but those among thirds
+    assert mined(spark, vast) == plain(vast)
 
 
 def test_empty_tables(spark):
