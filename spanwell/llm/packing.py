@@ -26,8 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanwell.llm.common import as_bytes
-from spanwell.llm.token_files import shared_vocabulary, word_tokens
+from spanwell.llm.token_files import by_size, shared_vocabulary, word_tokens
 from spanwell.session import settled
 
 LENGTH = 2048
@@ -53,9 +52,8 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int, doc_id: Column, tex
         task, before = TaskContext.get().partitionId(), 0
         for batch in batches:
             tokens = word_tokens(shared)
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                ids = [found + end for found in tokens.encode(list(as_bytes(part, "text")))]
+            for part in by_size(batch, "text"):
+                ids = [found + end for found in tokens.encode(part.column("text"))]
                 n = np.array([len(found) // 4 for found in ids], dtype=np.int64)
                 ends = before + np.cumsum(n)
                 yield pa.RecordBatch.from_arrays(

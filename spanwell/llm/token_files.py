@@ -29,10 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanwell.llm.common import as_bytes, column
+from spanwell.llm.common import column
 from spanwell.session import settled
 
 #: Ids after which a block is closed.
@@ -42,10 +43,8 @@ REMEMBERED = 800_000
 MARK = b"RPG1"
 #: Cells in which pairs are counted roughly before the frequent ones are counted exactly.
 HASH_BITS = 18
-#: Begins the key of a special token among the words; no UTF-8 text holds this byte.
-MARKED = b"\xff"
 #: Marks that may end a word of letters without becoming one unit with it.
-CLOSING = b".,;:!?*%&#$|"
+CLOSING = ".,;:!?*%&#$|"
 
 
 # -- grammar ---------------------------------------------------------------------------------
@@ -196,10 +195,31 @@ class Payload:
 
 # -- tokens ----------------------------------------------------------------------------------
 
+def by_size(batch: pa.RecordBatch, name: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``limit`` bytes of a string column each."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(batch):
+        before = sizes[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(sizes, before + limit, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def _names(words: pa.Array) -> list[bytes]:
+    """The bytes of large strings without nulls."""
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int64)[words.offset: words.offset + len(words) + 1]
+    text = data[int(ends[0]): int(ends[-1])].to_pybytes() if data else b""
+    bounds = (ends - ends[0]).tolist()
+    return [text[a:b] for a, b in zip(bounds, bounds[1:])]
+
+
 class WordTokens:
     """Ids of a vocabulary that drops white space, word by word.
 
     Words are cut at ASCII white space and lower-cased over A-Z, which the vocabulary does anyway.
+    Distinct words are looked up once for many texts, whose ids are then gathered as arrays.
     New words of letters only are encoded many at a time: each makes one unit, whose
     last token the vocabulary marks as a word's end. The strings of the vocabulary's special tokens
     stand for those tokens wherever a text holds them exactly, as is the library's default.
@@ -217,37 +237,22 @@ class WordTokens:
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         added = {t.content.encode(): i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
         self.marks = re.compile(b"(" + b"|".join(sorted(map(re.escape, added), key=len, reverse=True)) + b")") if added else None
-        self.mark_ids = {MARKED + content: struct.pack("<I", i) for content, i in added.items()}
-        self.known: dict[bytes, bytes] = dict(self.mark_ids)
+        self.mark_ids = {content: struct.pack("<I", i) for content, i in added.items()}
+        self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
-    def _words(self, text: bytes) -> list[bytes]:
-        if self.marks is None or not self.marks.search(text):
-            return text.lower().split()
-        words: list[bytes] = []
-        for number, part in enumerate(self.marks.split(text)):
-            words += [MARKED + part] if number % 2 else part.lower().split()
-        return words
-
     def _encoded(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: set[bytes]) -> None:
-        known, older = self.known, self.older
-        letters, others, closed = [], [], []
-        for word in words.difference(known):
-            found = older.get(word)
-            if found is not None:
-                known[word] = found
-            elif word.isalpha() or word.decode().lower().isalpha():
-                (letters if len(word) < 1000 else others).append(word)
-            else:
-                stem = word.rstrip(CLOSING)
-                if stem and len(stem) < len(word) and (stem.isalpha() or stem.decode().lower().isalpha()):
-                    closed.append((word, stem))
-                else:
-                    others.append(word)
-        lines = [letters[i: i + 200] for i in range(0, len(letters), 200)]
+    def _learn(self, words: pa.Array) -> None:
+        """Encode words that are not known yet."""
+        known, names = self.known, _names(words)
+        letters = pc.and_(pc.utf8_is_alpha(words), pc.less(pc.binary_length(words), 1000))
+        stems = pc.utf8_rtrim(words, characters=CLOSING)
+        closed = pc.and_not(pc.and_(pc.utf8_is_alpha(stems), pc.less(pc.binary_length(stems), pc.binary_length(words))), letters)
+        others = [names[i] for i in np.flatnonzero(~(letters.to_numpy(False) | closed.to_numpy(False)))]
+        whole = [names[i] for i in np.flatnonzero(letters.to_numpy(False))]
+        lines = [whole[i: i + 200] for i in range(0, len(whole), 200)]
         for start in range(0, len(lines), 10):
             part = lines[start: start + 10]
             for line, ids in zip(part, self._encoded([b" ".join(line).decode() for line in part])):
@@ -263,31 +268,64 @@ class WordTokens:
             part = others[start: start + 1000]
             for word, ids in zip(part, self._encoded([word.decode() for word in part])):
                 known[word] = ids.tobytes()
-        if closed:
-            self._learn({stem for _, stem in closed} | {word[len(stem):] for word, stem in closed})
-            for word, stem in closed:
+        if pc.any(closed).as_py():
+            stem_names = _names(stems.filter(closed))
+            pairs = [(names[i], stem) for i, stem in zip(np.flatnonzero(closed.to_numpy(False)), stem_names)]
+            ends = {word[len(stem):] for word, stem in pairs}
+            self._known_ids(pa.array([part.decode() for part in {*stem_names, *ends}], pa.large_string()))
+            for word, stem in pairs:
                 known[word] = known[stem] + known[word[len(stem):]]
 
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        """The ids of each text as bytes of little-endian 32-bit numbers."""
+    def _known_ids(self, words: pa.Array) -> list[bytes]:
+        """The ids of distinct words; those of the generation before move to this one."""
+        known, older = self.known, self.older
+        names = _names(words)
+        ids = list(map(known.get, names))
+        missing = [i for i, found in enumerate(ids) if found is None]
+        if missing:
+            new = []
+            for i in missing:
+                found = older.get(names[i])
+                if found is None:
+                    new.append(i)
+                else:
+                    known[names[i]] = found
+            if new:
+                self._learn(words.take(pa.array(new)))
+            for i in missing:
+                ids[i] = known[names[i]]
+        return ids
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text (none if it is null) as bytes of little-endian 32-bit numbers."""
         if len(self.known) > REMEMBERED:
-            self.known, self.older = dict(self.mark_ids), self.known
-        known, join = self.known, b"".join
-        found: list[bytes] = []
-        waiting: list[tuple[int, list[bytes], list[bytes | None]]] = []
-        for number, text in enumerate(texts):
-            words = self._words(text or b"")
-            ids = list(map(known.get, words))
-            try:
-                found.append(join(ids))
-            except TypeError:  # a new word
-                found.append(b"")
-                waiting.append((number, words, ids))
-        if waiting:
-            self._learn({word for _, words, ids in waiting for word, i in zip(words, ids) if i is None})
-            for number, words, ids in waiting:
-                found[number] = join([known[word] if i is None else i for word, i in zip(words, ids)])
-        return found
+            self.known, self.older = {}, self.known
+        # taken, as lower-casing a slice of an array reads from the wrong place
+        texts = pc.fill_null(texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string()), "")
+        special = pc.match_substring_regex(texts, self.marks.pattern.decode()).to_numpy(False) if self.marks else np.zeros(len(texts), bool)
+        if special.any():
+            found = self.encode(pc.if_else(pa.array(special), "", texts))
+            for i in np.flatnonzero(special):
+                found[i] = self._around_marks(texts[i].as_py())
+            return found
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        coded = split.flatten().dictionary_encode()
+        found = self._known_ids(coded.dictionary)
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        ids_of_words, starts = np.frombuffer(b"".join(found), dtype="<u4"), np.cumsum(sizes) - sizes
+        places = coded.indices.to_numpy()
+        n = sizes[places]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        data = ids_of_words[np.repeat(starts[places] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        offsets = split.offsets.to_numpy()
+        bounds = (4 * ends[offsets - offsets[0]]).tolist()
+        return [data[a:b] for a, b in zip(bounds, bounds[1:])]
+
+    def _around_marks(self, text: str) -> bytes:
+        """The ids of a text that holds special tokens' strings."""
+        parts = self.marks.split(text.encode())
+        plain = self.encode(pa.array([part.decode() for part in parts[::2]], pa.large_string()))
+        return plain[0] + b"".join(self.mark_ids[mark] + ids for mark, ids in zip(parts[1::2], plain[1:]))
 
 
 _tokens: dict[int, WordTokens] = {}
@@ -335,9 +373,8 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, doc_id: str
 
         for batch in batches:
             tokens = word_tokens(shared)
-            for start in range(0, len(batch), 256):
-                part = batch.slice(start, 256)
-                for name, ids in zip(part.column("doc_id").to_pylist(), tokens.encode(list(as_bytes(part, "text")))):
+            for part in by_size(batch, "text"):
+                for name, ids in zip(part.column("doc_id").to_pylist(), tokens.encode(part.column("text"))):
                     names.append(name)
                     parts.append(ids + end)
                     held += len(ids) // 4 + 1
