@@ -53,7 +53,7 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int, doc_id: Column, tex
         for batch in batches:
             tokens = word_tokens(shared)
             for part in by_size(batch, "text"):
-                ids = [found + end for found in tokens.encode(part.column("text"))]
+                ids = [found + end for found in tokens.encode_column(part.column("text"))]
                 n = np.array([len(found) // 4 for found in ids], dtype=np.int64)
                 ends = before + np.cumsum(n)
                 yield pa.RecordBatch.from_arrays(

@@ -39,7 +39,7 @@ from spanwell.session import settled
 #: Ids after which a block is closed.
 BLOCK = 1 << 20
 #: Words that a worker remembers in each of two generations.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 MARK = b"RPG1"
 #: Cells in which pairs are counted roughly before the frequent ones are counted exactly.
 HASH_BITS = 18
@@ -195,7 +195,7 @@ class Payload:
 
 # -- tokens ----------------------------------------------------------------------------------
 
-def by_size(batch: pa.RecordBatch, name: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def by_size(batch: pa.RecordBatch, name: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``limit`` bytes of a string column each."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
@@ -296,15 +296,19 @@ class WordTokens:
                 ids[i] = known[names[i]]
         return ids
 
-    def encode(self, texts: pa.Array) -> list[bytes]:
-        """The ids of each text (none if it is null) as bytes of little-endian 32-bit numbers."""
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        """The ids of each UTF-8 text (none if it is null) as bytes of little-endian 32-bit numbers."""
+        return self.encode_column(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+
+    def encode_column(self, texts: pa.Array) -> list[bytes]:
+        """The same for an array of strings."""
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
         # taken, as lower-casing a slice of an array reads from the wrong place
         texts = pc.fill_null(texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string()), "")
         special = pc.match_substring_regex(texts, self.marks.pattern.decode()).to_numpy(False) if self.marks else np.zeros(len(texts), bool)
         if special.any():
-            found = self.encode(pc.if_else(pa.array(special), "", texts))
+            found = self.encode_column(pc.if_else(pa.array(special), "", texts))
             for i in np.flatnonzero(special):
                 found[i] = self._around_marks(texts[i].as_py())
             return found
@@ -324,7 +328,7 @@ class WordTokens:
     def _around_marks(self, text: str) -> bytes:
         """The ids of a text that holds special tokens' strings."""
         parts = self.marks.split(text.encode())
-        plain = self.encode(pa.array([part.decode() for part in parts[::2]], pa.large_string()))
+        plain = self.encode(parts[::2])
         return plain[0] + b"".join(self.mark_ids[mark] + ids for mark, ids in zip(parts[1::2], plain[1:]))
 
 
@@ -374,7 +378,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, doc_id: str
         for batch in batches:
             tokens = word_tokens(shared)
             for part in by_size(batch, "text"):
-                for name, ids in zip(part.column("doc_id").to_pylist(), tokens.encode(part.column("text"))):
+                for name, ids in zip(part.column("doc_id").to_pylist(), tokens.encode_column(part.column("text"))):
                     names.append(name)
                     parts.append(ids + end)
                     held += len(ids) // 4 + 1
