@@ -215,6 +215,14 @@ def _names(words: pa.Array) -> list[bytes]:
     return [text[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
+def _only_letters(words: pa.Array, names: list[bytes]) -> np.ndarray:
+    """Whether each word has letters only, lower-cased as the vocabulary does."""
+    found = pc.ascii_is_alpha(words).to_numpy(zero_copy_only=False).copy()
+    for i in np.flatnonzero(~pc.string_is_ascii(words).to_numpy(zero_copy_only=False)):
+        found[i] = names[i].decode().lower().isalpha()
+    return found
+
+
 class WordTokens:
     """Ids of a vocabulary that drops white space, word by word.
 
@@ -247,11 +255,15 @@ class WordTokens:
     def _learn(self, words: pa.Array) -> None:
         """Encode words that are not known yet."""
         known, names = self.known, _names(words)
-        letters = pc.and_(pc.utf8_is_alpha(words), pc.less(pc.binary_length(words), 1000))
+        sizes = np.fromiter(map(len, names), dtype=np.int64, count=len(names))
+        letters = _only_letters(words, names) & (sizes < 1000)
         stems = pc.utf8_rtrim(words, characters=CLOSING)
-        closed = pc.and_not(pc.and_(pc.utf8_is_alpha(stems), pc.less(pc.binary_length(stems), pc.binary_length(words))), letters)
-        others = [names[i] for i in np.flatnonzero(~(letters.to_numpy(False) | closed.to_numpy(False)))]
-        whole = [names[i] for i in np.flatnonzero(letters.to_numpy(False))]
+        stem_names = _names(stems)
+        shorter = np.fromiter(map(len, stem_names), dtype=np.int64, count=len(names)) < sizes
+        closed = np.flatnonzero(_only_letters(stems, stem_names) & shorter & ~letters)
+        left = ~letters
+        left[closed] = False
+        others, whole = [names[i] for i in np.flatnonzero(left)], [names[i] for i in np.flatnonzero(letters)]
         lines = [whole[i: i + 200] for i in range(0, len(whole), 200)]
         for start in range(0, len(lines), 10):
             part = lines[start: start + 10]
@@ -268,13 +280,11 @@ class WordTokens:
             part = others[start: start + 1000]
             for word, ids in zip(part, self._encoded([word.decode() for word in part])):
                 known[word] = ids.tobytes()
-        if pc.any(closed).as_py():
-            stem_names = _names(stems.filter(closed))
-            pairs = [(names[i], stem) for i, stem in zip(np.flatnonzero(closed.to_numpy(False)), stem_names)]
-            ends = {word[len(stem):] for word, stem in pairs}
-            self._known_ids(pa.array([part.decode() for part in {*stem_names, *ends}], pa.large_string()))
-            for word, stem in pairs:
-                known[word] = known[stem] + known[word[len(stem):]]
+        if len(closed):
+            parts = {stem_names[i] for i in closed} | {names[i][len(stem_names[i]):] for i in closed}
+            self._known_ids(pa.array([part.decode() for part in parts], pa.large_string()))
+            for i in closed:
+                known[names[i]] = known[stem_names[i]] + known[names[i][len(stem_names[i]):]]
 
     def _known_ids(self, words: pa.Array) -> list[bytes]:
         """The ids of distinct words; those of the generation before move to this one."""
