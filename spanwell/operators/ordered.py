@@ -69,7 +69,7 @@ class OrderedRows:
         rows = rows.withColumns(local)
         match = [F.col(f"r.{_SEG}") == F.col(f"c.{_SEG}")]
         match += [F.col(f"r.`{k}`").eqNullSafe(F.col(f"c.`{k}`")) for k in self.keys]
-        joined = rows.alias("r").join(F.broadcast(carry.alias("c")), match, "left")
+        joined = rows.alias("r").join(carry.alias("c"), match, "left")
         kept = [F.col(f"r.`{c}`") for c in rows.columns if c not in local]
         merged = [
             _merge(spec.how, F.col(f"r.`{name}`"), F.col(f"c.`{name}`")).alias(name)

@@ -6,10 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanwell.operators.ordered import Running, ordered
+from spanwell.session import settled
 
 
 def words(text: Column) -> Column:
@@ -139,32 +140,42 @@ def generate_text(
     """Words drawn uniformly, with replacement, from the source text.
 
     ``splits`` has ``split_id``; the result is ``split_id, pos, word``. Each
-    draw is a position in the source text. Vocabulary words own consecutive
-    ranges of positions, so a draw takes the last word that begins at or before
-    it: one ordered pass over draws and words, no range join and nothing
-    broadcast that grows with the text.
+    draw is a position in the source text, where vocabulary words own consecutive
+    ranges. A guide table lists the words of each bucket of positions, so a draw meets its
+    word in an equi-join on the bucket, and no order runs over the draws. A bucket is
+    as wide as a word's mean count: the table has at most two rows for each word, and a draw
+    meets two of them on average, however the counts are spread.
     """
-    starts = ordered(vocab, [], ["word"], **sizing).running(
-        start=Running("sum", F.col("count"), through_row=False)
-    ).done()
-    total = vocab.agg(F.sum("count")).scalar()
+    guide, total, width = guide_table(vocab, **sizing)
     draws = (
         splits.select("split_id", F.explode(F.sequence(F.lit(0), F.lit(words_per_split - 1))).alias("pos"))
-        .select(
-            F.pmod(_draw(seed, F.col("split_id"), F.col("pos")), total).alias("at"),
-            F.lit(1).alias("side"), "split_id", "pos", F.lit(None).cast("string").alias("word"),
-        )
-    )
-    entries = starts.select(
-        F.col("start").alias("at"), F.lit(0).alias("side"),
-        F.lit(None).cast(splits.schema["split_id"].dataType).alias("split_id"),
-        F.lit(None).cast("int").alias("pos"), "word",
-    )
-    found = ordered(entries.unionByName(draws), [], ["at", "side", "split_id", "pos"], **sizing)
-    return (
-        found.running(drawn=Running("last", F.col("word"))).done()
-        .where("side = 1").select("split_id", "pos", F.col("drawn").alias("word"))
+        .withColumn("at", F.pmod(_draw(seed, F.col("split_id"), F.col("pos")), F.lit(total).cast("bigint")))
+        .withColumn("drawn_bucket", F.expr(f"at div {width}"))
     )
+    met = (F.col("drawn_bucket") == F.col("bucket")) & (F.col("at") >= F.col("start")) & (F.col("at") < F.col("stop"))
+    return draws.join(guide, met, "left").select("split_id", "pos", "word")
+
+
+def guide_table(vocab: DataFrame, **sizing) -> tuple[DataFrame, int | None, int]:
+    """``bucket, start, stop, word`` of a vocabulary, all of its counts, and the positions in a bucket.
+
+    Words own positions in text order. Their starts are sums inside the words of two equal first
+    letters and over those few beginnings. The vocabulary is read four times, so it should be a
+    table, not a plan that counts it anew.
+    """
+    counts = vocab.select(F.substring("word", 1, 2).alias("beginning"), "word", "count")
+    earlier = Window.orderBy("beginning").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.groupBy("beginning").agg(F.sum("count").alias("n")).select(
+        F.col("beginning").alias("of_beginning"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
+    inside = ordered(counts, ["beginning"], ["word"], **sizing).running(
+        inside=Running("sum", F.col("count"), through_row=False)).done()
+    start = F.col("first") + F.col("inside")
+    starts = inside.join(first, F.col("beginning") == F.col("of_beginning")).select(
+        "word", start.cast("bigint").alias("start"), (start + F.col("count")).cast("bigint").alias("stop"))
+    seen = counts.agg(F.sum("count").alias("total"), F.count(F.lit(1)).alias("words")).first()
+    width = max(1, (seen["total"] or 0) // max(1, seen["words"]))
+    buckets = F.sequence(F.expr(f"start div {width}"), F.expr(f"(stop - 1) div {width}"))
+    return settled(starts.select(F.explode(buckets).alias("bucket"), "start", "stop", "word"), "guide"), seen["total"], width
 
 
 def split_texts(sampled: DataFrame) -> DataFrame:

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spanwell.operators import rollup
 from spanwell.operators.moments import finished, merge_moments, partial_moments
 from spanwell.operators.spans import build_spans
-from spanwell.plans.inputs import LOOSE_EVENTS_SQL, PHASES_SQL, loose_events, span_events
+from spanwell.plans.inputs import LOG_FILES_SQL, LOOSE_EVENTS_SQL, PHASES_SQL, log_lines, loose_events, span_events
 from spanwell.plans.registry import query
 from spanwell.plans.span_queries import STATS_SQL, _seconds
-from spanwell.session import shared_folder
-from spanwell.streaming import pairing
+from spanwell.session import settled, shared_folder
+from spanwell.sources import logs
+from spanwell.streaming import follow, pairing
+from spanwell.streaming.versions import Versions
 
 PARTS = 3
 
@@ -65,3 +68,39 @@ def merged_span_stats(spark, sf):
     by_day = spans.withColumn("day", F.floor(F.col("finished") / 86_400_000_000))
     parts = partial_moments(by_day, ["day", "session"])
     return _seconds(finished(merge_moments(merge_moments(parts, ["day"]))))
+
+
+def _log_state(spark, sf):
+    """The state after three batches of log files."""
+    found = logs.stored(logs.Logs(log_lines(spark, sf)))
+    rolled = rollup.rollup(found)
+    whole = {"headers": rollup.headers(found), "rollups": rolled.rollups, "stats": rollup.log_span_stats(found)}
+    tables = {name: settled(table, name) for name, table in whole.items()}
+    out = shared_folder(spark, "log-state")
+    state = Versions(spark, f"{out}/state").begin()
+    for part in range(PARTS):
+        chosen = F.pmod(F.crc32(F.col("file").cast("binary")), F.lit(PARTS)) == part
+        follow.keep_state(state, part, {name: table.where(chosen) for name, table in tables.items()})
+    return out
+
+
+@query("kept_revisions", f"""WITH {LOG_FILES_SQL}
+SELECT file, workload, fail_ct, max_success_iteration FROM rolled WHERE file IN (
+  SELECT file FROM files WHERE headers > 0
+  QUALIFY row_number() OVER (
+    PARTITION BY workload, num_workers, num_nodes, framework_rev, benchmark_rev ORDER BY string_split(file, '/')) = 1)""")
+def kept_revisions(spark, sf):
+    rollups, _ = follow.kept_tables(spark, _log_state(spark, sf))
+    return rollups.select("file", "workload", "fail_ct", "max_success_iteration")
+
+
+@query("followed_span_stats", f"""WITH {LOG_FILES_SQL}
+SELECT phase AS start_phase, phase AS end_phase, event_type, count(*) AS ct, round(sum(elapsed), 3) AS total_elapsed_time,
+       min(elapsed) AS min_elapsed_time, max(elapsed) AS max_elapsed_time, round(avg(elapsed), 6) AS avg_elapsed_time,
+       round(stddev_pop(elapsed), 6) AS stddev_elapsed_time
+FROM run_spans JOIN files USING (file) WHERE headers = 1 GROUP BY ALL""")
+def followed_span_stats(spark, sf):
+    found = follow.span_stats_so_far(spark, _log_state(spark, sf))
+    return found.withColumns({
+        "total_elapsed_time": F.round("total_elapsed_time", 3), "avg_elapsed_time": F.round("avg_elapsed_time", 6),
+        "stddev_elapsed_time": F.round("stddev_elapsed_time", 6)})
