@@ -64,4 +64,14 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     """
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.settled_at = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove settled tables that no later result reads, once all that did are settled themselves."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.settled_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
