@@ -13,8 +13,8 @@ from spanwell.llm import line_dedup, mixing
 from spanwell.llm.prefix_bpe import read_ranks
 from spanwell.llm.queries import MIN_SITES, MIX_SEED, MIX_WEIGHTS, domain_sql
 from spanwell.llm.text_stats import COUNTS, text_counts
+from tests.llm.test_minhash import plain_labels
 from tests.llm.test_quality import plain_trust
-from tests.llm.test_simhash import plain_components, plain_fingerprint
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -57,9 +57,10 @@ def plain_lines(docs):
     return [(d[0], found[d[0]][1], *d[2:4], len(found[d[0]][1]) if found[d[0]][3] else d[4]) for d in docs]
 
 
-def plain_simhash(docs):
-    low = plain_components([(d[0], plain_fingerprint(d[1])) for d in docs])
-    return [d for d, c in zip(docs, low) if d[0] == c]
+def plain_near(docs):
+    """One of each component of brute-force similarities of 0.8."""
+    low = plain_labels([(d[0], d[1]) for d in docs])
+    return [d for d in docs if d[0] == low[d[0]]]
 
 
 def plain_mix(docs):
@@ -77,7 +78,7 @@ def plain_tokens(docs):
 def test_pipeline_equals_brute_force(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select(*COLUMNS).collect()]
     expected = docs
-    for stage in (plain_quality, plain_lines, plain_simhash, plain_mix):
+    for stage in (plain_quality, plain_lines, plain_near, plain_mix):
         before, expected = expected, stage(expected)
         assert expected and expected != before or stage is plain_lines
     got = corpus_pipeline.run(spark, SF).collect()
@@ -109,6 +110,16 @@ def test_near_duplicate_stage_keeps_one_of_each_group(spark):
     assert got.count(1) == 1 and got.count(None) == 1 and 6 in got and 2 in got and 3 not in got
 
 
+def test_near_copy_goes_though_its_id_names_another_row(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(3, text), (7, text + " end"), (7, "quite another text of its own"), (8, text), (8, text), (9, "twice"), (9, "twice")]
+    df = spark.createDataFrame([(i, t, "en", "s", j) for j, (i, t) in enumerate(rows)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    df = df.withColumns({name: F.lit(1) for name in ("kept_id", "kept_n", "node", "root", "n", "text_key", "row")})
+    for _ in range(2):
+        got = sorted((r.doc_id, r.text[:5], r.n_chars) for r in corpus_pipeline.near_duplicates(spark, df, SF).collect())
+        assert [g[:2] for g in got] == [(3, "word0"), (7, "quite"), (9, "twice")]
+
+
 def test_lines_stage_sets_the_number_of_characters(spark):
     df = spark.createDataFrame([(i, f"own line of {i} with its words\nshared line", "en", f"src{i}", 7) for i in range(12)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     out = {r.doc_id: r for r in corpus_pipeline.lines(spark, df.withColumn("n_lines", F.lit(1)), SF).collect()}
