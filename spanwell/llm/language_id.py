@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -152,9 +152,11 @@ class ByteNetwork:
 
 
 def sample(labelled: DataFrame, text: str, lang: str, per_language: int, length: int) -> list:
-    """About ``per_language`` texts of each language, of each a stretch that some hash of it picks.
+    """At most ``per_language`` distinct texts of each language, of each a stretch that some hash of it picks.
 
-    Whether a text is in follows from its hash alone and the number of its language's texts.
+    Those of the lowest hashes are in, however many copies a text has. An estimate of a language's
+    distinct texts leaves out most of the others before copies are merged; four times as many as
+    are wanted pass it, so the estimate's error decides nothing.
     """
     known = labelled.select(column(text).alias("text"), column(lang).cast("string").alias("lang")).where(
         "text is not null and lang is not null and text != ''"
@@ -162,15 +164,17 @@ def sample(labelled: DataFrame, text: str, lang: str, per_language: int, length:
     mark = F.xxhash64("text")
     start = F.pmod(F.shiftright(mark, 32), F.greatest(F.lit(1), F.length("text") - length + 1)) + 1
     stretches = known.select("lang", mark.alias("mark"), F.substr(F.col("text"), start.cast("int"), F.lit(length)).alias("part"))
-    counts = settled(known.groupBy("lang").count().withColumnRenamed("lang", "of_lang"), "language-counts")
+    counts = settled(known.groupBy(F.col("lang").alias("of_lang")).agg(F.approx_count_distinct(mark).alias("texts")), "language-counts")
+    low = F.pmod("mark", F.lit(1 << 30))
     picked = stretches.join(counts, F.col("lang") == F.col("of_lang")).where(
-        F.pmod("mark", F.lit(1 << 30)) < F.least(F.lit(1 << 30), F.lit(per_language << 30) / F.col("count"))
-    )
-    return picked.select("lang", "part").collect()
+        low < F.least(F.lit(1 << 30), F.lit(4 * per_language << 30) / F.col("texts"))
+    ).groupBy("lang", "mark").agg(F.min("part").alias("part"))
+    lowest = Window.partitionBy("lang").orderBy(low, "mark")
+    return picked.withColumn("place", F.row_number().over(lowest)).where(F.col("place") <= per_language).select("lang", "part").collect()
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 1000, epochs: int = 6, seed: int = 7) -> ByteNetwork:
-    """A network from about ``per_language`` labelled texts of each language, one window of each.
+    """A network from ``per_language`` distinct labelled texts of each language (all, if fewer), one window of each.
 
     Every window is used twice: whole, and cut to a random length, so that short texts
     are known as well; every sixth of the latter is in capitals.

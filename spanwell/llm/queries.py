@@ -109,7 +109,7 @@ def mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that many sources share."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return line_dedup.remove_shared_lines(docs, min_sites=MIN_SITES).select("doc_id", "text", "n_lines", "n_removed")
+    return line_dedup.remove_shared_lines(docs, min_sites=MIN_SITES, spare_copies=False).select("doc_id", "text", "n_lines", "n_removed")
 
 
 def rules(spark: SparkSession, sf_dir: str) -> DataFrame:

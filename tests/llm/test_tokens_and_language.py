@@ -159,3 +159,11 @@ def test_language_query_on_held_out_documents(spark):
     assert len(got) == len(truth)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
     assert np.mean([r.lang_pred == truth[r.doc_id] for r in got if r.held_out]) > 0.97
+
+
+def test_a_language_of_many_copies_is_learnt(spark):
+    """All copies of a text are one text, and no more than asked for come to the driver."""
+    copies = spark.range(20_000).select(F.lit("the one english text that stands there again and again").alias("text"), F.lit("en").alias("lang"))
+    others = spark.range(3000).select(F.concat(F.lit("ein anderer deutscher Text mit der Nummer "), F.col("id")).alias("text"), F.lit("de").alias("lang"))
+    found = [r.lang for r in language.sample(copies.unionByName(others), "text", "lang", 100, 128)]
+    assert found.count("en") == 1 and found.count("de") == 100
