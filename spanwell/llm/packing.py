@@ -32,6 +32,8 @@ from spanwell.session import settled
 LENGTH = 2048
 #: Sequences that a task holds before it passes them on.
 HELD = 256
+#: Words that a worker remembers in each of two generations.
+REMEMBERED = 400_000
 
 PIECE = "struct<doc_id bigint, start bigint, length bigint, doc_tokens bigint, offset bigint>"
 _RECORD = f"sequence_id bigint, whole boolean, offset bigint, ids binary, pieces array<{PIECE}>"
@@ -52,6 +54,7 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int, doc_id: Column, tex
         task, before = TaskContext.get().partitionId(), 0
         for batch in batches:
             tokens = word_tokens(shared)
+            tokens.remembered = REMEMBERED
             for part in by_size(batch, "text"):
                 ids = [found + end for found in tokens.encode_column(part.column("text"))]
                 n = np.array([len(found) // 4 for found in ids], dtype=np.int64)

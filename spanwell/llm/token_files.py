@@ -39,7 +39,7 @@ from spanwell.session import settled
 #: Ids after which a block is closed.
 BLOCK = 1 << 20
 #: Words that a worker remembers in each of two generations.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 MARK = b"RPG1"
 #: Cells in which pairs are counted roughly before the frequent ones are counted exactly.
 HASH_BITS = 18
@@ -246,6 +246,7 @@ class WordTokens:
         added = {t.content.encode(): i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
         self.marks = re.compile(b"(" + b"|".join(sorted(map(re.escape, added), key=len, reverse=True)) + b")") if added else None
         self.mark_ids = {content: struct.pack("<I", i) for content, i in added.items()}
+        self.remembered = REMEMBERED
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
@@ -312,7 +313,7 @@ class WordTokens:
 
     def encode_column(self, texts: pa.Array) -> list[bytes]:
         """The same for an array of strings."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self.known, self.older = {}, self.known
         # taken, as lower-casing a slice of an array reads from the wrong place
         texts = pc.fill_null(texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string()), "")
@@ -387,7 +388,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, doc_id: str
 
         for batch in batches:
             tokens = word_tokens(shared)
-            for part in by_size(batch, "text"):
+            for part in by_size(batch, "text", 4 << 20):
                 for name, ids in zip(part.column("doc_id").to_pylist(), tokens.encode_column(part.column("text"))):
                     names.append(name)
                     parts.append(ids + end)
