@@ -334,9 +334,9 @@ def encoded_configs(spark, sf):
 @query("path_names", """
 SELECT page_id, regexp_extract(path, '[^/]*$') AS base,
        regexp_replace(regexp_extract(path, '[^/]*$'), '([^.])[.][^.]*$', '\\1') AS stem
-FROM (SELECT page_id, split_part(url, '?', 1) || '.tar.gz' AS path FROM pages)""")
+FROM (SELECT page_id, url || '.tar.gz' AS path FROM pages)""")
 def path_names(spark, sf):
-    path = F.concat(F.substring_index("url", "?", 1), F.lit(".tar.gz"))
+    path = F.concat("url", F.lit(".tar.gz"))
     base = names.base_name(path)
     return table(spark, sf, "pages").select(
         "page_id", base.alias("base"), names.without_extension(base).alias("stem"))
@@ -344,13 +344,13 @@ def path_names(spark, sf):
 
 @query("numeric_forms", """
 SELECT p_partkey, round(sqrt(p_retailprice), 6) AS root, CAST(ceil(sqrt(p_size)) AS BIGINT) AS side,
-       ((p_partkey * 71741 + p_size) % 4294967296) AS seed, p_brand || ':' || p_type || ':' || p_name AS key,
+       ((p_partkey * 60013 + p_size) % 4294967296) AS seed, p_brand || ':' || p_type || ':' || p_name AS key,
        starts_with(p_name, 'small') AS small
 FROM part""")
 def numeric_forms(spark, sf):
     return table(spark, sf, "part").select(
         "p_partkey", F.round(F.sqrt("p_retailprice"), 6).alias("root"),
         F.ceil(F.sqrt("p_size")).alias("side"),
-        F.pmod(F.col("p_partkey") * 71741 + F.col("p_size"), F.lit(4294967296)).alias("seed"),
+        F.pmod(F.col("p_partkey") * 60013 + F.col("p_size"), F.lit(4294967296)).alias("seed"),
         F.concat_ws(":", "p_brand", "p_type", "p_name").alias("key"),
         F.col("p_name").startswith("small").alias("small"))

@@ -412,18 +412,20 @@ def run_outcomes(spark, sf):
 
 @query("log_run_outcomes", f"""WITH {LOG_FILES_SQL},
 h AS (SELECT *, sum(CASE WHEN success THEN 1 ELSE 0 END) OVER (
-        PARTITION BY file ORDER BY iteration) AS island FROM runs),
+        PARTITION BY file ORDER BY iteration) AS island,
+        row_number() OVER (PARTITION BY file ORDER BY iteration) - 1 AS run_number FROM runs),
 s AS (SELECT *, sum(CASE WHEN success THEN 0 ELSE 1 END) OVER (
         PARTITION BY file, island ORDER BY iteration) AS streak FROM h),
 stops AS (SELECT file, min(iteration) AS stop FROM s WHERE streak >= 2 GROUP BY file)
 SELECT s.file, count(*) FILTER (success) AS num_successes, count(*) FILTER (NOT success) AS num_failures,
+       max(run_number) AS last_run,
        CASE WHEN max(stop) IS NULL THEN 'target_reached' ELSE 'excessive_failures' END
          AS iteration_end_reason
 FROM s LEFT JOIN stops t ON t.file = s.file WHERE stop IS NULL OR iteration <= stop GROUP BY s.file""")
 def log_run_outcomes(spark, sf):
     runs = _logs(spark, sf).records("finish_work", events=False).select(
         "file", F.col("data.iteration").alias("iteration"), F.col("data.success").alias("success"))
-    return history.run_outcomes(runs, ["file"], ["iteration"], F.lit(2)).drop("last_run")
+    return history.run_outcomes(runs, ["file"], ["iteration"], F.lit(2))
 
 
 @query("run_continuation", f"""WITH {HISTORY_SQL}

@@ -8,7 +8,7 @@ from spanwell.plans.inputs import SPAN_EVENTS_SQL, log_lines, span_events, sweep
 from spanwell.plans.inputs import LOG_FILES_SQL, SWEEPS_SQL
 from spanwell.plans.registry import query
 from spanwell.session import shared_folder
-from spanwell.sources import configs, logs, traces, writers
+from spanwell.sources import committed, configs, listing, logs, traces, writers
 
 
 def _raw_records(spark, sf):
@@ -123,19 +123,66 @@ def dump_roundtrip(spark, sf):
 
 
 @query("log_roundtrip", f"""WITH {LOG_FILES_SQL}
-SELECT 'experiment' AS type, CAST(sum(headers) AS BIGINT) AS records FROM files
-UNION ALL SELECT 'finish_work', count(*) FROM runs
-UNION ALL SELECT 'killed', count(*) FROM runs WHERE status = 'F'
-UNION ALL SELECT 'waiting', count(*) FROM runs WHERE status = 'P'
-UNION ALL SELECT 'rejected', count(*) FROM runs WHERE status = 'O' AND priority = '5-LOW'""")
+SELECT 'experiment' AS type, epoch AS "timestamp", NULL AS number, workload, framework_rev, num_workers, num_nodes,
+       NULL AS success, NULL AS seconds, NULL AS label, NULL AS events
+FROM files, range(headers)
+UNION ALL
+SELECT 'finish_work', 1.4e9 + iteration * 64.0 + 2 * size, iteration, NULL, NULL, NULL, NULL, success, 2 * size,
+       CASE WHEN priority <> '1-URGENT' THEN priority END, CAST(CASE WHEN priority <> '1-URGENT' THEN 4 END AS BIGINT) FROM runs
+UNION ALL
+SELECT 'killed', 1.4e9 + iteration * 64.0, iteration, NULL, NULL, NULL, NULL, NULL, 10 * size, NULL, NULL FROM runs WHERE status = 'F'
+UNION ALL
+SELECT 'waiting', 1.4e9 + iteration * 64.0, iteration, NULL, NULL, NULL, NULL, NULL, size, NULL, NULL FROM runs WHERE status = 'P'
+UNION ALL
+SELECT '{{broken', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM runs WHERE status = 'O' AND priority = '5-LOW'""")
 def log_roundtrip(spark, sf):
-    """Log lines appended as text files and read back with the file reader."""
+    """Log lines appended as text files and read back with the file reader, record by record; broken lines as they are."""
     path = shared_folder(spark, "logs")
     writers.append_records(log_lines(spark, sf).select("value"), path)
     back = logs.read_logs(spark, path, prefix="part-")
-    rejected = back.rejected().select(F.lit("rejected").alias("type"))
-    return back.records().select("type").unionByName(rejected).groupBy("type").agg(
-        F.count(F.lit(1)).alias("records"))
+    data = F.col("data")
+    records = back.records().select(
+        "type", "timestamp", F.coalesce(data["iteration"], data["pid"]).alias("number"),
+        data["workload"]["name"].alias("workload"), data["git-revs"]["framework"].alias("framework_rev"),
+        data["system_config"]["num_workers"].alias("num_workers"), data["system_config"]["num_nodes"].alias("num_nodes"),
+        data["success"].alias("success"),
+        F.coalesce(data["elapsed_time"], data["waited_time"], data["time_waited"]).alias("seconds"),
+        data["stats"]["config"]["label"].alias("label"), F.array_size(data["stats"]["events"]).cast("bigint").alias("events"))
+    return records.unionByName(back.rejected().select(F.col("value").alias("type")), allowMissingColumns=True)
+
+
+@query("committed_records", f"""WITH {LOG_FILES_SQL}
+SELECT o.batch, file, line, value_type, value_number FROM (
+  SELECT CAST(iteration % 3 AS BIGINT) AS batch, file, iteration * 2 + 1 AS line, 'finish_work' AS value_type, iteration AS value_number FROM runs
+  UNION ALL SELECT iteration % 3, file, iteration * 2, CASE status WHEN 'F' THEN 'killed' ELSE 'waiting' END, iteration
+  FROM runs WHERE status IN ('F', 'P')
+  UNION ALL SELECT iteration % 3, file, iteration * 2, NULL, NULL FROM runs WHERE status = 'O' AND priority = '5-LOW') o""")
+def committed_records(spark, sf):
+    """Run lines written in three committed batches, the second of them twice, and read back whole."""
+    path = shared_folder(spark, "committed")
+    lines = log_lines(spark, sf).where("line >= 0").select(
+        "file", F.to_json(F.struct("line", "value")).alias("value"), F.pmod(F.floor(F.col("line") / 2), F.lit(3)).alias("batch"))
+    for batch in (0, 1, 2, 1):
+        committed.append_batch(lines.where(F.col("batch") == batch), path, batch)
+    back = committed.read_committed(spark, path).select("batch", "file", F.from_json("value", "line bigint, value string").alias("v"))
+    record = F.from_json("v.value", "type string, data struct<iteration bigint, pid bigint>")
+    return logs.parse_once(back, record, ["batch", "file", F.col("v.line").alias("line")]).select(
+        "batch", "file", "line", F.col("type").alias("value_type"), F.coalesce("data.iteration", "data.pid").alias("value_number"))
+
+
+@query("listed_files", """
+SELECT CAST(o_orderkey % 8 AS BIGINT) AS k, o_orderpriority AS name, CAST(sum(length(o_orderkey::VARCHAR) + 1) AS BIGINT) AS bytes
+FROM orders GROUP BY ALL""")
+def listed_files(spark, sf):
+    """Order keys as lines in folders by priority, found and measured by the directory reader."""
+    path = shared_folder(spark, "listed")
+    orders = table(spark, sf, "orders").select(
+        F.col("o_orderkey").cast("string").alias("value"), (F.col("o_orderkey") % 8).alias("k"), F.col("o_orderpriority").alias("name"))
+    orders.write.partitionBy("k", "name").text(path)
+    found = listing.walk(spark, path, prefix="part-")
+    return found.groupBy(
+        F.regexp_extract("file", "/k=([0-9]+)/", 1).cast("bigint").alias("k"),
+        F.url_decode(F.regexp_extract("file", "/name=([^/]*)/", 1)).alias("name")).agg(F.sum("length").alias("bytes"))
 
 
 def _written_documents(docs, path, by=("k",)):
@@ -240,12 +287,17 @@ def experiment_folders(spark, sf):
 
 
 @query("published_report", """
-SELECT o_orderpriority AS workload, count(*) AS records FROM orders GROUP BY o_orderpriority""")
+SELECT o_orderpriority AS workload, o_orderstatus AS status, count(*) AS records, count(DISTINCT o_custkey) AS customers,
+       min(o_orderkey) AS first_order, max(o_orderkey) AS last_order, CAST(min(o_orderdate) AS DATE) AS since
+FROM orders GROUP BY ALL""")
 def published_report(spark, sf):
     """A report published twice to one place; the latest is read back."""
     path = shared_folder(spark, "latest")
-    report = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("workload")).agg(
-        F.count(F.lit(1)).alias("records"))
+    report = table(spark, sf, "orders").groupBy(
+        F.col("o_orderpriority").alias("workload"), F.col("o_orderstatus").alias("status")).agg(
+        F.count(F.lit(1)).alias("records"), F.count_distinct("o_custkey").alias("customers"),
+        F.min("o_orderkey").alias("first_order"), F.max("o_orderkey").alias("last_order"),
+        F.min(F.col("o_orderdate").cast("date")).alias("since"))
     writers.publish_latest(report.withColumn("records", F.lit(0)), path)
     writers.publish_latest(report, path)
-    return writers.read_latest(spark, path, "workload string, records bigint")
+    return writers.read_latest(spark, path, report.schema)

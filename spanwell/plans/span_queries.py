@@ -85,16 +85,24 @@ def session_span_stats(spark, sf):
 @query("span_report", f"""WITH {PHASES_SQL},
 stats AS (
   SELECT coalesce(start_phase, 'None') || ':' || coalesce(end_phase, 'None') || ':' || event_type AS key,
-         count(*) AS ct, CAST(sum(elapsed) // 1000000 AS BIGINT) AS total,
-         CAST(min(elapsed) // 1000000 AS BIGINT) AS low, CAST(max(elapsed) // 1000000 AS BIGINT) AS high
+         count(*) AS ct, CAST(sum(elapsed) AS DOUBLE) / 1e6 AS total, min(elapsed) / 1e6 AS low,
+         avg(elapsed) / 1e6 AS mean, max(elapsed) / 1e6 AS high, stddev_pop(elapsed / 1e6) AS deviation
   FROM spans GROUP BY ALL)
-SELECT key, total || ',' || ct || ',' || low || ',' || high AS figures FROM stats""")
+SELECT key, total, ct, low, round(mean, 4) AS mean, high, round(deviation, 4) AS deviation FROM stats""")
 def span_report(spark, sf):
-    report = spans.span_report(
-        spans.span_stats(_phase_spans(spark, sf).withColumn("elapsed", F.col("elapsed") / 1e6)))
-    part = r"^([0-9]+)\.[0-9]+,([0-9]+),\[([0-9]+)\.[0-9]+,[0-9.]+,([0-9]+)\.[0-9]+\],[0-9.]+$"
-    whole = [F.regexp_extract("line", part, i) for i in (1, 2, 3, 4)]
-    return report.select("key", F.concat_ws(",", *whole).alias("figures"))
+    """All six figures of each line of the report; averages are rounded as a comparison needs it."""
+    stats = spans.span_stats(_phase_spans(spark, sf))
+    seconds = stats.withColumns({
+        c: F.col(c).cast("double") / 1e6 for c in stats.columns if c.endswith("_elapsed_time")})
+    figure = r"([0-9]+\.[0-9]{6})"
+    line = rf"^{figure},([0-9]+),\[{figure},{figure},{figure}\],{figure}$"
+
+    def part(i, kind="double"):
+        return F.regexp_extract("line", line, i).cast(kind)
+
+    return spans.span_report(seconds).select(
+        "key", part(1).alias("total"), part(2, "bigint").alias("ct"), part(3).alias("low"),
+        F.round(part(4), 4).alias("mean"), part(5).alias("high"), F.round(part(6), 4).alias("deviation"))
 
 
 @query("headline", f"""WITH {PHASES_SQL}
@@ -110,18 +118,18 @@ def headline(spark, sf):
 @query("stats_document", f"""WITH {PHASES_SQL}
 SELECT session,
        coalesce(start_phase, 'None') || ':' || coalesce(end_phase, 'None') || ':' || event_type AS key,
-       count(*) AS ct, min(elapsed) AS min_elapsed_time, max(elapsed) AS max_elapsed_time
+       {STATS_SQL}
 FROM spans GROUP BY ALL""")
 def stats_document(spark, sf):
     stats = spans.span_stats(_phase_spans(spark, sf), ["session"])
     documents = spans.stats_document(
         stats, ["session"], F.create_map(F.lit("user"), F.col("session")))
-    schema = ("config map<string,string>, timing map<string,struct<ct bigint, "
-              "min_elapsed_time bigint, max_elapsed_time bigint>>")
+    schema = ("config map<string,string>, timing map<string,struct<ct bigint, total_elapsed_time decimal(38,0), "
+              "min_elapsed_time bigint, max_elapsed_time bigint, avg_elapsed_time double, stddev_elapsed_time double>>")
     back = documents.select(F.from_json("document", schema).alias("d"))
-    return back.select(
+    return _seconds(back.select(
         F.col("d.config")["user"].alias("session"), F.explode("d.timing").alias("key", "t")
-    ).select("session", "key", "t.*")
+    ).select("session", "key", "t.*"))
 
 
 @query("span_errors", f"""WITH {LOOSE_EVENTS_SQL}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanwell.functions.scalars import (
     EVENT_TASK_AT, EVENT_WORKER_AT, REGISTRY_WORKER_AT, hex_id,
 )
-from spanwell.sources.logs import EVENT, decoded_path
+from spanwell.sources.logs import EVENT, decoded_path, parse_once
 
 # The fields of event dumps and run statistics.
 DUMP = (
@@ -21,10 +21,9 @@ STATS_LINE = r"(?m)^BENCHMARK_STATS: (\{.*\})$"
 
 
 def _tuples(raw: DataFrame) -> DataFrame:
-    """Each element of the records' arrays as text, with its place and the raw columns."""
-    elements = F.from_json("value", "array<string>")
-    return raw.select("*", F.posexplode_outer(elements).alias("pos", "element")).withColumn(
-        "event", F.from_json("element", "array<string>"))
+    """Each element of the records' arrays as text, with its place, its fields and the raw columns."""
+    elements = raw.select("*", F.posexplode_outer(F.from_json("value", "array<string>")).alias("pos", "element"))
+    return parse_once(elements, F.struct(F.from_json("element", "array<string>").alias("event")), ["*"])
 
 
 def _reason() -> Column:

@@ -6,6 +6,7 @@ import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def write_dump(
@@ -100,7 +101,7 @@ def publish_latest(report: DataFrame, path: str, number: int | None = None) -> N
     listed.write.mode("append").parquet(f"{path}/published")
 
 
-def read_latest(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+def read_latest(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
     """The report published last."""
     number = spark.read.parquet(f"{path}/published").agg(F.max("published")).first()[0]
     reader = spark.read.schema(schema) if schema else spark.read
