@@ -8,9 +8,10 @@ the wanted recall for a pair just at the threshold.
 Windows over all vectors would meet a fixed share of all pairs on every line. So the vectors are
 first grouped, in several tables, by the slabs they fall into on a few lines; the number of
 these lines grows with the logarithm of the number of vectors, which keeps groups small. In a
-group each vector counts its collisions with all others, on every counting line alike. Groups beyond a limit are cut into blocks. A pair that met
-in an earlier table is not counted again. Only numbers of links and a star of links leave a
-group, never all pairs.
+group every counting line is sorted, and each vector as a query collides with those in the window
+around it; collisions are counted for each pair over all lines alike, in planes of bits. Groups
+beyond a limit are cut into blocks. A pair that met in an earlier table is not counted again. Only
+numbers of links and a star of links leave a group, never all pairs.
 
 Equal vectors count as one from the start, with the number of copies.
 
@@ -62,7 +63,7 @@ def _binomial_tail(n: int, p: float, least: int) -> float:
     return sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(least, n + 1))
 
 
-def make_plan(n: int, threshold: float = 0.95, recall: float = 0.999, group: int = 256, counting_lines: int = 16,
+def make_plan(n: int, threshold: float = 0.95, recall: float = 0.999, group: int = 1024, counting_lines: int = 16,
               slab: float = 1.5, seed: int = 11) -> Plan:
     """The plan for ``n`` vectors so that pairs at the threshold are found with ``recall``.
 
@@ -124,20 +125,52 @@ def _cells(distinct: DataFrame, plan: Plan) -> DataFrame:
     return distinct.mapInArrow(run, schema)
 
 
+def _windows(line: np.ndarray, window: float) -> np.ndarray:
+    """For each row as a query, the rows in the window around it on one line, as a row of bits.
+
+    The line is sorted, so a window is a range of ranks, and its rows are those before its end
+    without those before its beginning.
+    """
+    n = len(line)
+    order = np.argsort(line, kind="stable")
+    sorted_line = line[order]
+    before = np.zeros((n + 1, -(-n // 64)), dtype=np.uint64)
+    before[np.arange(1, n + 1), order >> 6] = np.uint64(1) << (order & 63).astype(np.uint64)
+    np.bitwise_xor.accumulate(before, axis=0, out=before)
+    begin = np.searchsorted(sorted_line, line - window, side="left")
+    end = np.searchsorted(sorted_line, line + window, side="right")
+    return before[end] ^ before[begin]
+
+
+def _collisions(places: np.ndarray, window: float, least: int) -> np.ndarray:
+    """Bits of the pairs that meet in the windows of at least ``least`` of the lines, a row for each query.
+
+    Counts are kept as planes of bits, so that a line is added to 64 pairs at once. They begin
+    below a power of two by ``least``: a pair met often enough when its count has come to that power.
+    """
+    top = max(len(places), 1).bit_length()
+    first = (1 << top) - least
+    n = places.shape[1]
+    planes = [np.full((n, -(-n // 64)), -(first >> k & 1) & 0xFFFFFFFFFFFFFFFF, dtype=np.uint64) for k in range(top + 1)]
+    for line in places:
+        carry = _windows(line, window)
+        for plane in planes:
+            plane ^= carry
+            carry &= ~plane
+    return planes[top]
+
+
 def _pairs_in_group(x: np.ndarray, lines: np.ndarray, plan: Plan) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows at or above the threshold, by collisions on the counting lines."""
     norms = np.linalg.norm(x, axis=1)
-    places = ((x / norms[:, None]) @ lines).astype(np.float32)
-    places = np.ascontiguousarray(places.T)
-    window = np.float32(plan.window)
+    met = _collisions(((x / norms[:, None]) @ lines).T, plan.window, plan.least)
     for a in range(0, len(x), 256):
-        b = min(a + 256, len(x))
-        met = np.zeros((b - a, len(x) - a), dtype=np.int8)
-        for line in places:
-            met += np.abs(line[a:b, None] - line[None, a:]) <= window
-        i, j = np.nonzero(met >= plan.least)
+        i, word = np.nonzero(met[a: a + 256])
+        bits = np.unpackbits(met[a + i, word].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        at, bit = np.nonzero(bits)
+        i, j = a + i[at], word[at] * 64 + bit
         ahead = i < j
-        i, j = a + i[ahead], a + j[ahead]
+        i, j = i[ahead], j[ahead]
         for start in range(0, len(i), 1 << 16):
             u, v = i[start: start + (1 << 16)], j[start: start + (1 << 16)]
             near = np.einsum("ij,ij->i", x[u], x[v]) / (norms[u] * norms[v]) >= plan.threshold
@@ -182,7 +215,7 @@ def _found(table: pa.Table, plan: Plan) -> Iterator[pa.RecordBatch]:
 
 
 def near_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = 0.95,
-                 recall: float = 0.999, block: int = 1024, seed: int = 11) -> DataFrame:
+                 recall: float = 0.999, block: int = 2048, group: int = 1024, seed: int = 11) -> DataFrame:
     """``vec_id``, ``n_links``, ``component_id``, ``kept`` of every row of ``df``."""
     vector = column(embedding)
     usable = F.coalesce(
@@ -198,7 +231,7 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
         .groupBy("key_a", "key_b", "vector").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies")),
         "distinct-vectors",
     )
-    plan = make_plan(distinct.count(), threshold, recall, seed=seed)
+    plan = make_plan(distinct.count(), threshold, recall, group, seed=seed)
     placed = settled(_cells(distinct.select("first_id", "copies", "vector"), plan), "vector-cells")
     met = blocks(
         placed.select("first_id", "copies", "vector", "cells", F.posexplode("cells").alias("slot", "cell")),

@@ -135,6 +135,35 @@ def test_recall_with_many_tables(spark):
     assert linked >= 0.99 * 3000
 
 
+def test_counts_of_sorted_windows_equal_those_of_all_pairs():
+    rng = np.random.default_rng(9)
+    for n, lines, least in ((1, 16, 3), (64, 16, 0), (65, 16, 16), (200, 7, 4), (130, 16, 11), (3, 1, 1)):
+        places = np.round(rng.normal(size=(lines, n)), 1)
+        near = (np.abs(places[:, :, None] - places[:, None, :]) <= 0.55).sum(axis=0) >= least
+        bits = vectors._collisions(places, 0.55, least).astype("<u8").view(np.uint8).reshape(n, -1)
+        assert (np.unpackbits(bits, axis=1, bitorder="little")[:, :n].astype(bool) == near).all()
+
+
+@pytest.mark.parametrize("group", [1024, 64])
+def test_recall_of_planted_pairs_against_brute_force(spark, group):
+    """Pairs with cosines of 0.95 to 0.97 among vectors of random direction: at least 0.999 of all links."""
+    rng = np.random.default_rng(17)
+    x, y = rng.normal(size=(2, 2000, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (y * x).sum(axis=1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    c = rng.uniform(0.95, 0.97, size=(2000, 1))
+    both = np.concatenate([x, c * x + np.sqrt(1 - c * c) * y])
+    rows = [(i, v.tolist()) for i, v in enumerate(both)]
+    unit = both / np.linalg.norm(both, axis=1, keepdims=True)
+    expected = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    out = vectors.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), group=group)
+    found = {r.vec_id: r.n_links for r in out.collect()}
+    assert expected.sum() > 3900
+    assert all(found[i] <= n + 1 for i, n in enumerate(expected))
+    assert sum(found.values()) >= 0.999 * expected.sum()
+
+
 def test_plans_keep_their_recall():
     for n in (1, 1000, 50_000, 10**9):
         plan = vectors.make_plan(n)
