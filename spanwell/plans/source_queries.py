@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanwell.plans.inputs import SPAN_EVENTS_SQL, log_lines, span_events, sweep_documents, table
 from spanwell.plans.inputs import LOG_FILES_SQL, SWEEPS_SQL
 from spanwell.plans.registry import query
 from spanwell.session import shared_folder
-from spanwell.sources import committed, configs, listing, logs, traces, writers
+from spanwell.sources import committed, configs, large_dumps, listing, logs, traces, writers
 
 
 def _raw_records(spark, sf):
@@ -257,6 +258,23 @@ def dump_files(spark, sf):
         F.regexp_extract("file", "/k=(\\d+)/", 1).cast("bigint").alias("k"))
 
 
+@query("split_dump_files", """
+SELECT event_id, event_type, CAST(user_id AS VARCHAR) AS worker_id, CAST(user_id % 16 AS BIGINT) AS k,
+       row_number() OVER (PARTITION BY user_id % 16, event_id // 100000 ORDER BY event_id) AS place FROM events""")
+def split_dump_files(spark, sf):
+    """All events in dumps of many events, read by ranges of bytes; a dump's events come in order of their ids."""
+    path = shared_folder(spark, "dumps")
+    dumps = _event_dumps(table(spark, sf, "events"))
+    in_order = F.from_json("value", "events array<struct<timestamp double, worker_id string, task_id string, event_type string, status int>>")
+    ordered = dumps.withColumn("value", F.to_json(F.struct(F.array_sort(in_order["events"]).alias("events"))))
+    _written_documents(ordered, path, ("k", "part"))
+    found = large_dumps.read_events(spark, path, prefix="part-", chunk=1 << 20)
+    place = F.row_number().over(Window.partitionBy("file").orderBy("pos"))
+    return found.select(
+        F.col("timestamp").cast("bigint").alias("event_id"), "event_type", "worker_id",
+        F.regexp_extract("file", "/k=(\\d+)/", 1).cast("bigint").alias("k"), place.alias("place"))
+
+
 @query("corpus_roundtrip", """
 SELECT line, count(*) AS lines FROM (
   SELECT unnest(string_split(replace(text, chr(13), ' '), chr(10))) AS line FROM documents) GROUP BY line""")
