@@ -184,7 +184,7 @@ def unique_revisions(spark, sf):
 
 
 VALUES_SQL = LOG_FILES_SQL + """,
-named AS (
+named AS MATERIALIZED (
   SELECT file, CASE WHEN start_phase IS NULL AND end_phase IS NULL THEN event_type
                     ELSE coalesce(start_phase, 'None') || ':' || coalesce(end_phase, 'None')
                          || ':' || event_type END || '_' || s.stat AS name,
@@ -261,7 +261,7 @@ cols(workload, name, label) AS (VALUES
   ('machinery', 'success_iteration_max', 'best')),
 about(workload, description) AS (VALUES ('building', 'Buildings'), ('machinery', 'Machines'),
   ('automobile', 'Cars'), ('household', 'Homes')),
-shown AS (
+shown AS MATERIALIZED (
   SELECT r.file, r.workload, num_workers, num_nodes, "timestamp", {SHORT},
          coalesce(a.description, 'Unknown description') AS description, n.kind,
          CASE WHEN r.workload IN ('building', 'machinery') THEN c.label ELSE n.name END AS label,
