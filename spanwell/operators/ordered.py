@@ -23,8 +23,8 @@ from spanwell.session import settled
 SEGMENT_ROWS_CONF = "spanwell.segment.rows"
 SEGMENT_ROWS = 4_000_000      # rows one task may sort for one key
 
-_SEG = "__seg"
-_ALL = "__all"
+SEGMENT = "__seg"
+ALL = "__all"
 
 
 @dataclass(frozen=True)
@@ -47,7 +47,7 @@ class OrderedRows:
 
     @property
     def partition(self) -> list[str]:
-        return [*self.keys, _SEG] if self.segmented else list(self.keys)
+        return [*self.keys, SEGMENT] if self.segmented else list(self.keys)
 
     def running(self, **values: Running) -> "OrderedRows":
         """Add running values; all of one call share one sort."""
@@ -67,7 +67,7 @@ class OrderedRows:
 
         carry = self._carry(values)
         rows = rows.withColumns(local)
-        match = [F.col(f"r.{_SEG}") == F.col(f"c.{_SEG}")]
+        match = [F.col(f"r.{SEGMENT}") == F.col(f"c.{SEGMENT}")]
         match += [F.col(f"r.`{k}`").eqNullSafe(F.col(f"c.`{k}`")) for k in self.keys]
         joined = rows.alias("r").join(carry.alias("c"), match, "left")
         kept = [F.col(f"r.`{c}`") for c in rows.columns if c not in local]
@@ -99,10 +99,10 @@ class OrderedRows:
                 "t.*", *[F.col(f"l.`{n}`") for n in lasts])
         # Without keys all ranges are one partition of this window: as many rows as there are ranges.
         before = (
-            Window.partitionBy(*(self.keys or [_ALL])).orderBy(_SEG)
+            Window.partitionBy(*(self.keys or [ALL])).orderBy(SEGMENT)
             .rowsBetween(Window.unboundedPreceding, -1)
         )
-        taken = totals.withColumn(_ALL, F.lit(0)).select(
+        taken = totals.withColumn(ALL, F.lit(0)).select(
             *self.partition,
             F.count(F.lit(1)).over(before).alias("__earlier"),
             *[_combine(replace(spec, value=F.col(name))).over(before).alias(name)
@@ -111,7 +111,7 @@ class OrderedRows:
         return settled(taken.where("__earlier > 0").drop("__earlier"), "carries")
 
     def done(self) -> DataFrame:
-        return self.rows.drop(_SEG)
+        return self.rows.drop(SEGMENT)
 
 
 def ordered(
@@ -165,7 +165,7 @@ def _ranged(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], total:
     """
     ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // limit))
     cut = df.repartitionByRange(ranges, *[F.col(f"`{c}`") for c in (*keys, *order)])
-    return settled(cut.withColumn(_SEG, F.spark_partition_id()), "ranges")
+    return settled(cut.withColumn(SEGMENT, F.spark_partition_id()), "ranges")
 
 
 def _combine(spec: Running) -> Column:
