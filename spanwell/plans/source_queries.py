@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Observation, Window
 from pyspark.sql import functions as F
 
 from spanwell.plans.inputs import SPAN_EVENTS_SQL, log_lines, span_events, sweep_documents, table
 from spanwell.plans.inputs import LOG_FILES_SQL, SWEEPS_SQL
 from spanwell.plans.registry import query
-from spanwell.session import shared_folder
+from spanwell.session import settled, shared_folder
 from spanwell.sources import committed, configs, large_dumps, listing, logs, traces, writers
 
 
@@ -34,19 +34,62 @@ def trace_records(spark, sf):
     return traces.decode_records(_raw_records(spark, sf))
 
 
+def _damaged_records(spark, sf):
+    """Of every five records four have an element, or a value, that cannot be read."""
+    kind = F.pmod("event_id", F.lit(5))
+    value = F.when(kind == 0, '{"a": 1}').otherwise(F.concat(F.lit('[[1.5, "x", 1, {}], '), F.when(
+        kind == 1, '[2.5, "x", 2]').when(kind == 2, '["noon", "x", 2, {}]').when(
+        kind == 3, '[2.5, "x", "done", {}]').otherwise('[2.5, "x", 2, {}]'), F.lit("]")))
+    return table(spark, sf, "events").select("event_id", F.lit(None).cast("binary").alias("key"), value.alias("value"))
+
+
 @query("rejected_trace_records", """
 SELECT event_id, CAST(CASE WHEN event_id % 5 <> 0 THEN 1 END AS INTEGER) AS pos,
        CASE event_id % 5 WHEN 0 THEN 'value is no array' WHEN 1 THEN 'fewer than four fields'
                          WHEN 2 THEN 'timestamp is no number' ELSE 'status is no number' END AS reason
 FROM events WHERE event_id % 5 < 4""")
 def rejected_trace_records(spark, sf):
-    """Of every five records four have an element, or a value, that cannot be read."""
-    kind = F.pmod("event_id", F.lit(5))
-    value = F.when(kind == 0, '{"a": 1}').otherwise(F.concat(F.lit('[[1.5, "x", 1, {}], '), F.when(
-        kind == 1, '[2.5, "x", 2]').when(kind == 2, '["noon", "x", 2, {}]').when(
-        kind == 3, '[2.5, "x", "done", {}]').otherwise('[2.5, "x", 2, {}]'), F.lit("]")))
-    raw = table(spark, sf, "events").select("event_id", F.lit(None).cast("binary").alias("key"), value.alias("value"))
-    return traces.rejected_records(raw).select("event_id", "pos", "reason")
+    """Elements and values that cannot be read, with the reason."""
+    return traces.rejected_records(_damaged_records(spark, sf)).select("event_id", "pos", "reason")
+
+
+@query("counted_trace_records", """
+SELECT CASE event_id % 5 WHEN 0 THEN 'value is no array' WHEN 1 THEN 'fewer than four fields'
+                         WHEN 2 THEN 'timestamp is no number' ELSE 'status is no number' END AS outcome,
+       count(*) AS elements
+FROM events WHERE event_id % 5 < 4 GROUP BY outcome
+UNION ALL SELECT 'read', sum(CASE event_id % 5 WHEN 0 THEN 0 WHEN 4 THEN 2 ELSE 1 END)::BIGINT FROM events""")
+def counted_trace_records(spark, sf):
+    """How many elements were read, and how many rejected why, counted while the events are written."""
+    counts = Observation("trace-records")
+    settled(traces.decode_records(_damaged_records(spark, sf), counts=counts), "events")
+    return spark.createDataFrame(sorted(counts.get.items()), "outcome string, elements bigint").where("elements > 0")
+
+
+@query("typed_extras", """
+SELECT sha1(CAST(event_id AS VARCHAR)) AS task_id, CAST(s.pos AS INTEGER) AS pos,
+       epoch_us(ts) // 1000000 + CASE WHEN s.pos = 0 THEN 0.5 ELSE 0.75 END::DOUBLE AS "timestamp",
+       event_type, CAST(s.pos + 1 AS INTEGER) AS status,
+       CASE WHEN s.pos = 1 THEN 'absent' WHEN event_id % 4 = 0 THEN 'absent' WHEN event_id % 4 = 1 THEN 'null' ELSE 'value' END AS presence,
+       CASE WHEN s.pos = 0 AND event_id % 4 >= 2 THEN CASE event_id % 4 WHEN 2 THEN 'number' ELSE 'text' END END AS kind,
+       CASE WHEN s.pos = 0 AND event_id % 4 >= 2 THEN event_id END AS size
+FROM events, (VALUES (0), (1)) s(pos)""")
+def typed_extras(spark, sf):
+    """Extras whose key ``size`` is missing, null, a number or text; the second element's extras are null."""
+    id_ = F.col("event_id").cast("string")
+    size = F.element_at(F.array(F.lit("{}"), F.lit('{"size": null}'), F.concat(F.lit('{"size": '), id_, F.lit("}")),
+                                F.concat(F.lit('{"size": "'), id_, F.lit('"}'))), (F.pmod("event_id", F.lit(4)) + 1).cast("int"))
+    at = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000)
+    key = F.concat(F.encode(F.lit("event_log:"), "UTF-8"), F.unhex(F.sha1(F.col("user_id").cast("string").cast("binary"))),
+                   F.encode(F.lit(":"), "UTF-8"), F.unhex(F.sha1(id_.cast("binary"))))
+    value = F.format_string('[[%1$d.5, "%2$s", 1, %3$s], [%1$d.75, "%2$s", 2, null]]', at, F.col("event_type"), size)
+    events = traces.variant_records(table(spark, sf, "events").select(key.alias("key"), value.alias("value")))
+    found = F.try_variant_get("extras", "$.size", "variant")
+    state = traces.presence(F.col("extras"), "size")
+    return events.select(
+        "task_id", "pos", "timestamp", "event_type", "status", state.alias("presence"),
+        F.when(state == "value", F.when(F.schema_of_variant(found) == "STRING", "text").otherwise("number")).alias("kind"),
+        F.try_variant_get("extras", "$.size", "bigint").alias("size"))
 
 
 @query("worker_registry", """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from spanwell.functions.scalars import (
@@ -26,24 +26,42 @@ def _tuples(raw: DataFrame) -> DataFrame:
     return parse_once(elements, F.struct(F.from_json("element", "array<string>").alias("event")), ["*"])
 
 
+NO_ARRAY, FEW_FIELDS = "value is no array", "fewer than four fields"
+NO_TIMESTAMP, NO_STATUS = "timestamp is no number", "status is no number"
+REASONS = (NO_ARRAY, FEW_FIELDS, NO_TIMESTAMP, NO_STATUS)
+
+
 def _reason() -> Column:
     event = F.col("event")
     return (
-        F.when(F.col("pos").isNull() & ~F.coalesce(F.trim("value") == "[]", F.lit(False)), "value is no array")
-        .when(F.col("pos").isNotNull() & (F.coalesce(F.array_size(event), F.lit(0)) < 4), "fewer than four fields")
-        .when(F.col("pos").isNotNull() & F.get(event, F.lit(0)).try_cast("double").isNull(), "timestamp is no number")
-        .when(F.col("pos").isNotNull() & F.get(event, F.lit(2)).try_cast("int").isNull(), "status is no number")
+        F.when(F.col("pos").isNull() & ~F.coalesce(F.trim("value") == "[]", F.lit(False)), NO_ARRAY)
+        .when(F.col("pos").isNotNull() & (F.coalesce(F.array_size(event), F.lit(0)) < 4), FEW_FIELDS)
+        .when(F.col("pos").isNotNull() & F.get(event, F.lit(0)).try_cast("double").isNull(), NO_TIMESTAMP)
+        .when(F.col("pos").isNotNull() & F.get(event, F.lit(2)).try_cast("int").isNull(), NO_STATUS)
     )
 
 
-def decode_records(raw: DataFrame, index: str | None = None) -> DataFrame:
+def decode_records(raw: DataFrame, index: str | None = None, counts: Observation | None = None) -> DataFrame:
     """Raw trace records (binary ``key``, JSON ``value``) to span events.
 
     The value is an array of ``[timestamp, event_type, status, extras]``. ``index`` names a
     column with the place of a record among those of its key, which is let through. What
-    cannot be read is in ``rejected_records``.
+    cannot be read is in ``rejected_records``; ``counts`` is told by the first action on the result how many
+    elements have been read, and how many were rejected for each of ``REASONS``, without
+    another parse. That action should write the events without a shuffle (as ``settled`` does): a
+    stage before a shuffle that is run again after the loss of an executor would count twice.
     """
-    events = _tuples(raw).where(F.col("pos").isNotNull() & _reason().isNull())
+    tuples = _tuples(raw)
+    if counts is None:
+        events = tuples.where(F.col("pos").isNotNull() & _reason().isNull())
+    else:
+        reason = F.col("__reason")
+        seen = tuples.withColumn("__reason", _reason()).observe(
+            counts,
+            F.count_if(F.col("pos").isNotNull() & reason.isNull()).alias("read"),
+            *(F.count_if(reason == r).alias(r) for r in REASONS),
+        )
+        events = seen.where(F.col("pos").isNotNull() & reason.isNull())
     field = lambda i: F.get("event", F.lit(i))
     return events.select(
         hex_id(F.col("key"), EVENT_WORKER_AT).alias("worker_id"),
@@ -62,6 +80,36 @@ def rejected_records(raw: DataFrame) -> DataFrame:
     return _tuples(raw).withColumn("reason", _reason()).where("reason is not null").drop("event")
 
 
+def variant_records(raw: DataFrame) -> DataFrame:
+    """Raw trace records to span events whose extras keep their JSON types: ``extras`` is a VARIANT.
+
+    One parse for each value, of which the fields are read in place. The elements are those
+    of ``decode_records``: fewer than four fields, or a timestamp or status that is no number, and a value
+    that is no array give no event. Extras that are JSON null are a variant null, not a missing value.
+    """
+    events = parse_once(raw, F.struct(F.from_json("value", "array<variant>").alias("elements")), ["*"]).select(
+        "key", F.posexplode("elements").alias("pos", "event"))
+    field = lambda i, kind: F.try_variant_get("event", f"$[{i}]", kind)
+    return events.select(
+        hex_id(F.col("key"), EVENT_WORKER_AT).alias("worker_id"),
+        hex_id(F.col("key"), EVENT_TASK_AT).alias("task_id"),
+        "pos",
+        field(0, "double").alias("timestamp"),
+        field(1, "string").alias("event_type"),
+        field(2, "int").alias("status"),
+        field(3, "variant").alias("extras"),
+    ).where("timestamp is not null and status is not null and extras is not null")
+
+
+def presence(document: Column, name: str) -> Column:
+    """``absent``, ``null`` or ``value``: whether a variant object has a key, and whether it holds JSON null.
+
+    Anything but an object, a missing document included, has no keys.
+    """
+    found = F.try_variant_get(document, f"$['{name}']", "variant")
+    return F.when(found.isNull(), "absent").when(F.is_variant_null(found), "null").otherwise("value")
+
+
 def decode_workers(raw: DataFrame, driver_ip: str) -> DataFrame:
     """Registry records (binary ``key``, ``node_ip_address``) plus the driver's row."""
     workers = raw.select(
