@@ -1,6 +1,7 @@
 """Log files on disk: reading, rollups, reports, revisions, following."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -312,3 +313,15 @@ def test_reports_parse_the_text_once(spark, folder):
         assert "from_json" not in plan
     plan = rollup.rollup(kept).rollups._jdf.queryExecution().executedPlan().toString()
     assert "events" not in plan
+
+
+def test_wide_rows_are_sorted_behind_a_shuffle_only(spark, folder):
+    """Neither parsing nor wide aggregates sort what a scan task reads, as that grows with the files."""
+    kept = logs.stored(logs.read_logs(spark, folder))
+    assert not [p for p in os.listdir(kept.path) if p.startswith("kind=")]
+    found = rollup.analyse(kept)
+    for table in (rollup.headers(kept), metrics.stat_values(found.rollups, found.stats)):
+        plan = table._jdf.queryExecution().sparkPlan().toString()
+        assert "SortAggregate" in plan and "Exchange hashpartitioning(file" in plan
+        below = plan[plan.index("Exchange hashpartitioning(file"):]
+        assert "SortAggregate" not in below and "Sort [" not in below

@@ -98,3 +98,12 @@ def test_unknown_running_value(spark):
     df = spark.range(2)
     with pytest.raises(ValueError):
         OrderedRows(df, (), ("id",), False).running(x=Running("median", F.col("id")))
+
+
+def test_light_keys_get_as_many_partitions_as_their_rows_need(spark, monkeypatch):
+    monkeypatch.setattr("spanwell.operators.ordered.TASK_ROWS", 100)
+    df = spark.range(4000).select((F.col("id") % 50).alias("k"), F.col("id").alias("i"))
+    prepared = ordered(df, ["k"], ["i"])
+    assert not prepared.segmented and prepared.rows.rdd.getNumPartitions() == 40
+    done = prepared.running(n=Running("sum", F.lit(1))).done()
+    assert done.rdd.getNumPartitions() == 40 and {(r.k, r.n) for r in done.collect()} == {(k, n + 1) for k in range(50) for n in range(80)}
