@@ -169,3 +169,12 @@ def test_array_chunks_keep_their_type(spark):
     got = df.select(matrix.chunk_array(F.col("x"), 2).alias("x"), matrix.chunk_array(F.col("y"), 2).alias("y"))
     assert got.schema["x"].dataType.simpleString() == "array<array<int>>"
     assert got.first().x == [[1, 2], [3]]
+
+
+def test_metric_entries_are_sorted_behind_a_shuffle_only(spark):
+    text = '{"workloads":[{"name":"a","description":"x"},{"name":"a","description":"y"},{"description":"z"}]}'
+    found = configs.parse_metrics(spark.createDataFrame([(1, text), (2, text), (None, text)], "k bigint, value string"))
+    assert sorted((r.k or 0, r.workload or "", r.description) for r in found.collect()) == [
+        (k, *entry) for k in range(3) for entry in (("", "z"), ("a", "y"))]
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "SortAggregate" in plan and "SortAggregate" not in plan[plan.index("Exchange hashpartitioning(k"):]
