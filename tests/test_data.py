@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanwell.operators import matrix, words
+from spanwell.plans import inputs
 
 
 def counts(df):
@@ -163,3 +164,10 @@ def test_chunks_of_nothing(spark):
     assert matrix.chunk_rows(spark.range(0), ["id"], 3).count() == 0
     empty = spark.range(1).select(F.array().cast("array<string>").alias("a"))
     assert empty.select(matrix.chunk_array(F.col("a"), 3)).first()[0] == []
+
+
+def test_heavy_rows_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr("spanwell.plans.inputs.SPREAD_ROWS", 100)
+    for name, key, n in (("orders", "o_orderkey", 1500), ("part", "p_partkey", 200)):
+        rows = inputs.spread_table(spark, "/root/testdata/sf0.001", name, key)
+        assert rows.count() == n and rows.rdd.getNumPartitions() == max(4, n // 100)
