@@ -5,7 +5,11 @@ The minima of a text's shingle hashes under many hash functions are its signatur
 follow from the wanted recall for a pair just at the threshold. Nothing is linked on
 signatures: every link is a pair whose whole sets of shingles were compared.
 
-Equal sets count as one from the start. First each set is compared with the smallest one of
+Fingerprints come first: sets whose SimHash fingerprints (``simhash``, over the same shingles) are linked
+within its radius are compared. Pairs at the threshold mostly differ in more bits than that radius, so
+signatures find the rest.
+
+Equal sets count as one from the start. Then each set is compared with the smallest one of
 each of its buckets, where their signatures agree enough, which links most groups with a pair or two
 for each set. Of buckets that still hold several components, the sets with an undecided partner of another
 component go to the buckets' blocks (``common.blocks``); there all such pairs are compared,
@@ -29,7 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanwell.llm.common import as_bytes, blocks, column, components, fresh, runs, whole_groups
-from spanwell.llm.simhash import shingle_hashes
+from spanwell.llm.simhash import links as near_fingerprints
+from spanwell.llm.simhash import majority, shingle_hashes
 from spanwell.session import forget, settled
 
 #: Minima in a band.
@@ -77,24 +82,26 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _sketches(docs: DataFrame, width: int, bands: int) -> DataFrame:
-    """``node`` (a hash of the whole set), ``bands`` and ``signature`` of every row."""
+    """``node`` (a hash of the whole set), ``fp`` (the fingerprint), ``bands`` and ``signature`` of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, values, signatures = [], [], []
+            nodes, prints, values, signatures = [], [], [], []
             for text in as_bytes(batch, "text"):
-                found = shingle_set(text, width)
+                hashes = shingle_hashes(text, width)
+                found = np.unique(hashes)
+                prints.append(majority(hashes))
                 nodes.append(xxhash.xxh64_intdigest(found.tobytes()))
                 least = minima(found, bands * ROWS) if len(found) else np.zeros(0, np.uint32)
                 values.append([xxhash.xxh64_intdigest(least[at: at + ROWS].tobytes()) - (1 << 63) for at in range(0, len(least), ROWS)])
                 signatures.append(least.astype("<u2").tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_key"), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)),
-                 pa.array(values, pa.list_(pa.int64())), pa.array(signatures, pa.binary())],
-                ["doc_id", "text_key", "node", "bands", "signature"],
+                 pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), pa.array(values, pa.list_(pa.int64())), pa.array(signatures, pa.binary())],
+                ["doc_id", "text_key", "node", "fp", "bands", "signature"],
             )
 
-    return docs.mapInArrow(run, "doc_id bigint, text_key bigint, node bigint, bands array<bigint>, signature binary")
+    return docs.mapInArrow(run, "doc_id bigint, text_key bigint, node bigint, fp bigint, bands array<bigint>, signature binary")
 
 
 def _bit(doc_id: Column, text_key: Column) -> tuple[Column, Column]:
@@ -143,6 +150,15 @@ def _whole_sets(nodes: DataFrame, distinct: DataFrame, docs: DataFrame, width: i
     return settled(texts.mapInArrow(sets, "node bigint, shingles binary").dropDuplicates(["node"]), "shingle-sets")
 
 
+def _fingerprint_pairs(distinct: DataFrame) -> DataFrame:
+    """Pairs ``a``, ``b`` of sets that join whatever equal and near fingerprints join; fewer than there are sets and links."""
+    prints = settled(distinct.groupBy("fp").agg(F.min("node").alias("head")), "fingerprints")
+    equal = distinct.join(prints, "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    near = near_fingerprints(prints.select("fp")).toDF("fp", "fp_b")
+    near = near.join(prints, "fp").select(F.col("head").alias("a"), F.col("fp_b").alias("fp"))
+    return equal.unionByName(near.join(prints, "fp").select("a", F.col("head").alias("b")))
+
+
 def _agreeing(pairs: DataFrame, distinct: DataFrame, least: int) -> DataFrame:
     """Those of the pairs ``a``, ``b`` whose signatures agree in ``least`` minima or more."""
 
@@ -272,7 +288,7 @@ def _components(docs: DataFrame, width: int, threshold: float, recall: float, bl
     distinct = settled(
         sketches.groupBy("node").agg(
             F.min(F.struct("doc_id", "text_key")).alias("rep"),
-            F.first("bands").alias("bands"), F.first("signature").alias("signature")),
+            F.min("fp").alias("fp"), F.first("bands").alias("bands"), F.first("signature").alias("signature")),
         "distinct-sets",
     )
     rows = settled(sketches.select("doc_id", "text_key", "node"), "row-sets")
@@ -283,7 +299,7 @@ def _components(docs: DataFrame, width: int, threshold: float, recall: float, bl
     members = settled(
         placed.join(heads.drop("n"), ["band", "value"]).select("node", "band", "value", "head"), "bucket-members")
     pairs = members.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-    first = settled(_agreeing(pairs, distinct, least), "first-pairs")
+    first = settled(_fingerprint_pairs(distinct).unionByName(_agreeing(pairs, distinct, least)).distinct(), "first-pairs")
     whole = _whole_sets(first.select(F.explode(F.array("a", "b")).alias("node")).distinct(), distinct, docs, width)
     links = settled(_compared(first, whole, threshold), "first-links")
     forget(whole, first)

@@ -57,8 +57,12 @@ def shingle_hashes(text: bytes | None, width: int, seed: int = 42) -> np.ndarray
 
 
 def fingerprint(text: bytes | None, width: int = 4, seed: int = 42) -> int:
-    """The fingerprint of one text: bit by bit the majority over the hashes of its shingles."""
-    hashes = shingle_hashes(text, width, seed)
+    """The fingerprint of one text."""
+    return majority(shingle_hashes(text, width, seed))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bit by bit the majority over the hashes of a text's shingles."""
     n = len(hashes)
     ones = np.zeros(BITS, dtype=np.int64)
     for start in range(0, n, 65536):

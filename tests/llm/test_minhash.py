@@ -98,3 +98,22 @@ def test_bitmaps_rule_out_no_key(spark):
         near, far = (minhash._marked(docs, marks, F.col("doc_id"), F.col("text_key"), how) for how in ("left_semi", "left_anti"))
         assert near.columns == docs.columns and near.count() + far.count() == 301
         assert near.join(asked, ["text_key"], "left_semi").count() == n
+
+
+def test_near_fingerprints_are_compared(spark):
+    """Every two sets whose fingerprints differ in four bits at most are joined by pairs to compare."""
+    rows = edited()
+    docs = minhash._keyed(spark.createDataFrame(rows, DOCS), "doc_id", "text")
+    distinct = minhash._sketches(docs, 5, 2).dropDuplicates(["node"]).cache()
+    prints = {r.node: r.fp % (1 << 64) for r in distinct.collect()}
+    root = {node: node for node in prints}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for r in minhash._fingerprint_pairs(distinct).collect():
+        root[top(r.a)] = top(r.b)
+    near = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 4]
+    assert near and all(top(a) == top(b) for a, b in near)
