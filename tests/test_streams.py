@@ -1,12 +1,15 @@
 """Pairing and reports that go on from their state."""
 
+import datetime
 import math
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from spanwell.operators import moments, spans
+from spanwell.operators.ordered import SEGMENT_ROWS_CONF
 from spanwell.streaming import pairing
 
 EVENTS = "session string, worker_id string, task_id string, event_type string, status int, timestamp bigint, seq bigint"
@@ -63,6 +66,73 @@ def test_late_events_change_nothing(spark, tmp_path):
     assert sorted((r.reason or "", r.elapsed) for r in found) == [("", 20), ("late", None)]
 
 
+def test_heavy_sessions_and_any_order_column(spark, tmp_path):
+    """Sessions cut into ranges give the same; the order may be of any type that sorts."""
+    rows = some_events(11, 300)
+    dated = EVENTS.replace("seq bigint", "seq date")
+    rows = [(*r[:6], datetime.date(2020, 1, 1) + datetime.timedelta(r[6])) for r in rows]
+    source, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    spark.conf.set(SEGMENT_ROWS_CONF, "20")
+    try:
+        for low, high in ((0, 140), (140, 300)):
+            spark.createDataFrame(rows[low:high], dated).write.mode("append").parquet(source)
+            pairing.follow_spans(spark, spark.readStream.schema(dated).parquet(source), out).awaitTermination()
+    finally:
+        spark.conf.unset(SEGMENT_ROWS_CONF)
+    built = spans.build_spans(spark.createDataFrame(rows, dated))
+    found = pairing.paired(spark, out)
+    columns = ["session", "task_id", "event_type", "seq", "elapsed", "start_phase", "end_phase", "slipped"]
+    got = sorted(map(str, found.where("reason is null").select(*columns).collect()))
+    assert got == sorted(map(str, built.spans.select(*columns).collect())) and len(got) > 30
+    columns = ["session", "task_id", "event_type", "seq", "status", "reason"]
+    got = sorted(map(str, found.where("reason is not null").select(*columns).collect()))
+    assert got == sorted(map(str, built.errors.select(*columns).collect()))
+
+
+@pytest.mark.parametrize("phases", [True, False])
+def test_batch_equals_session_state(spark, phases):
+    """A batch after a state, late and unknown events included, against the events one by one."""
+    order = ["timestamp", "seq"]
+    rows = some_events(21, 260)
+    late = [(*r[:5], r[5] - 50_000, r[6]) for r in rows[150:200:5]]
+    parts = [rows[:150], rows[150:] + late]
+    columns = pairing.paired_schema(spark.createDataFrame(rows, EVENTS).schema, ["session"], order).fieldNames()
+    state, sessions = None, {}
+    for part in parts:
+        paired = pairing.pair_batch(spark.createDataFrame(part, EVENTS), state, ["session"], order, phases).cache()
+        found = pairing._results(paired, columns, spans.SLIP_SHARE)
+        got = sorted(map(str, found.select("session", "task_id", "event_type", "seq", "reason", "elapsed", "start_phase", "end_phase").collect()))
+        state = pairing._state_after(paired, ["session"], order, phases)
+        want = []
+        for r in sorted(part, key=lambda r: (r[5], r[6])):
+            unit = r[0] if phases else r[:4]
+            took = sessions.setdefault(unit, pairing.SessionState(None, phases, spans.SLIP_SHARE)).take(
+                (r[1], r[2], r[3]), r[4], r[5], [r[5], r[6]])
+            if took is not None:
+                made = [took.get(c) for c in ("reason", "elapsed", "start_phase", "end_phase")]
+                want.append(str(Row(*["session", "task_id", "event_type", "seq", "reason", "elapsed", "start_phase", "end_phase"])(
+                    r[0], r[2], r[3], r[6], *made)))
+        assert got == sorted(want) and len(got) > 40
+    assert sum("late" in w for w in want) > 3
+
+
+def test_keyed_state_gives_the_same_rows(spark, tmp_path):
+    """The streaming DataFrame, with a sink of its own."""
+    rows = some_events(31, 120)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", pairing.STATE_STORE)
+    try:
+        for low, high in ((0, 60), (60, 120)):
+            spark.createDataFrame(rows[low:high], EVENTS).write.mode("append").parquet(f"{tmp_path}/keyed-in")
+            stream = pairing.stream_spans(spark.readStream.schema(EVENTS).parquet(f"{tmp_path}/keyed-in"))
+            stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/keyed-at").trigger(
+                availableNow=True).start(f"{tmp_path}/keyed").awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    keyed = spark.read.parquet(f"{tmp_path}/keyed")
+    tabled = pairing.paired(spark, fed(spark, tmp_path, rows, [60])).select(*keyed.columns)
+    assert sorted(map(str, keyed.collect())) == sorted(map(str, tabled.collect())) and keyed.count() > 20
+
+
 def test_session_state_survives_as_text():
     one = pairing.SessionState(None, True, 0.1)
     other = pairing.SessionState(None, True, 0.1)
