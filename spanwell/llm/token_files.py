@@ -22,6 +22,7 @@ folder of files; other columns are not read.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -59,11 +60,11 @@ def compress(ids: np.ndarray, first: int, least: int = 16) -> tuple[np.ndarray,
     rules, lengths, n_rules = [], np.zeros(0, dtype=np.int64), 0
     while len(symbols) > 1:
         cells = _cells(symbols[:-1], symbols[1:])
-        sums = np.bincount(cells, minlength=1 << HASH_BITS).astype(np.int32)
-        bound, most = sums[cells], int(sums.max())
-        at, pairs, found, counts = _frequent(symbols, bound, max(least, most // 16))
+        sums = np.bincount(cells, minlength=1 << HASH_BITS)
+        most = int(sums.max())
+        at, pairs, found, counts = _frequent(symbols, cells, sums >= max(least, most // 16))
         if len(found) and counts.max() < most // 2:  # several pairs share the fullest cell
-            at, pairs, found, counts = _frequent(symbols, bound, least)
+            at, pairs, found, counts = _frequent(symbols, cells, sums >= least)
         if not len(found) or counts.max() < least:
             break
         chosen = found[counts >= max(least, int(counts.max()) // 8)]
@@ -99,13 +100,16 @@ def _pairs(symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _cells(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """A rough place to count each pair of 32-bit symbols in."""
-    return (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(32 - HASH_BITS)
+    """A rough place to count each pair of 32-bit symbols in, as an index."""
+    mixed = left * np.uint32(0x9E3779B1)
+    mixed += right * np.uint32(0x85EBCA77)
+    mixed >>= np.uint32(32 - HASH_BITS)
+    return mixed.astype(np.intp)
 
 
-def _frequent(symbols: np.ndarray, bound: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places whose pair may occur ``least`` times (by an upper bound), their pairs, the distinct pairs and their counts."""
-    at = np.flatnonzero(bound >= least)
+def _frequent(symbols: np.ndarray, cells: np.ndarray, full: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places whose pair falls into a full cell, their pairs, the distinct pairs and their counts."""
+    at = np.flatnonzero(full[cells])
     pairs = _pairs(symbols, at)
     ordered = np.sort(pairs)
     starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
@@ -223,6 +227,13 @@ def _only_letters(words: pa.Array, names: list[bytes]) -> np.ndarray:
     return found
 
 
+def _gathered(ids: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Of runs of ids with these sizes, those at ``places``, one after the other."""
+    starts, n = np.cumsum(sizes) - sizes, sizes[places]
+    ends = np.cumsum(n)
+    return ids[np.repeat(starts[places] - ends + n, n) + np.arange(int(n.sum()))]
+
+
 class WordTokens:
     """Ids of a vocabulary that drops white space, word by word.
 
@@ -256,15 +267,8 @@ class WordTokens:
     def _learn(self, words: pa.Array) -> None:
         """Encode words that are not known yet."""
         known, names = self.known, _names(words)
-        sizes = np.fromiter(map(len, names), dtype=np.int64, count=len(names))
-        letters = _only_letters(words, names) & (sizes < 1000)
-        stems = pc.utf8_rtrim(words, characters=CLOSING)
-        stem_names = _names(stems)
-        shorter = np.fromiter(map(len, stem_names), dtype=np.int64, count=len(names)) < sizes
-        closed = np.flatnonzero(_only_letters(stems, stem_names) & shorter & ~letters)
-        left = ~letters
-        left[closed] = False
-        others, whole = [names[i] for i in np.flatnonzero(left)], [names[i] for i in np.flatnonzero(letters)]
+        letters = _only_letters(words, names) & (pc.binary_length(words).to_numpy(zero_copy_only=False) < 1000)
+        others, whole = [names[i] for i in np.flatnonzero(~letters)], [names[i] for i in np.flatnonzero(letters)]
         lines = [whole[i: i + 200] for i in range(0, len(whole), 200)]
         for start in range(0, len(lines), 10):
             part = lines[start: start + 10]
@@ -273,19 +277,12 @@ class WordTokens:
                 if len(ends) != len(line):  # a word of more units than one: each by itself
                     others += line
                     continue
-                data, at = ids.tobytes(), 0
-                for word, end in zip(line, (4 * ends).tolist()):
-                    known[word] = data[at:end]
-                    at = end
+                data, bounds = ids.tobytes(), [0, *(4 * ends).tolist()]
+                known.update(zip(line, [data[a:b] for a, b in zip(bounds, bounds[1:])]))
         for start in range(0, len(others), 1000):
             part = others[start: start + 1000]
             for word, ids in zip(part, self._encoded([word.decode() for word in part])):
                 known[word] = ids.tobytes()
-        if len(closed):
-            parts = {stem_names[i] for i in closed} | {names[i][len(stem_names[i]):] for i in closed}
-            self._known_ids(pa.array([part.decode() for part in parts], pa.large_string()))
-            for i in closed:
-                known[names[i]] = known[stem_names[i]] + known[names[i][len(stem_names[i]):]]
 
     def _known_ids(self, words: pa.Array) -> list[bytes]:
         """The ids of distinct words; those of the generation before move to this one."""
@@ -307,6 +304,32 @@ class WordTokens:
                 ids[i] = known[names[i]]
         return ids
 
+    def _ids_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words one after the other, and how many each has.
+
+        Letters with marks behind them make two units, so only the letters are remembered, once for all marks.
+        """
+        stems = pc.utf8_rtrim(words, characters=CLOSING)
+        n_marks = (pc.binary_length(words).to_numpy(zero_copy_only=False) - pc.binary_length(stems).to_numpy(zero_copy_only=False))
+        closed = np.flatnonzero(n_marks)
+        before_marks = stems.take(pa.array(closed))
+        closed = closed[_only_letters(before_marks, _names(before_marks))]
+        parted = np.zeros(len(words), dtype=bool)
+        parted[closed] = True
+        units = pc.if_else(pa.array(parted), stems, words).dictionary_encode()
+        known = [b"", *self._known_ids(units.dictionary)]
+        # two entries of ``known`` for each word; the first, without ids, where no marks follow
+        entries = np.zeros((len(words), 2), dtype=np.int64)
+        entries[:, 0] = units.indices.to_numpy() + 1
+        for n in np.unique(n_marks[closed]).tolist():
+            places = closed[n_marks[closed] == n]
+            marks = pc.utf8_slice_codeunits(words.take(pa.array(places)), start=-n).dictionary_encode()
+            entries[places, 1] = marks.indices.to_numpy() + len(known)
+            known += self._known_ids(marks.dictionary)
+        sizes = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
+        ids = _gathered(np.frombuffer(b"".join(known), dtype="<u4"), sizes, entries.ravel())
+        return ids, sizes[entries].sum(axis=1)
+
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each UTF-8 text (none if it is null) as bytes of little-endian 32-bit numbers."""
         return self.encode_column(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
@@ -325,13 +348,10 @@ class WordTokens:
             return found
         split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         coded = split.flatten().dictionary_encode()
-        found = self._known_ids(coded.dictionary)
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
-        ids_of_words, starts = np.frombuffer(b"".join(found), dtype="<u4"), np.cumsum(sizes) - sizes
+        ids, sizes = self._ids_of(coded.dictionary)
         places = coded.indices.to_numpy()
-        n = sizes[places]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        data = ids_of_words[np.repeat(starts[places] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        data = _gathered(ids, sizes, places).tobytes()
+        ends = np.concatenate([[0], np.cumsum(sizes[places])])
         offsets = split.offsets.to_numpy()
         bounds = (4 * ends[offsets - offsets[0]]).tolist()
         return [data[a:b] for a, b in zip(bounds, bounds[1:])]
@@ -356,6 +376,8 @@ def word_tokens(shared) -> WordTokens:
     """A worker's tokens for a vocabulary."""
     key = hash(shared.value)
     if key not in _tokens:
+        # a task has one core: the library's threads would mostly wait, which takes CPU time too
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         _tokens.clear()
         _tokens[key] = WordTokens(shared.value)
     return _tokens[key]
@@ -388,7 +410,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, doc_id: str
 
         for batch in batches:
             tokens = word_tokens(shared)
-            for part in by_size(batch, "text", 4 << 20):
+            for part in by_size(batch, "text", 8 << 20):
                 for name, ids in zip(part.column("doc_id").to_pylist(), tokens.encode_column(part.column("text"))):
                     names.append(name)
                     parts.append(ids + end)

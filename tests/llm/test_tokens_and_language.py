@@ -61,6 +61,23 @@ def test_words_equal_the_library(library):
         assert [np.frombuffer(x, dtype="<u4").tolist() for x in got] == [library(t) for t in texts]
 
 
+def test_letters_are_remembered_once_for_all_marks(library):
+    with open(VOCABULARY, "rb") as file:
+        words = files.WordTokens(file.read())
+    texts = ["Word word, word. word!? (word) wörd; wörd ... ...word İ, İ", "word% ,, 1. x1, x"]
+    got = words.encode([t.encode() for t in texts])
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in got] == [library(t) for t in texts]
+    assert {b"word", "wörd".encode()} <= set(words.known)
+    assert not {b"word,", b"word.", b"word!?", b"word%", "wörd;".encode()} & set(words.known)
+
+
+def test_a_task_encodes_without_threads(spark, monkeypatch):
+    monkeypatch.delenv("TOKENIZERS_PARALLELISM", raising=False)
+    monkeypatch.setattr(files, "_tokens", {})
+    files.word_tokens(files.shared_vocabulary(spark, VOCABULARY))
+    assert files.os.environ["TOKENIZERS_PARALLELISM"] == "false"
+
+
 @pytest.mark.parametrize("block", [20, 1 << 19])
 def test_files_round_trip(spark, tmp_path, library, monkeypatch, block):
     monkeypatch.setattr(files, "BLOCK", block)
