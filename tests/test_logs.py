@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanwell.operators import history, metrics, rollup
+from spanwell.plans.inputs import log_lines
+from spanwell.session import settled
 from spanwell.sources import configs, logs, writers
 from spanwell.streaming import follow
 
@@ -325,3 +327,20 @@ def test_wide_rows_are_sorted_behind_a_shuffle_only(spark, folder):
         assert "SortAggregate" in plan and "Exchange hashpartitioning(file" in plan
         below = plan[plan.index("Exchange hashpartitioning(file"):]
         assert "SortAggregate" not in below and "Sort [" not in below
+
+
+def test_report_rows_are_dealt_by_their_number(spark, monkeypatch):
+    done = rollup.analyse(logs.Logs(log_lines(spark, "/root/testdata/sf0.001")))
+    values = settled(metrics.stat_values(done.rollups, done.stats), "values")
+    plain = (values, rollup.summary_table(done.rollups, done.stats))
+    monkeypatch.setattr("spanwell.operators.ordered.TASK_ROWS", 20)
+    n_stats, n_values = done.stats.count(), values.where("kind in ('measure', 'trend')").count()
+    many = (metrics.stat_values(done.rollups, done.stats), rollup.summary_table(done.rollups, done.stats))
+    assert many[0].rdd.getNumPartitions() >= values.count() / 20 > spark.sparkContext.defaultParallelism
+    for a, b in zip(plain, many):
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    config = configs.parse_metrics(spark.createDataFrame([('{"workloads": []}',)], "value string"))
+    trend = metrics.trend(done.rollups, values, config)
+    for table, n in ((many[1], n_stats), (trend, n_values)):
+        plan = table._jdf.queryExecution().sparkPlan().toString()
+        assert f", {-(-n // 20)}), REPARTITION_BY_NUM" in plan
