@@ -164,33 +164,29 @@ class Payload:
     def _sizes(self, symbols: np.ndarray) -> np.ndarray:
         return _expansion(symbols.astype(np.uint64), self.first, self.expansions.astype(np.int64))
 
-    def _expand(self, symbols: np.ndarray) -> np.ndarray:
-        """All rules are written out once; then each symbol is one copy of a stretch of ids."""
+    def _expand(self, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """All rules are written out once; then each symbol is one copy of a stretch of them, or of itself."""
         if self._written is None:
             self._written = expand(np.arange(self.first, self.first + len(self.rules)), self.rules, self.first)
-        sizes = self._sizes(symbols)
-        ends = np.cumsum(sizes)
-        out = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.uint32)
-        inner = symbols >= self.first
-        out[ends[~inner] - 1] = symbols[~inner]
-        if inner.any():
-            own = sizes[inner]
-            steps = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
-            rule_starts = np.cumsum(self.expansions, dtype=np.int64) - self.expansions
-            from_ = np.repeat(rule_starts[symbols[inner].astype(np.int64) - self.first], own) + steps
-            out[np.repeat(ends[inner] - own, own) + steps] = self._written[from_]
-        return out
+        from_ = np.arange(len(self._written), len(self._written) + len(symbols))
+        inner = np.flatnonzero(symbols >= self.first)
+        rule_starts = np.cumsum(self.expansions, dtype=np.int64) - self.expansions
+        from_[inner] = rule_starts[symbols[inner].astype(np.int64) - self.first]
+        steps = np.repeat(from_ - np.cumsum(sizes) + sizes, sizes)
+        steps += np.arange(len(steps))
+        return np.concatenate([self._written, symbols])[steps]
 
     def ids(self, start: int = 0, stop: int | None = None) -> np.ndarray:
         """The ids from ``start`` to ``stop``, expanding only the symbols that cover them."""
-        ends = np.cumsum(self._sizes(self.symbols))
+        sizes = self._sizes(self.symbols)
+        ends = np.cumsum(sizes)
         stop = int(ends[-1]) if stop is None and len(ends) else stop or 0
         if stop <= start:
             return np.zeros(0, dtype=np.uint32)
         a = int(np.searchsorted(ends, start, side="right"))
         b = int(np.searchsorted(ends, stop, side="left"))
         before = int(ends[a - 1]) if a else 0
-        return self._expand(self.symbols[a: b + 1])[start - before: stop - before]
+        return self._expand(self.symbols[a: b + 1], sizes[a: b + 1])[start - before: stop - before]
 
     def document(self, index: int) -> np.ndarray:
         start = int(self.lengths[:index].sum(dtype=np.int64))
