@@ -8,7 +8,8 @@ log n to the base ``FAN ** LEVELS`` rounds, each over a table that many times sm
 the hot group's leaves are spread over as many blocks as they fill. The reversed sweep goes through the
 same tables from the root down: a block receives the proof suffix of its top node and
 delivers to each child the siblings inside the block in front of it. No task holds more than one
-block, and nothing is collected but the number of leaves of the largest tree.
+block at a time, and nothing is collected but numbers of leaves and trees. Tables between the rounds are written by
+as many tasks as the counted leaves need, not as there are shuffle partitions.
 
 Trees: every ``FAN`` consecutive nodes (the last run may have fewer, even one) become the SHA-256 of their
 hex digests, until one is left. Leaves of a group stand in ascending order of ``order`` (nulls first),
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanwell.operators.ordered import Running, ordered
+from spanwell.operators.ordered import Running, gathered, ordered
 from spanwell.session import settled
 
 FAN = 3
@@ -149,13 +150,13 @@ def _up(block: pa.Table) -> pa.Table:
     })
 
 
-def _rounds(leaves: DataFrame) -> list[DataFrame]:
-    """The tables of digests from the leaves to one node for each tree (``tree, n, position, digest``)."""
+def _rounds(leaves: DataFrame, total: int) -> list[DataFrame]:
+    """The tables of digests from the ``total`` leaves to one node for each tree (``tree, n, position, digest``)."""
     rounds = [leaves]
     largest = leaves.agg(F.max("n")).first()[0] or 0
     while largest > 1:
         nodes = rounds[-1].select("tree", "n", "position", "digest")
-        rounds.append(settled(_by_block(nodes).applyInArrow(_up, _NODE), "digests"))
+        rounds.append(settled(gathered(_by_block(nodes).applyInArrow(_up, _NODE), total), "digests"))
         largest = -(-largest // PLACES)
     return rounds
 
@@ -193,29 +194,31 @@ def manifest(docs: DataFrame, leaf_digest: Column, group: Column, order: Column,
     rows = settled(docs.select(
         group.alias("grp"), order.alias("ord"), F.unhex(leaf_digest).alias("digest"), *(c.alias(name) for name, c in keep.items())
     ), "leaves")
-    counts = settled(rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")), "group-sizes")
+    total = rows.count()
+    counts = settled(gathered(rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")), total), "group-sizes")
     one = F.lit(1).cast("bigint")
-    trees = settled(ordered(counts, [], ["grp"]).running(
+    trees = settled(gathered(ordered(counts, [], ["grp"], gather=True).running(
         tree=Running("sum", one, through_row=False), first=Running("sum", F.col("n"), through_row=False)
-    ).done().select(F.col("grp").alias("of_grp"), "n", "tree", "first"), "trees")
-    placed = ordered(rows, [], ["grp", "ord", "digest"]).running(at=Running("sum", one, through_row=False)).done()
+    ).done().select(F.col("grp").alias("of_grp"), "n", "tree", "first"), total), "trees")
+    placed = ordered(rows, [], ["grp", "ord", "digest"], gather=True).running(at=Running("sum", one, through_row=False)).done()
     # a row for each group; the planner measures it, and splits a hot group's rows where it can't be broadcast
-    leaves = settled(placed.join(trees, F.col("grp").eqNullSafe(F.col("of_grp"))).select(
-        "tree", "n", (F.col("at") - F.col("first")).alias("position"), "digest", *kept), "placed-leaves")
+    leaves = settled(gathered(placed.join(trees, F.col("grp").eqNullSafe(F.col("of_grp"))).select(
+        "tree", "n", (F.col("at") - F.col("first")).alias("position"), "digest", *kept), total), "placed-leaves")
 
-    inner = _rounds(leaves)
-    n_trees = F.lit(trees.count()).cast("bigint")
-    outer = _rounds(inner[-1].select(F.lit(0).cast("bigint").alias("tree"), n_trees.alias("n"), F.col("tree").alias("position"), "digest"))
+    inner = _rounds(leaves, total)
+    n_trees = trees.count()
+    outer = _rounds(inner[-1].select(
+        F.lit(0).cast("bigint").alias("tree"), F.lit(n_trees).cast("bigint").alias("n"), F.col("tree").alias("position"), "digest"), n_trees)
     nothing = F.lit(None).cast("binary")
     messages = outer[-1].select("tree", "position", "digest", F.lit(b"").alias("suffix"), nothing.alias("subroot"), F.col("digest").alias("root"))
     for children in reversed(outer[:-1]):
         messages = _down(children, messages, [])
-    messages = settled(messages, "group-proofs").select(
+    messages = settled(gathered(messages, n_trees), "group-proofs").select(
         F.col("position").alias("tree"), F.lit(0).cast("bigint").alias("position"), "digest", "suffix", F.col("digest").alias("subroot"), "root")
     for children in reversed(inner[1:-1]):
-        messages = settled(_down(children, messages, []), "block-proofs")
+        messages = settled(gathered(_down(children, messages, []), total), "block-proofs")
     if len(inner) > 1:
-        found = _down(leaves, messages, kept)
+        found = gathered(_down(leaves, messages, kept), total)
     else:  # no tree has more than one leaf
         own = leaves.select("tree", "digest", *kept)
         found = own.join(messages.select("tree", "suffix", "subroot", "root"), "tree")

@@ -2,12 +2,15 @@
 
 import hashlib
 import zlib
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from spanwell.llm import merkle
 from spanwell.llm.queries import QUERIES, SQL
+from spanwell.operators import ordered
+from spanwell.session import settled
 from tests.oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -96,6 +99,32 @@ def test_nulls_ties_repeats_and_long_texts(spark, tmp_path):
     assert any(not r[-1] for r in found) and sum(r[-1] for r in found) >= 5
 
 
+def test_small_tables_are_few_files(spark, tmp_path, monkeypatch):
+    """Also where the planner does not merge partitions, a table is not a file for each shuffle partition."""
+    written = {}
+
+    def noted(df, name, *rest):
+        table = settled(df, name, *rest)
+        written.setdefault(name, []).append(len(list(Path(table.settled_at).glob("part-*"))))
+        return table
+
+    for module in (merkle, ordered):
+        monkeypatch.setattr(module, "settled", noted)
+    confs = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in confs}
+    rows = [(i * 7 % 10_007, f"s{i % 30}" if i % 2 else "hot", "en", i, f"a\nb {i}") for i in range(3_000)]
+    try:
+        for name, value in confs.items():
+            spark.conf.set(name, value)
+        found = query_rows(spark, rows, tmp_path)
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert by_text(found) == by_text(plain_manifest(rows))
+    assert len(written["digests"]) >= 2 and len(written["ranges"]) == 2
+    assert max(map(max, written.values())) <= spark.sparkContext.defaultParallelism
+
+
 def test_empty_table(spark, tmp_path):
     assert query_rows(spark, [], tmp_path) == []
 
