@@ -8,9 +8,11 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from spanwell.operators import moments, spans
+from spanwell.operators import moments, rollup, spans
 from spanwell.operators.ordered import SEGMENT_ROWS_CONF
+from spanwell.plans import QUERIES, SQL
 from spanwell.streaming import pairing
+from tests.oracle import compare, connect
 
 EVENTS = "session string, worker_id string, task_id string, event_type string, status int, timestamp bigint, seq bigint"
 
@@ -156,3 +158,20 @@ def test_moments_merge_for_any_split(spark, parts):
     for key, figures in want.items():
         for a, b in zip(got[key], figures):
             assert a == b or math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9)
+
+
+@pytest.mark.parametrize("name", ["followed_span_stats"])
+def test_log_state_deals_its_rows_by_their_number(spark, monkeypatch, name):
+    """No task of the log state sorts more events than a fixed number, and the result stays that of the SQL."""
+    made, sf = [], "/root/testdata/sf0.001"
+
+    def noted(found, make=rollup.log_span_stats):
+        made.append((found.runs().agg(F.sum("n_events")).first()[0], make(found)))
+        return made[-1][1]
+
+    monkeypatch.setattr("spanwell.plans.inputs.SPREAD_ROWS", 100, raising=False)
+    monkeypatch.setattr("spanwell.operators.ordered.TASK_ROWS", 200, raising=False)
+    monkeypatch.setattr(rollup, "log_span_stats", noted)
+    assert compare(spark, connect(sf), sf, QUERIES[name], SQL[name]) is None
+    (events, stats), = made
+    assert events > 1_000 and stats.rdd.getNumPartitions() >= events / 200
