@@ -160,7 +160,7 @@ def test_moments_merge_for_any_split(spark, parts):
             assert a == b or math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9)
 
 
-@pytest.mark.parametrize("name", ["followed_span_stats"])
+@pytest.mark.parametrize("name", ["followed_span_stats", "kept_revisions"])
 def test_log_state_deals_its_rows_by_their_number(spark, monkeypatch, name):
     """No task of the log state sorts more events than a fixed number, and the result stays that of the SQL."""
     made, sf = [], "/root/testdata/sf0.001"
